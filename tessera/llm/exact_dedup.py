@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +25,7 @@ RUNS = "id long, digest binary, part int, run int, lead boolean, keep long, n lo
 _ARROW = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("part", pa.int32()), ("run", pa.int32()), ("lead", pa.bool_()), ("keep", pa.int64()), ("n", pa.int64()), ("edge_text", pa.string())])
 
 
-@F.pandas_udf("string")
-def _nfkc(texts):  # noqa: ANN001, ANN202
+def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
@@ -35,7 +35,7 @@ def normalised(text: Column, how: str) -> Column:
     if how == "none":
         return text
     if how == "nfkc":
-        return _nfkc(text)
+        return F.pandas_udf(_nfkc, "string")(text)
     text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     return F.lower(text) if how == "lower" else text
 
