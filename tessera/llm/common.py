@@ -79,16 +79,15 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left")
 
 
 def lookup_skewed(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner-join rows to their group's row where some groups hold much of the table.
+    """Left-join rows to their group's row (key, size, ...) where some groups hold much of the table.
 
-    Groups of more than total / HEAVY_SHARE rows number HEAVY_SHARE at most, so they are broadcast;
-    the others are joined by shuffle, where no key can be hot.
+    Few groups are broadcast. Else groups of more than total / HEAVY_SHARE rows, which number HEAVY_SHARE at most,
+    are broadcast and the others are joined by shuffle, where no key is hot then.
     """
+    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key, "left")
     limit = max(1_000, total // HEAVY_SHARE)
-    heavy = groups.where(F.col(size) > limit)
-    light = groups.where(F.col(size) <= limit)
-    if heavy.limit(1).count() == 0:
-        return rows.join(light, key)
-    marked = rows.join(F.broadcast(heavy.select(key, F.lit(True).alias("_heavy"))), key, "left")
-    hot = marked.where("_heavy").drop("_heavy").join(F.broadcast(heavy), key)
-    return hot.unionByName(marked.where("_heavy IS NULL").drop("_heavy").join(light, key))
+    heavy, light = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
+    hot = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")
+    return hot.unionByName(rest)
