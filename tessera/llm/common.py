@@ -37,7 +37,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that materialize() wrote and that nothing will read again."""
+    drop_scratch([table.scratch_path])
 
 
 def drop_scratch(paths: list[str] | None = None) -> None:

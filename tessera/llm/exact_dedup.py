@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from tessera.llm.common import materialize, partitions
 
 PREFIX_CHARS = 32
 BATCH = 4096
 RUNS = "id long, digest binary, part int, run int, lead boolean, keep long, n long, edge_text string"
-_ARROW = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("part", pa.int32()), ("run", pa.int32()), ("lead", pa.bool_()), ("keep", pa.int64()), ("n", pa.int64()), ("edge_text", pa.string())])
 
 
 def _nfkc(texts: pd.Series) -> pd.Series:
@@ -40,47 +41,61 @@ def normalised(text: Column, how: str) -> Column:
     return F.lower(text) if how == "lower" else text
 
 
-def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in sort order to rows with their run. Holds one run's ids and one text at a time."""
+def _find_runs(batches: Iterator[pa.RecordBatch], carried: pa.DataType | None) -> Iterator[pa.RecordBatch]:
+    """Rows in sort order to rows with their run. Holds one run's ids, one text and one carried row at a time."""
+    fields = [("id", pa.int64()), ("digest", pa.binary()), ("part", pa.int32()), ("run", pa.int32()), ("lead", pa.bool_()), ("keep", pa.int64()), ("n", pa.int64()), ("edge_text", pa.string())]
+    schema = pa.schema(fields + ([("row", carried)] if carried else []))
     part = TaskContext.get().partitionId()
-    out: list[list] = [[] for _ in _ARROW]
-    run, text, digest, ids = -1, None, None, []
+    out: list[list] = [[] for _ in schema]
+    run, text, digest, row, ids = -1, None, None, None, []
 
     def flush(edge: bool) -> None:
         kept = ids[0]  # the sort puts the id that stays first, nulls last
         for i, x in enumerate(ids):
-            for column, value in zip(out, (x, digest, part, run, i == 0, kept, len(ids), text if edge and i == 0 else None), strict=True):
+            for column, value in zip(out, (x, digest, part, run, i == 0, kept, len(ids), text if edge and i == 0 else None, row if i == 0 else None), strict=False):
                 column.append(value)
 
+    def batch_of(n: int) -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c[:n], f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        for c in out:
+            del c[:n]
+        return made
+
     for batch in batches:
-        for x, t, d in zip(*(batch.column(k).to_pylist() for k in ("id", "text", "digest")), strict=True):
-            if t != text or run < 0:
-                if run >= 0:
-                    flush(run == 0)
-                run, text, digest, ids = run + 1, t, d, []
-            ids.append(x)
-        while len(out[0]) >= BATCH:
-            yield pa.RecordBatch.from_arrays([pa.array(c[:BATCH], f.type) for c, f in zip(out, _ARROW, strict=True)], schema=_ARROW)
-            for c in out:
-                del c[:BATCH]
+        for at in range(0, batch.num_rows, 256):
+            piece = batch.slice(at, 256)
+            rows = piece.column("row").to_pylist() if carried else [None] * piece.num_rows
+            for x, t, d, r in zip(*(piece.column(k).to_pylist() for k in ("id", "text", "digest")), rows, strict=True):
+                if t != text or run < 0:
+                    if run >= 0:
+                        flush(run == 0)
+                    run, text, digest, row, ids = run + 1, t, d, r, []
+                ids.append(x)
+            while len(out[0]) >= BATCH:
+                yield batch_of(BATCH)
     if run >= 0:
         flush(True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW, strict=True)], schema=_ARROW)
+    while out[0]:
+        yield batch_of(BATCH)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise: str | Callable[[Column], Column] = "none") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise: str | Callable[[Column], Column] = "none", carry: list[str] | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256 (of the normalised text in UTF-8).
 
     Of rows with equal normalised texts the one with the smallest (or largest) id is kept; where rows repeat
     with the same id and text, one of them; a null id only where all are null. A null text counts as empty.
-    Columns beside id and text are not read. An empty table gives an empty result. Ids are whole numbers.
+    Other columns are not read, but those named in carry, which come back as struct `row` where a row leads its run, as
+    every kept row does. An empty table gives an empty result. Ids are whole numbers.
     """
     spark = docs.sparkSession
     how = normalise(F.coalesce(F.col(text_col), F.lit(""))) if callable(normalise) else normalised(F.col(text_col), normalise)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), how.alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), how.alias("text"), *row)
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
     order = [F.substring("text", 1, PREFIX_CHARS), F.col("digest"), F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()]
-    runs = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_find_runs, RUNS)
+    schema = StructType([*_parse_datatype_string(RUNS).fields, *([StructField("row", rows.schema["row"].dataType)] if carry else [])])
+    carried = to_arrow_type(rows.schema["row"].dataType) if carry else None
+    runs = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(lambda it: _find_runs(it, carried), schema)
     runs = materialize(runs, "runs")
 
     best = F.max if keep == "largest" else F.min
@@ -98,9 +113,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(inside, F.col("n")).otherwise(F.col("end_n")).alias("group_size"),
         (F.col("lead") & (inside | ((F.col("part") == F.col("in_part")) & (F.col("run") == F.col("in_run"))))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(["row"] if carry else []),
     )
 
 
+def drop_copies(docs: DataFrame, **options: object) -> DataFrame:
+    """The kept rows with all their columns. Options as for exact_groups()."""
+    return exact_groups(docs, carry=docs.columns, **options).where("kept").select("row.*")
+
+
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents

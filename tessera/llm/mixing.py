@@ -64,6 +64,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, taken.
 
@@ -71,10 +72,12 @@ def mix(
     for rows whose hash is below the source's threshold. weights: dealt to the sources in code-point order,
     or a table (source, weight > 0). A null source is a source of its own, the last; null or empty texts have
     size 0; a source of size 0 has target 0. Repeated ids share a hash and so are taken or left together.
-    Columns beside the three named are not read. An empty table gives an empty result.
+    Columns beside the three named are not read, but those named in carry, which come back as struct `row`. An empty
+    table gives an empty result.
     """
-    base = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("key"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")), "mix")
-    base = base.withColumn("known", F.col("key").isNotNull()).withColumn("name", F.coalesce("key", F.lit("")))
+    named = [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("key"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")]
+    keyed = lambda df: df.withColumn("known", F.col("key").isNotNull()).withColumn("name", F.coalesce("key", F.lit("")))
+    base = keyed(materialize(docs.select(*named), "mix"))
     on = ["known", "name"]
     sources = base.groupBy("known", "name", "key").agg(F.sum("size").alias("source_size"))
     if isinstance(weights, tuple):
@@ -103,11 +106,12 @@ def mix(
         edge = table.select(*on).join(over, on, "left").select(*on, F.coalesce("at.bucket", F.lit(-1)).alias("prefix"), F.coalesce("at.rest", F.lit(0.0)).alias("rest"), F.coalesce("at.cell", F.lit(0)).alias("cell"))
         edge = materialize(edge, "mix-edge")
     end = edge.select(*on, F.col("prefix").alias("threshold"), (2 * F.col("rest") >= F.col("cell")).alias("with_edge"))
-    chosen = lookup(base, table.join(end, on), on)
+    rows = keyed(docs.select(*named, F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))) if carry else base
+    chosen = lookup(rows, table.join(end, on), on)
     extra = (F.col("rest") > 0) & ((F.col("threshold") < 0) | (F.col("hash") < F.col("threshold")) | ((F.col("hash") == F.col("threshold")) & F.col("with_edge")))
     taken = F.col("size") * (F.coalesce("copies", F.lit(0)) + F.coalesce(extra.cast("long"), F.lit(0)))
     return chosen.select(
-        F.col("id").alias(id_col), F.col("key").alias(source_col), "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken")
+        F.col("id").alias(id_col), F.col("key").alias(source_col), "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"), *(["row"] if carry else [])
     )
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, lookup_skewed, materialize, partitions
+from tessera.llm.common import BROADCAST_ROWS, lookup, lookup_skewed, materialize, partitions
 
 #: At similarity 0.85 a pair shares no band of 25 with probability 4e-7; at 0.8, 5e-5 (use more bands).
 BANDS, ROWS = 25, 5
@@ -284,6 +284,14 @@ def near_groups(
     return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
+    """The kept documents with all their columns; rows with a null id go where their component has another. Options as for near_groups()."""
+    gone = near_groups(docs, id_col=id_col, **options).where("NOT kept").select(F.coalesce(id_col, F.lit(NO_ID)).alias("_gone")).distinct()
+    gone = materialize(gone, "gone")
+    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == gone["_gone"], "left_anti")
+
+
 def _by_key(source: DataFrame, needed: DataFrame) -> DataFrame:
     """Texts of the documents that stand for needed nodes; repeated ids may bring others, which _sets leaves out."""
     return lookup(source.select(F.coalesce("id", F.lit(NO_ID)).alias("key"), "text"), needed, ["key"], "inner").select("node", "text")
