@@ -267,7 +267,7 @@ def near_groups(
     # 3: members of different components in a bucket, by blocks.
     placed = member.select("bucket", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
-    placed = materialize(placed.join(mixed, "bucket"), "mixed")
+    placed = materialize(lookup(placed, mixed, ["bucket"], "inner"), "mixed")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
