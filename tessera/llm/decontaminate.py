@@ -141,8 +141,11 @@ def _hit_rows(batches: Iterator[pa.RecordBatch], q: Queries, shard_words: int) -
             np.add.at(step, at + size[window], -1)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(step) > 0, [0]])))
             documents = shard.document(edges[::2])
+            had = [bool(x) for x in spans]
             for k, start, end in zip(documents.tolist(), (edges[::2] - shard.starts[documents]).tolist(), (edges[1::2] - shard.starts[documents]).tolist(), strict=True):
                 spans[k] += [start, end]
+            for k in np.unique(documents).tolist():  # those of an earlier block may overlap
+                spans[k] = _merge(spans[k]) if had[k] else spans[k]
             for k, w in np.unique(np.stack([shard.document(at), window], axis=1), axis=0).tolist() if len(at) else []:
                 items[k] += [q.items[i][0] for i in q.owners[w]]
         found = {
@@ -173,10 +176,7 @@ def _marked(docs: DataFrame, items: DataFrame, carry: list[str], window: int = W
     for block in _blocks(items, item_id, item_text, block_bytes):
         held = spark.sparkContext.broadcast(block)
         found = found.mapInArrow(lambda it, held=held: _hit_rows(it, Queries(held.value, window), shard_words), found.schema)
-    merged = F.udf(_merge, "array<long>")
     n_hit = F.expr("aggregate(sequence(1, size(spans) - 1, 2), 0L, (s, i) -> s + spans[i] - spans[i - 1])")
-    # One block gives merged spans; those of several may overlap.
-    found = found.withColumn("spans", F.when(F.size("spans") > 2, merged("spans")).otherwise(F.col("spans")))
     found = found.withColumn("n_hit", F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0).cast("long")))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
