@@ -22,9 +22,15 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    from tessera.plans import corpus, relational  # noqa: F401  these register their queries
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
