@@ -24,8 +24,8 @@ from tessera.llm.common import crc32_mod
 from tessera.llm.decontaminate import words
 
 #: Most rows that the classifier is fitted on, chosen by hash: confirmed toxic, and unlabelled.
-POSITIVES = 4_000
-UNLABELLED = 8_000
+POSITIVES = 3_000
+UNLABELLED = 6_000
 HASH_BITS = 22
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature that occurs this often in a text gives a second feature.
@@ -35,7 +35,7 @@ SELECTED = 4_096
 TIMES, EVIDENCE = 60, 12
 THRESHOLD = 0.7
 #: A word's weight is kept once computed; the store is emptied at this many words.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000
 
 
 def word_features(word: bytes) -> list[int]:
@@ -83,7 +83,13 @@ class Model:
 def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = SELECTED) -> np.ndarray:
     """Hashes much more frequent in P than among the clean texts of U, those of most evidence; sorted."""
     size, n_p, n_u = 1 << HASH_BITS, len(positive), len(unlabelled)
-    count = lambda rows: np.bincount(np.concatenate(rows), minlength=size).astype(float)
+
+    def count(rows: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(size, np.float32)
+        for x in rows:
+            out[x] += 1  # a row has a feature once
+        return out
+
     p, u = count(positive), count(unlabelled)
     # U holds a share `prior` of toxic texts, so the rate among its clean texts is lower than in U.
     clean = np.maximum((u + 0.5) / (n_u + 1) - prior * p / n_p, 0.5 / (n_u + 1))
@@ -174,7 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 3, held: int =
     sample = chosen.select("id", F.lit(1).alias("toxic")).unionByName(ids.distinct().select("id", F.lit(0).alias("toxic")))
     rows = texts.join(F.broadcast(sample), "id").select("toxic", "text").mapInArrow(_features_arrow, "toxic int, features binary").collect()
     # Copies of a text count once.
-    read = lambda k: [np.frombuffer(x, np.int32) for x in sorted({bytes(r.features) for r in rows if r.toxic == k})]
+    found: dict[int, set[bytes]] = {0: set(), 1: set()}
+    while rows:
+        r = rows.pop()
+        found[r.toxic].add(bytes(r.features))
+    read = lambda k: [np.frombuffer(x, np.int32) for x in sorted(found[k])]
     return fit_nnpu(read(1), read(0), prior)
 
 
