@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 13
 #: Words of a shard, and most benchmark text (bytes) sent to the shards at once.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 BLOCK_BYTES = 16_000_000
 #: Bytes that separate words, and A-Z to a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
