@@ -32,7 +32,7 @@ from tessera.llm.common import crc32_mod, discard, materialize, partitions
 CLASSES = 64
 ROUNDS = 2
 #: Words of a block; a longer document is a block of its own.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_400_000
 #: From this count on, a move's gain is computed exactly, not to first order.
 EXACT_FROM = 64
 #: Weight of the class unigram in a transition; added count in an emission.
