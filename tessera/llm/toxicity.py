@@ -139,7 +139,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         grad = gradient(g) + decay * np.append(ahead[:-1], 0)
         new, faster = ahead - rate * grad, (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead, w, pace = new + (pace - 1) / faster * (new - w), new, faster
-    # Where fewest errors are estimated (two thirds into that stretch, towards fewer false alarms), there the threshold goes.
+    # Where fewest errors are estimated (late in that stretch, towards fewer false alarms), there the threshold goes.
     z = logits(w)
     cuts = np.unique(z)
     middle = (cuts[1:] + cuts[:-1]) / 2
@@ -149,7 +149,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     shift = 0.0
     if len(middle):
         best = middle[errors <= errors.min() + 1e-3]
-        shift = np.log(threshold / (1 - threshold)) - (best[0] + 2 * best[-1]) / 3
+        shift = np.log(threshold / (1 - threshold)) - (best[0] + 5 * best[-1]) / 6
     return Model(features, w[:-1], float(w[-1] + shift), prior)
 
 
