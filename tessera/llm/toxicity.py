@@ -139,7 +139,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         grad = gradient(g) + decay * np.append(ahead[:-1], 0)
         new, faster = ahead - rate * grad, (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead, w, pace = new + (pace - 1) / faster * (new - w), new, faster
-    # Where fewest errors are estimated (late in that stretch, towards fewer false alarms), there the threshold goes.
+    # Where fewest errors are estimated (a third into that stretch), there the threshold goes.
     z = logits(w)
     cuts = np.unique(z)
     middle = (cuts[1:] + cuts[:-1]) / 2
@@ -149,7 +149,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     shift = 0.0
     if len(middle):
         best = middle[errors <= errors.min() + 1e-3]
-        shift = np.log(threshold / (1 - threshold)) - (best[0] + 5 * best[-1]) / 6
+        shift = np.log(threshold / (1 - threshold)) - (2 * best[0] + best[-1]) / 3
     return Model(features, w[:-1], float(w[-1] + shift), prior)
 
 
@@ -162,8 +162,9 @@ def _features_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, labels: DataFrame, fold: int | None = 3, held: int = 1, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on rows outside the held-out fold (crc32 of the id modulo `fold` is `held`; None: on all rows).
 
-    P: rows labelled toxic, U: all others, whatever their label; the `positives` and `unlabelled` rows of
-    smallest hash of id. prior: share of toxic rows; None: their share of the labelled rows of the fold.
+    P: rows labelled toxic. U: rows of the fold whatever their label, so that the prior holds for them; of both the
+    `positives` and `unlabelled` rows of smallest hash of id. prior: share of toxic rows; None: their share of the labelled
+    rows of the fold, which should be a fair sample.
     """
     spark = docs.sparkSession
     outside = (crc32_mod(F.col("id"), fold) != held) if fold else F.lit(True)
@@ -175,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 3, held: int =
     order = F.xxhash64("id"), F.col("id")
     chosen = marks.where("toxic = 1").orderBy(*order).limit(positives)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(outside)
-    # The samples are cut by id before any text moves.
-    ids = texts.select("id").join(F.broadcast(chosen.select("id")), "id", "left_anti").where("id IS NOT NULL").orderBy(*order).limit(unlabelled)
+    # The samples are cut by id before any text moves; both are bounded.
+    ids = texts.select("id").where("id IS NOT NULL").orderBy(*order).limit(unlabelled)
     sample = chosen.select("id", F.lit(1).alias("toxic")).unionByName(ids.distinct().select("id", F.lit(0).alias("toxic")))
     rows = texts.join(F.broadcast(sample), "id").select("toxic", "text").mapInArrow(_features_arrow, "toxic int, features binary").collect()
     # Copies of a text count once.
