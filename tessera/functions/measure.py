@@ -83,7 +83,7 @@ def endpoint_of(text: Column) -> Column:
 
 def endpoints_in(text: Column) -> Column:
     """All keywords that are words of the text, in their order."""
-    return F.filter(F.array(*[F.lit(k) for k in ENDPOINTS]), lambda k: F.coalesce(text, F.lit("")).rlike(F.concat(F.lit(r"(?i)\b"), k, F.lit(r"\b"))))
+    return F.filter(F.array(*[F.lit(k) for k in ENDPOINTS]), lambda k: F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(r"(?i)\b"), k, F.lit(r"\b"))))
 
 
 def unit_of(text: Column) -> Column:
