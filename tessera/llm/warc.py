@@ -343,6 +343,18 @@ def archive_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     )
 
 
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT DISTINCT x FROM p),
+c AS (SELECT x, unnest(generate_series(0, 31)) AS i FROM d),
+v AS (SELECT x, i, (instr('0123456789abcdef', substr(x, 5 * i // 4 + 1, 1)) - 1) * 16 + greatest(0, instr('0123456789abcdef', substr(x || '0', 5 * i // 4 + 2, 1)) - 1) AS two FROM c),
+b AS (SELECT x, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(two // CASE 5 * i % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END % 32 + 1 AS INT), 1), '' ORDER BY i) AS digest FROM v GROUP BY x),
+m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT p.page_id, CAST(octet_length(encode(p.h)) AS BIGINT) AS payload_bytes, b.digest AS payload_digest, CASE WHEN p.page_id = m.top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> m.top THEN m.top END AS refers_to
+FROM p JOIN b ON p.x = b.x JOIN m ON p.h = m.h
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     path = scratch_path(spark, "warc")
