@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, partitions
+from tessera.llm.common import lookup, materialize, partitions
 
 #: Tokens of a window for history and new turns (the system turn is on top), and of these for history.
 BUDGET, HISTORY = 1024, 256
@@ -164,14 +164,17 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     long = F.col("n") > half
     rows = rows.select("known", "conv", "nth", "before", "n", "role", "text", cell.alias("cell"), long.alias("long"))
 
-    # Besides its own window, a turn may be history of a long turn in its cell, and of the next cell's windows.
+    # Besides its own window, a turn may be history of a long turn in its cell, and of the next cell's windows, if there are such.
     use = lambda window, kind: F.struct(window.cast("long").alias("window"), F.lit(kind).alias("kind"))
+    ends = rows.where("long").select("known", "conv", "cell").distinct().withColumn("ends_long", F.lit(True))
+    rows = lookup(rows, ends, ["known", "conv", "cell"])
+    rows = lookup(rows, ends.select("known", "conv", (F.col("cell") - 1).alias("cell"), F.col("ends_long").alias("next_long")), ["known", "conv", "cell"])
     near = ~F.col("long") & (F.col("before") >= (F.col("cell") + 1) * half - history) & (F.col("n") <= history)
     uses = F.array(
         use(2 * F.col("cell") + F.col("long").cast("int"), "n"),
-        F.when(~F.col("long") & (F.col("n") <= history), use(2 * F.col("cell") + 1, "h")),
+        F.when(F.col("ends_long") & ~F.col("long") & (F.col("n") <= history), use(2 * F.col("cell") + 1, "h")),
         F.when(near, use(2 * F.col("cell") + 2, "h")),
-        F.when(near, use(2 * F.col("cell") + 3, "h")),
+        F.when(near & F.col("next_long"), use(2 * F.col("cell") + 3, "h")),
     )
     placed = rows.select("known", "conv", "nth", "n", "role", "text", F.explode(F.array_compact(uses)).alias("use")).select("*", "use.*").drop("use")
     system = rows.where("nth = 0 AND role = 'system'").select("known", "conv", "nth", "n", "role", "text")
