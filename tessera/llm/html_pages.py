@@ -18,7 +18,7 @@ NAMES = {
     "foot": ["footer", "site-footer", "copyright", "bottom", "legal", "colophon", "credits", "disclaimer"],
     "notice": ["cookie", "cookie-notice", "cookie-banner", "consent", "notice", "gdpr", "privacy-notice", "alert", "banner", "popup", "modal", "paywall"],
     "form": ["form", "newsletter", "subscribe", "signup", "login", "search", "contact-form", "subscription"],
-    "comment": ["comments", "comment", "comment-list", "replies", "discussion", "disqus_thread", "respond", "comment-body", "reader-comments", "responses", "user-comment"],
+    "comment": ["comments", "comment", "comment-list", "replies", "discussion", "disqus_thread", "respond", "disqus", "comment-body", "reader-comments", "responses", "user-comment"],
     "share": ["share", "social", "sharing", "share-buttons", "follow", "social-links"],
 }
 _SYLLABLES = "an be con da el fi go hu is ja ko le mi no ou pre qua re sta ti un ve wa xo ya zi ä é ó ñ ung tion ly er".split()
@@ -75,20 +75,20 @@ class _Maker:
             return "".join([*out, *(f"<p>{line if self.r.random() < 0.5 else self.words(1, self.r.choice((3, 12)))}</p>" for _ in range(self.r.randint(5, 80)))])
         for _ in range(max(1, int(self.r.lognormvariate(1.6, 0.8)))):
             x = self.r.random()
-            if x < 0.78:
+            if x < 0.70:
                 out.append(self.paragraph())
-            elif x < 0.83:
+            elif x < 0.75:
                 out.append(f"<h{(k := self.r.choice((2, 3, 4)))}>{self.words(1, 8)}</h{k}>")
-            elif x < 0.87:
+            elif x < 0.79:
                 out.append("<ul>" + "".join(f"<li>{self.inline(self.words(2, 15))}</li>" for _ in range(self.r.randint(1, 6))) + "</ul>")
-            elif x < 0.90:
+            elif x < 0.82:
                 out.append(f"<blockquote>{self.paragraph()}</blockquote>")
-            elif x < 0.92:
+            elif x < 0.84:
                 out.append("<table>" + "".join(f"<tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr>" for _ in range(self.r.randint(1, 4))) + "</table>")
-            elif x < 0.93:
+            elif x < 0.845:
                 out.append(f"<pre>{self.words(3, 20)}</pre>")
             else:
-                out.append(self.r.choice((self.ad, self.share, self.related, self.notice, self.form, self.ad))())
+                out.append(self.r.choice((self.ad, self.share, self.related, self.notice, self.form, self.named_block, self.named_block, self.named_block))())
         return "".join(out)
 
     def ad(self) -> str:
@@ -119,6 +119,14 @@ class _Maker:
         inner = f"<p>{self.words(2, 20)}</p>" * self.r.randint(0, 1) + f"<label>{self.words(1, 4)}</label><input><div>{self.words(1, 12)}</div>"
         return f"<form{self.attrs('form', 0)}>{inner}<button>{self.word()}</button></form>"
 
+    def named_block(self) -> str:
+        """Prose under a boilerplate name of any kind."""
+        kind = self.r.choice([k for k in NAMES if k != "content"])
+        tag = self.r.choice(("div", "div", "section", "aside", "p", "span"))
+        tag = "div" if tag == "span" else tag
+        body = self.inline(self.words(3, 40)) if tag == "p" or self.r.random() < 0.4 else "".join(self.paragraph() for _ in range(self.r.choice((1, 1, 2))))
+        return f"<{tag} data-y=\"0\" {self.r.choice(('class', 'id'))}=\"{self.r.choice(NAMES[kind])}\">{body}</{tag}>"
+
     def comments(self) -> str:
         tag = self.r.choice(("section", "div", "ol", "div"))
         item = "li" if tag == "ol" else self.r.choice(("div", "article", "div"))
@@ -142,7 +150,7 @@ class _Maker:
             tags = ["div"]
         inside = r.random() < 0.3
         content = opened + body + (late if inside else "") + "".join(f"</{t}>" for t in reversed(tags))
-        parts = [maybe(0.5, header), maybe(0.7, nav), maybe(0.5, self.ad), maybe(0.2, self.notice), maybe(0.2, self.sidebar), content, "" if inside else late, maybe(0.3, self.related), maybe(0.3, self.sidebar), maybe(0.2, self.form), maybe(0.2, self.ad), maybe(0.15, self.notice)]
+        parts = [maybe(0.5, header), maybe(0.7, nav), maybe(0.5, self.ad), maybe(0.2, self.notice), maybe(0.2, self.sidebar), content, "" if inside else late, maybe(0.3, self.related), maybe(0.3, self.sidebar), maybe(0.2, self.form), maybe(0.2, self.ad), maybe(0.15, self.notice), maybe(0.25, self.named_block)]
         if r.random() < 0.2:
             parts = ["<div data-y=\"0\"" + r.choice((" id=\"wrapper\"", " class=\"container\"", "")) + ">", *parts, "</div>"]
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body data-y=\"0\">{''.join(parts)}{maybe(0.8, footer)}</body></html>"
