@@ -33,7 +33,7 @@ SHINGLE = 5
 #: Sketch estimates this far below the threshold rule a pair out: over six standard deviations of 125 coordinates.
 MARGIN = 0.2
 #: Nodes of a block, and shingles of a matrix at a time, in the last step.
-BLOCK, COLUMNS = 512, 8_192
+BLOCK, COLUMNS = 256, 8_192
 CACHED_WORDS = 100_000
 NO_ID = -(2**63)
 _U = np.uint64
