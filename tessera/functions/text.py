@@ -14,6 +14,21 @@ STOP_WORDS = (
     "PREDICTION CLASSIFIER CLASSIFICATION REGRESSION FEATURE FEATURES SEQUENCE SEQUENCES"
 ).split()
 
+#: What is replaced in a cell that is meant to hold a sequence, in this order, whatever the case: marks, remains of style, residues
+#: in brackets, terminal groups, brackets, joiners.
+CELL_CLEANUPS = [
+    (r"\*", ""),
+    (r"(color|style)\s*=\s*[^>]*>", ""),
+    (r"\(\s*(orn|dab|dap)\s*\)", "K"),
+    (r"[εϵ]\s*K", "K"),
+    (r"[-–—]\s*NH\s*2\b", ""),
+    (r"[-–—]?\s*CONH\s*2\b", ""),
+    (r"[-–—]\s*COOH\b", ""),
+    (r"[-–—]\s*OH\b", ""),
+    (r"[()\[\]{}]", ""),
+    (r"[\s‐‑–—_\\-]+", ""),
+]
+
 
 def normalize_whitespace(text: Column) -> Column:
     """Runs of Unicode white space to one space, trimmed; null as empty."""
@@ -58,19 +73,9 @@ def canonical_sequence(text: Column, least: int) -> Column:
 
     Markers, style remains, brackets, joiners and common terminal groups go, three residues in brackets and epsilon-K become K.
     """
-    s = F.regexp_replace(normalize_whitespace(text), r"\*", "")
-    for pattern, put in (
-        (r"(?i)(color|style)\s*=\s*[^>]*>", ""),
-        (r"(?i)\(\s*(orn|dab|dap)\s*\)", "K"),
-        (r"(?i)[εϵ]\s*K", "K"),
-        (r"(?i)[-–—]\s*NH\s*2\b", ""),
-        (r"(?i)[-–—]?\s*CONH\s*2\b", ""),
-        (r"(?i)[-–—]\s*COOH\b", ""),
-        (r"(?i)[-–—]\s*OH\b", ""),
-        (r"[()\[\]{}]", ""),
-        (r"(?U)[\s‐‑–—_\\-]+", ""),
-    ):
-        s = F.regexp_replace(s, pattern, put)
+    s = normalize_whitespace(text)
+    for pattern, put in CELL_CLEANUPS:
+        s = F.regexp_replace(s, "(?iU)" + pattern, put)
     runs = F.transform(F.regexp_extract_all(s, F.lit("[A-Za-z]{%d,}" % max(1, least)), F.lit(0)), F.upper)
     found = F.filter(runs, lambda t: t.rlike(f"^[{CELL_ALPHABET}]+$"))
     found = F.when(F.size(found) > 0, found).otherwise(find_sequences(s, least))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.measure import COMPARE, COUNT_HEADERS, ENDPOINTS, NUMBER, UNITS, parse_measurements
-from tessera.functions.text import CELL_ALPHABET, STOP_WORDS
+from tessera.functions.text import CELL_ALPHABET, CELL_CLEANUPS, STOP_WORDS
 
 #: Scores of header patterns for the id column (later rows of equal score win by column), the parameter column, and
 #: headers that are no aliases; words of computational captions; shares of a header row's score.
@@ -31,6 +31,9 @@ COMPUTATIONAL = [r"\bcomputational\b", r"\bin\s*silico\b", r"\bpredict(?:ion|ed|
 HEADER_ROWS, SCANNED_ROWS, ID_HITS, CONTEXT_PAIRS, CONTEXT_CHARS = 4, 200, 6, 6, 120
 #: Fixed values of paper discovery: points of a table with sequences, with endpoints, of five values or more, of a numeric endpoint.
 PAPER_POINTS = (3, 3, 1, 1)
+#: Words of conditions that are no measurements, and of headings of derived sections.
+NO_CONDITION = ["interval", "therapeutic index", "geometric mean"]
+DERIVED = ["geometric mean", "therapeutic index", "selectivity index"]
 DISCOVERY_ENDPOINTS = "HC50 CC50 IC50 EC50 LC50 LD50 GI50 MIC MBC".split()
 DISCOVERY_SOFT = ["hemolysis", "hemolytic", "cytotoxicity", "cytotoxic", "toxicity", "lethal"]
 TITLE_TERMS = "mic mbc ic50 cc50 hc10 hc50 mhc ld50 lc50".split()
@@ -243,8 +246,8 @@ def plain_id(text: str | None) -> str:
 
 def cell_sequence(text: str | None, least: int = 5) -> str:
     """The longest sequence of a cell that is meant to hold one."""
-    s = squash(text).replace("*", "")
-    for pattern, put in ((r"(color|style)\s*=\s*[^>]*>", ""), (r"\(\s*(orn|dab|dap)\s*\)", "K"), (r"[εϵ]\s*K", "K"), (r"[-–—]\s*NH\s*2\b", ""), (r"[-–—]?\s*CONH\s*2\b", ""), (r"[-–—]\s*COOH\b", ""), (r"[-–—]\s*OH\b", ""), (r"[()\[\]{}]", ""), (r"[\s‐‑–—_\\-]+", "")):
+    s = squash(text)
+    for pattern, put in CELL_CLEANUPS:
         s = re.sub(pattern, put, s, flags=re.I)
     runs = [t.upper() for t in re.findall(rf"[A-Za-z]{{{least},}}", s) if set(t.upper()) <= set(CELL_ALPHABET)]
     if not runs:
@@ -377,14 +380,18 @@ def row_records(t: dict, known: set[str]) -> list[dict]:
     return out
 
 
+def _is_short_index(label: str) -> bool:
+    return label.rstrip("*") in ("ti", "si")
+
+
 def skipped_condition(text: str) -> bool:
-    s = squash(text).casefold()
-    return not s or "interval" in s or "therapeutic index" in s or "geometric mean" in s or re.fullmatch(r"(?:ti|si)\*?", s) is not None
+    label = squash(text).casefold()
+    return not label or _is_short_index(label) or any(w in label for w in NO_CONDITION)
 
 
 def starts_derived(text: str) -> bool:
-    s = squash(text).casefold()
-    return "geometric mean" in s or "therapeutic index" in s or "selectivity index" in s or re.fullmatch(r"(?:ti|si)\*?", s) is not None
+    label = squash(text).casefold()
+    return _is_short_index(label) or any(w in label for w in DERIVED)
 
 
 def transposed_records(t: dict, known: set[str]) -> list[dict]:
