@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc32_mod, discard, materialize, partitions
+from tessera.llm.common import crc32_mod, discard, materialize, partitions, small_batches, tidied
 
 CLASSES = 64
 ROUNDS = 2
@@ -360,11 +360,12 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, rounds: int =
     trace, if given, gets the objective of each round.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (crc32_mod(F.col(id_col), fold) != held).alias("train"))
-    blocks = materialize(source.mapInArrow(lambda it: _encode(it, parts, block_words), "block long, body binary, words binary"), "lm-blocks")
+    blocks = materialize(source.mapInArrow(tidied(lambda it: _encode(it, parts, block_words)), "block long, body binary, words binary"), "lm-blocks")
     to_words = lambda df: df.where("p >= 0").repartition(parts, "p").sortWithinPartitions("p", "block")
-    answers = materialize(to_words(blocks.select("block", "words").mapInArrow(_post_words, _MESSAGE)).mapInArrow(lambda it: _count_words(it, CLASSES), _MESSAGE), "lm-words")
+    answers = materialize(to_words(blocks.select("block", "words").mapInArrow(tidied(_post_words), _MESSAGE)).mapInArrow(tidied(lambda it: _count_words(it, CLASSES)), _MESSAGE), "lm-words")
 
     # A row a word partition.
     sizes, n, v, top, end = np.zeros(parts, np.int64), 0, 0, [], None
@@ -382,7 +383,7 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, rounds: int =
 
     def with_tokens(classes: DataFrame | None, run: Callable, schema: str = _MESSAGE) -> DataFrame:
         mail = tokens.unionByName(about) if classes is None else tokens.unionByName(about).unionByName(classes.where("kind = 3"))
-        return mail.repartition(parts, "block").sortWithinPartitions("block", "kind", "src").mapInArrow(run, schema)
+        return mail.repartition(parts, "block").sortWithinPartitions("block", "kind", "src").mapInArrow(tidied(run), schema)
 
     def summed(df: DataFrame, kind: int, size: int) -> np.ndarray:
         """Rows of a kind added up by src, which is below size."""
@@ -404,7 +405,7 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, rounds: int =
             best = objective(bigrams), classes, bigrams
         if not last:
             frozen = set(start) if k == 0 else {end} if end else set()
-            classes = materialize(to_words(contexts).mapInArrow(lambda it, bigrams=bigrams, frozen=frozen: _move(it, sizes, bigrams, frozen), _MESSAGE), "lm-classes")
+            classes = materialize(to_words(contexts).mapInArrow(tidied(lambda it, bigrams=bigrams, frozen=frozen: _move(it, sizes, bigrams, frozen)), _MESSAGE), "lm-classes")
         discard(contexts)
     _, classes, bigrams = best
     model = Model(bigrams, summed(classes, 5, CLASSES), summed(classes, 6, CLASSES), n, v)

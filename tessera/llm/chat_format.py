@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialize, partitions
+from tessera.llm.common import lookup, materialize, partitions, small_batches, tidied
 
 #: Tokens of a window for history and new turns (the system turn is on top), and of these for history.
 BUDGET, HISTORY = 1024, 256
@@ -143,6 +143,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     if not 0 <= 4 * history <= 2 * budget:
         raise ValueError("history must be at most half the budget")
     spark = turns.sparkSession
+    small_batches(spark)
     half = (budget - history) // 2
     n = partitions(spark)
     rows = turns.select(
@@ -152,7 +153,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     rows = rows.withColumn("n", tokens(F.col("text"))).withColumn("tie", F.sha2(F.to_json(F.struct("role", "text")), 256))
     order = ["known", "conv", F.col("turn").asc_nulls_first(), "tie"]
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("known", "conv", "n", "role", "text")
-    rows = materialize(rows.mapInArrow(_offsets, "known boolean, conv long, part int, nth long, before long, n long, role string, text string"), "turns")
+    rows = materialize(rows.mapInArrow(tidied(_offsets), "known boolean, conv long, part int, nth long, before long, n long, role string, text string"), "turns")
 
     # What earlier ranges hold of a conversation; one row a range at most.
     sums = rows.groupBy("known", "conv", "part").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
@@ -184,7 +185,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     placed = placed.where("NOT (kind = 'h' AND nth = 0 AND role = 'system')").unionByName(kept)
     # By a digest of conversation and window: a conversation's windows spread over the tasks.
     placed = placed.repartition(n, "known", "conv", "window").sortWithinPartitions("known", "conv", "window", "nth")
-    return placed.mapInArrow(lambda it: _format(it, history), _WINDOWS)
+    return placed.mapInArrow(tidied(lambda it: _format(it, history)), _WINDOWS)
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
@@ -214,7 +215,7 @@ def read_windows(windows: DataFrame) -> DataFrame:
         return _batches(run(), schema)
 
     ordered = windows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "window")
-    return ordered.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(tidied(digest), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,9 @@ BROADCAST_ROWS = 100_000
 #: A group with more than 1 / HEAVY_SHARE of all rows is heavy, so there are at most HEAVY_SHARE heavy groups.
 HEAVY_SHARE = 2_000
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -66,6 +74,29 @@ def drop_scratch(paths: list[str] | None = None) -> None:
 atexit.register(drop_scratch)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most for the session: texts are long, and batches of 10 000 fill an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if held <= 0 or held > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; once a partition is done its memory goes back to the system, as the worker lives on for other stages."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return go
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

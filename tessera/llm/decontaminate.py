@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches, tidied
+
 WINDOW = 13
 #: Words of a shard, and most benchmark text (bytes) sent to the shards at once.
 SHARD_WORDS = 500_000
@@ -169,13 +171,14 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) ->
 def _marked(docs: DataFrame, items: DataFrame, carry: list[str], window: int = WINDOW, share: int = 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Each document's columns named in carry as `row`, with n_words, n_hit, items, spans, contaminated."""
     spark = docs.sparkSession
+    small_batches(spark)
     found = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(text_col).alias("text"),
         F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"),
     )
     for block in _blocks(items, item_id, item_text, block_bytes):
         held = spark.sparkContext.broadcast(block)
-        found = found.mapInArrow(lambda it, held=held: _hit_rows(it, Queries(held.value, window), shard_words), found.schema)
+        found = found.mapInArrow(tidied(lambda it, held=held: _hit_rows(it, Queries(held.value, window), shard_words)), found.schema)
     n_hit = F.expr("aggregate(sequence(1, size(spans) - 1, 2), 0L, (s, i) -> s + spans[i] - spans[i - 1])")
     found = found.withColumn("n_hit", F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0).cast("long")))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
@@ -219,7 +222,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_
     out = spark.createDataFrame([], kind)
     for block in _blocks(items, item_id, item_text, block_bytes):
         held = spark.sparkContext.broadcast(block)
-        best = rows.mapInArrow(lambda it, held=held: _longest(it, Queries(held.value, window), shard_words), kind)
+        best = rows.mapInArrow(tidied(lambda it, held=held: _longest(it, Queries(held.value, window), shard_words)), kind)
         none = spark.createDataFrame([(name, at, 0, None, None) for name, text in block for at in range(len(words(text)))], kind)
         out = out.unionByName(best).unionByName(none)
     order = F.struct(-F.col("words"), F.col("id").isNull(), F.col("id"), F.col("start"))

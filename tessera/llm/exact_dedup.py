@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from tessera.llm.common import materialize, partitions
+from tessera.llm.common import materialize, partitions, small_batches, tidied
 
 PREFIX_CHARS = 32
 BATCH = 4096
@@ -88,6 +88,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every kept row does. An empty table gives an empty result. Ids are whole numbers.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     how = normalise(F.coalesce(F.col(text_col), F.lit(""))) if callable(normalise) else normalised(F.col(text_col), normalise)
     row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), how.alias("text"), *row)
@@ -95,7 +96,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = [F.substring("text", 1, PREFIX_CHARS), F.col("digest"), F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()]
     schema = StructType([*_parse_datatype_string(RUNS).fields, *([StructField("row", rows.schema["row"].dataType)] if carry else [])])
     carried = to_arrow_type(rows.schema["row"].dataType) if carry else None
-    runs = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(lambda it: _find_runs(it, carried), schema)
+    runs = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(tidied(lambda it: _find_runs(it, carried)), schema)
     runs = materialize(runs, "runs")
 
     best = F.max if keep == "largest" else F.min

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches, tidied
 from tessera.llm.html_pages import labelled_pages
 
 #: Fixed values of HTML: elements without content, elements whose text is never shown as such, and inline elements.
@@ -334,6 +335,7 @@ def extract_text(pages: DataFrame, model: Model | None = None, html_col: str = "
     Blocks are joined by two newlines; white space in a block is one space. A null or empty page, and one without
     article text, has the empty text. Repeated rows stay. An empty table gives an empty result.
     """
+    small_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(model or default_model())
     rows = pages.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(html_col).alias("html"))
     schema = rows.select("row", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
@@ -350,7 +352,7 @@ def extract_text(pages: DataFrame, model: Model | None = None, html_col: str = "
             texts += content(waiting, held.value) if waiting else []
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 
-    return rows.mapInArrow(run, schema).select("row.*", "text", "n_chars")
+    return rows.mapInArrow(tidied(run), schema).select("row.*", "text", "n_chars")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, lookup, lookup_skewed, materialize, partitions
+from tessera.llm.common import BROADCAST_ROWS, lookup, lookup_skewed, materialize, partitions, small_batches, tidied
 
 #: At similarity 0.85 a pair shares no band of 25 with probability 4e-7; at 0.8, 5e-5 (use more bands).
 BANDS, ROWS = 25, 5
@@ -228,8 +228,9 @@ def near_groups(
     its name unless all ids of the component are null, and such a row is not kept where the component has a
     smallest id. Columns beside id and text are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = source.mapInArrow(lambda it: _describe(it, shingle, bands, rows), "id long, node binary, n long, bands array<long>, short binary")
+    described = source.mapInArrow(tidied(lambda it: _describe(it, shingle, bands, rows)), "id long, node binary, n long, bands array<long>, short binary")
     described = materialize(described, "sketches")
     nodes = described.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short"))
     nodes = materialize(nodes, "nodes")
@@ -243,16 +244,16 @@ def near_groups(
     # Full sets of the nodes that have a bucket with others.
     needed = member.select("node").distinct().join(nodes.select("node", F.coalesce("first", F.lit(NO_ID)).alias("key")), "node")
     texts = _by_key(source, needed)
-    sets = materialize(texts.mapInArrow(lambda it: _sets(it, shingle), "node binary, elements binary").dropDuplicates(["node"]), "sets")
+    sets = materialize(texts.mapInArrow(tidied(lambda it: _sets(it, shingle)), "node binary, elements binary").dropDuplicates(["node"]), "sets")
     shorts = nodes.select("node", "short")
     least = max(0.0, percent / 100 - MARGIN)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(shorts.withColumnsRenamed({"node": "a", "short": "short_a"}), "a").join(shorts.withColumnsRenamed({"node": "b", "short": "short_b"}), "b")
-        pairs = pairs.mapInArrow(lambda it: _alike(it, least), "a binary, b binary")
+        pairs = pairs.mapInArrow(tidied(lambda it: _alike(it, least)), "a binary, b binary")
         pairs = materialize(pairs, "pairs")
         pairs = pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "set_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "elements": "set_b"}), "b")
-        return pairs.mapInArrow(lambda it: _linked(it, percent), "a binary, b binary")
+        return pairs.mapInArrow(tidied(lambda it: _linked(it, percent)), "a binary, b binary")
 
     # 1: a pair for each node, with the smallest centre of its buckets.
     other = F.when((F.col("node") != F.col("centre")) & fits(F.col("n"), F.col("centre_n")), F.col("centre"))
@@ -273,7 +274,7 @@ def near_groups(
     placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
     placed = placed.join(sets, "node")
     placed = placed.repartition(partitions(docs.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    labels = _contract(labels, placed.mapInArrow(lambda it: _block_links(it, percent), "a binary, b binary"))
+    labels = _contract(labels, placed.mapInArrow(tidied(lambda it: _block_links(it, percent)), "a binary, b binary"))
 
     firsts = nodes.select("node", "first", "copies").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_id = firsts.groupBy("comp").agg(F.min("first").alias("component_id"))

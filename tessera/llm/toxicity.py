@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc32_mod
+from tessera.llm.common import crc32_mod, small_batches, tidied
 from tessera.llm.decontaminate import words
 
 #: Most rows that the classifier is fitted on, chosen by hash: confirmed toxic, and unlabelled.
@@ -167,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 3, held: int =
     rows of the fold, which should be a fair sample.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     outside = (crc32_mod(F.col("id"), fold) != held) if fold else F.lit(True)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & outside)
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -179,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 3, held: int =
     # The samples are cut by id before any text moves; both are bounded.
     ids = texts.select("id").where("id IS NOT NULL").orderBy(*order).limit(unlabelled)
     sample = chosen.select("id", F.lit(1).alias("toxic")).unionByName(ids.distinct().select("id", F.lit(0).alias("toxic")))
-    rows = texts.join(F.broadcast(sample), "id").select("toxic", "text").mapInArrow(_features_arrow, "toxic int, features binary").collect()
+    rows = texts.join(F.broadcast(sample), "id").select("toxic", "text").mapInArrow(tidied(_features_arrow), "toxic int, features binary").collect()
     # Copies of a text count once.
     found: dict[int, set[bytes]] = {0: set(), 1: set()}
     while rows:
@@ -191,17 +192,20 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 3, held: int =
 
 def score_texts(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:
     """The columns named in carry, as struct `row`, and `score` of the whole text (null as empty)."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
+    inside = text_col in carry  # then the text travels once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = held.value.scorer()
         for batch in batches:
-            got = pa.array([score(t) for t in batch.column("text").to_pylist()], pa.float64())
+            texts = batch.column("row").field(text_col) if inside else batch.column("text")
+            got = pa.array([score(t) for t in texts.to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), got], names=["row", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), *([] if inside else [F.col(text_col).alias("text")]))
     schema = rows.select("row", F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from tessera.llm.common import lookup_skewed, scratch_path
+from tessera.llm.common import lookup_skewed, scratch_path, small_batches
 
 MANIFEST = "_warc_manifest.json"
 #: A file is closed beyond this size, and cut into partitions of about the second.
@@ -317,6 +317,7 @@ class WarcSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    small_batches(spark)
     spark.dataSource.register(WarcSource)
 
 
