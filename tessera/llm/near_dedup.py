@@ -90,7 +90,7 @@ def sketch(elements: np.ndarray, t: int = BANDS * ROWS) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Documents to node (digest of the set), set size, a hash for each band, and eight bits of each coordinate."""
+    """Documents to key, id, node (digest of the set), set size, a hash for each band, and eight bits of each coordinate."""
     shingler, seeds = Shingler(shingle), _mix(np.arange(1, bands + 1, dtype=np.uint64))
     for batch in batches:
         nodes, sizes, keys, short = [], [], [], []
@@ -109,7 +109,7 @@ def _describe(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows:
                 h = _mix(h * _U(0x9E3779B97F4A7C15) + best[k::rows])
             keys.append(h.view(np.int64))
             short.append((best & _U(255)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["id", "node", "n", "bands", "short"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["key", "id", "node", "n", "bands", "short"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -228,11 +228,19 @@ def near_groups(
     its name unless all ids of the component are null, and such a row is not kept where the component has a
     smallest id. Columns beside id and text are not read. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = source.mapInArrow(tidied(lambda it: _describe(it, shingle, bands, rows)), "id long, node binary, n long, bands array<long>, short binary")
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    full = _grouped(source, percent, shingle, bands, rows)
+    return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(source: DataFrame, percent: int, shingle: int, bands: int, rows: int) -> DataFrame:
+    """Rows (key, id, text) to key, id, n, component_id and keeper: the key of the component's first row by id (nulls last), node and key."""
+    spark = source.sparkSession
+    small_batches(spark)
+    described = source.mapInArrow(tidied(lambda it: _describe(it, shingle, bands, rows)), "key long, id long, node binary, n long, bands array<long>, short binary")
     described = materialize(described, "sketches")
-    nodes = described.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short"))
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")
+    nodes = described.where("node IS NOT NULL").groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short"))
     nodes = materialize(nodes, "nodes")
 
     # Buckets of two nodes or more, with their smallest node as centre.
@@ -242,7 +250,7 @@ def near_groups(
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     # Full sets of the nodes that have a bucket with others.
-    needed = member.select("node").distinct().join(nodes.select("node", F.coalesce("first", F.lit(NO_ID)).alias("key")), "node")
+    needed = member.select("node").distinct().join(nodes.select("node", F.col("first.key").alias("key")), "node")
     texts = _by_key(source, needed)
     sets = materialize(texts.mapInArrow(tidied(lambda it: _sets(it, shingle)), "node binary, elements binary").dropDuplicates(["node"]), "sets")
     shorts = nodes.select("node", "short")
@@ -273,29 +281,33 @@ def near_groups(
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
     placed = placed.join(sets, "node")
-    placed = placed.repartition(partitions(docs.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    placed = placed.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     labels = _contract(labels, placed.mapInArrow(tidied(lambda it: _block_links(it, percent)), "a binary, b binary"))
 
-    firsts = nodes.select("node", "first", "copies").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least_id = firsts.groupBy("comp").agg(F.min("first").alias("component_id"))
-    groups = firsts.join(least_id, "comp").select("node", "copies", "component_id")
-    docs_of = described.select("id", "node", "n")
-    full = lookup_skewed(docs_of.where("node IS NOT NULL"), groups, "node", "copies", docs_of.count()).select("id", "n", "component_id")
-    full = full.unionByName(docs_of.where("node IS NULL").select("id", "n", F.col("id").alias("component_id")))
-    return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    firsts = nodes.select("node", "first.*", "copies").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least_row = firsts.groupBy("comp").agg(F.min(F.struct("unnamed", "id", "node", "key")).alias("least"))
+    groups = firsts.join(least_row, "comp").select("node", "copies", F.col("least.id").alias("component_id"), F.col("least.key").alias("keeper"))
+    docs_of = described.select("key", "id", "node", "n")
+    full = lookup_skewed(docs_of.where("node IS NOT NULL"), groups, "node", "copies", docs_of.count()).select("key", "id", "n", "component_id", "keeper")
+    return full.unionByName(docs_of.where("node IS NULL").select("key", "id", "n", F.col("id").alias("component_id"), F.col("key").alias("keeper")))
+
 
+def drop_near_copies(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one of the smallest id, nulls last, whatever ids repeat or are null.
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The kept documents with all their columns; rows with a null id go where their component has another. Options as for near_groups()."""
-    gone = near_groups(docs, id_col=id_col, **options).where("NOT kept").select(F.coalesce(id_col, F.lit(NO_ID)).alias("_gone")).distinct()
-    gone = materialize(gone, "gone")
+    Rows are told apart by a number given in a first pass, which writes them down; of rows with the same id one
+    stays. Texts without words all stay. Options as for near_groups().
+    """
+    held = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
+    source = held.select("key", F.col(f"row.`{id_col}`").cast("long").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
+    gone = materialize(_grouped(source, percent, shingle, bands, rows).where("key <> keeper").select("key"), "gone")
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == gone["_gone"], "left_anti")
+    return held.join(F.broadcast(gone) if small else gone, "key", "left_anti").select("row.*")
 
 
 def _by_key(source: DataFrame, needed: DataFrame) -> DataFrame:
-    """Texts of the documents that stand for needed nodes; repeated ids may bring others, which _sets leaves out."""
-    return lookup(source.select(F.coalesce("id", F.lit(NO_ID)).alias("key"), "text"), needed, ["key"], "inner").select("node", "text")
+    """Texts of the documents that stand for needed nodes; repeated keys may bring others, which _sets leaves out."""
+    return lookup(source.select("key", "text"), needed, ["key"], "inner").select("node", "text")
 
 
 def _contract(labels: DataFrame, edges: DataFrame) -> DataFrame:

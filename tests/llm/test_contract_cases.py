@@ -131,6 +131,31 @@ def test_near_dedup_against_brute_force(spark, rows):
     assert near_groups(docs_of(spark, [(1, None, "s"), (2, "", "s")])).select("component_id").distinct().count() == 2
 
 
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    """Null and repeated ids: no clean row goes with a near copy of its id, and near copies under one id leave one."""
+    from tessera.llm.near_dedup import drop_near_copies
+
+    near = lambda seed, k: words(100, seed) + f" edit{k}"
+    rows = [(1, near(1, 0)), (None, near(1, 1)), (None, words(80, 2)), (None, words(80, 3)), (9, near(1, 2)), (9, words(80, 4))]
+    rows += [(20, near(5, k)) for k in range(3)] + [(None, near(6, k)) for k in range(3)] + [(30, words(80, 7))] * 2 + [(40, ""), (40, ""), (None, None)]
+    rows += [(8, near(8, 0)), (7, near(8, 1)), (None, near(9, 0)), (50, near(9, 1))]
+    sets = [shingles(t) for _, t in rows]
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                comp = [comp[b] if c == comp[a] else c for c in comp]
+    members = defaultdict(list)
+    for c, (i, t) in zip(comp, rows, strict=True):
+        members[c].append((i, t))
+    left = [(r.doc_id, r.text) for r in drop_near_copies(docs_of(spark, [(i, t, f"s{k}") for k, (i, t) in enumerate(rows)])).collect()]
+    assert len(left) == len(members)
+    for group in members.values():
+        least = min((i for i, _ in group if i is not None), default=None)
+        assert sum(x in left for x in {x for x in group if x[0] == least}) == 1
+        assert not any(x in left for x in group if x[0] != least)
+
+
 def test_sketch_fills_and_estimates():
     import numpy as np
 
