@@ -31,8 +31,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature that occurs this often in a text gives a second feature.
 OFTEN = 3
 SELECTED = 4_096
-#: Selected features are this many times as frequent in P as among clean texts, and beyond chance by this log-likelihood.
-TIMES, EVIDENCE = 60, 12
+#: Selected features are more frequent in P than among clean texts, beyond chance by this log-likelihood.
+EVIDENCE = 12
 THRESHOLD = 0.7
 #: A word's weight is kept once computed; the store is emptied at this many words.
 CACHED_WORDS = 100_000
@@ -81,7 +81,7 @@ class Model:
 
 
 def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = SELECTED) -> np.ndarray:
-    """Hashes much more frequent in P than among the clean texts of U, those of most evidence; sorted."""
+    """Hashes more frequent in P than among the clean texts of U, however little, those of most evidence; sorted."""
     size, n_p, n_u = 1 << HASH_BITS, len(positive), len(unlabelled)
 
     def count(rows: list[np.ndarray]) -> np.ndarray:
@@ -93,7 +93,7 @@ def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], pr
     p, u = count(positive), count(unlabelled)
     # U holds a share `prior` of toxic texts, so the rate among its clean texts is lower than in U.
     clean = np.maximum((u + 0.5) / (n_u + 1) - prior * p / n_p, 0.5 / (n_u + 1))
-    chosen = np.flatnonzero((p >= max(2, 0.005 * n_p)) & (p / n_p > min(TIMES, 0.5 * n_u / 5) * clean))
+    chosen = np.flatnonzero((p >= max(2, 0.005 * n_p)) & (p / n_p > clean))
     evidence = p[chosen] * np.log(p[chosen] / (n_p * clean[chosen])) - (p[chosen] - n_p * clean[chosen])
     chosen = chosen[evidence > EVIDENCE][np.argsort(-evidence[evidence > EVIDENCE], kind="stable")[:most]]
     return np.sort(chosen).astype(np.int32)

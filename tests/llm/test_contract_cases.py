@@ -341,6 +341,24 @@ def test_toxicity_held_out(spark):
     assert toxicity(docs.limit(0), marks).count() == 0
 
 
+@pytest.mark.parametrize("n_u", [600, 3000])
+def test_toxic_words_that_clean_texts_use_too(n_u):
+    """Words in half of the toxic and 4 % of the clean texts tell them apart, at any size of U."""
+    from tessera.llm.toxicity import fit_nnpu, text_features
+
+    r = random.Random(4)
+
+    def text(toxic, seed):
+        return " ".join([words(40, seed, 3000), *(f"crude{chr(97 + k)}" * 2 for k in range(16) if r.random() < (0.5 if toxic else 0.04))])
+
+    positive = [text_features(text(True, k)) for k in range(200)]
+    unlabelled = [text_features(text(k % 10 == 0, 1000 + k)) for k in range(n_u)]
+    model = fit_nnpu(positive, unlabelled, 0.1)
+    score = model.scorer()
+    called = lambda toxic, seed: sum(score(text(toxic, seed + k)) >= 0.7 for k in range(400)) / 400
+    assert called(True, 10_000) > 0.9 and called(False, 20_000) < 0.05
+
+
 def test_nnpu_corrects_for_hidden_positives():
     import numpy as np
 
