@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,6 +29,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template iframe textarea select button head title svg math object audio video canvas noframes xmp datalist".split())
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+#: Start tags that leave a head open; any other, and text, ends it.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+_SPACE = " \t\n\f\r"
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul dialog".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -54,6 +59,8 @@ def parse(html: str | None) -> Page:
     """Builds the tree of block elements as browsers would, near enough; no input makes it fail."""
     page = Page([""], [-1], [[]], [None], [])
     stack: list[tuple[str, int]] = [("", 0)]  # open elements; an inline one has its block's number
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements in the stack, by tag
+    blocks = [0]  # places of those that are not inline
     silent = links = 0
     pieces: list[str] = []
     linked = 0
@@ -61,6 +68,8 @@ def parse(html: str | None) -> Page:
 
     def text(raw: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and raw.strip(_SPACE):
+            leave_head()
         if not silent and raw:
             pieces.append(raw)
             linked += len(raw) if links else 0
@@ -80,10 +89,31 @@ def parse(html: str | None) -> Page:
             tag = stack[-1][0]
             if tag not in INLINE:
                 flush()
+                blocks.pop()
             stack.pop()
+            places[tag].pop()
             silent -= tag in SILENT
             links -= tag == "a"
 
+    def push(tag: str, number: int) -> None:
+        places[tag].append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, number))
+
+    def add(tag: str, names: list[str], label: int | None) -> None:
+        page.tags.append(tag)
+        page.parents.append(stack[-1][1])
+        page.names.append(names)
+        page.labels.append(label)
+        push(tag, len(page.tags) - 1)
+
+    def leave_head() -> None:
+        """At what cannot be in a head, the head ends and a body begins."""
+        pop_to(len(stack) - 1)
+        if not places["body"]:
+            add("body", [], None)
+
     at, end = 0, len(source)
     while at < end:
         m = _TAG.search(source, at)
@@ -110,15 +140,14 @@ def parse(html: str | None) -> Page:
             if tag == "br":
                 pieces.append(" ")
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
-                if len(stack) - depth > 500:
-                    break
+            if places[tag] and (tag not in INLINE or places[tag][-1] > blocks[-1]):
+                pop_to(places[tag][-1])
             continue
+        if stack[-1][0] == "head" and tag not in _IN_HEAD:
+            if tag == "body":
+                pop_to(len(stack) - 1)
+            else:
+                leave_head()
         if tag == "br":
             pieces.append(" ")
             continue
@@ -130,36 +159,35 @@ def parse(html: str | None) -> Page:
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(source, at)
             at = end if close is None else (source.find(">", close.end()) + 1 or end)
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack[:4]):
+        if tag in ("html", "body") and places[tag]:
+            continue
+        if tag == "head" and (pieces or page.runs or any(t not in ("", "html") for t in page.tags)):  # a head comes first, and once
             continue
         if tag in _CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
+            if stack[blocks[-1]][0] == "p":
+                pop_to(blocks[-1])
         elif tag in _CLOSED_BY:
-            scope, closes, cut = _SCOPE[tag], _CLOSED_BY[tag], 0
-            for depth in range(len(stack) - 1, max(0, len(stack) - 500), -1):
-                if stack[depth][0] in scope:
-                    break
-                if stack[depth][0] in closes:
-                    cut = depth
-                    if tag not in ("tr", "tbody", "tfoot"):
-                        break
-            if cut:
+            inside = max((places[t][-1] for t in _SCOPE[tag] if places[t]), default=0)
+            if tag in ("tr", "tbody", "tfoot"):  # the outermost in its table
+                cut = min((places[t][k] for t in _CLOSED_BY[tag] if (k := bisect_right(places[t], inside)) < len(places[t])), default=0)
+            else:
+                cut = max((places[t][-1] for t in _CLOSED_BY[tag] if places[t]), default=0)
+            if cut > inside:
                 pop_to(cut)
         silent += tag in SILENT
         if tag in INLINE:
             links += tag == "a"
             if not (m[4] and "data-y" in m[4]) or silent:
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
                 continue
         flush()
-        if tag == "body" and silent:  # the head was not closed
+        if tag == "body" and silent:  # something in the head was not closed
             silent = 0
-            stack[:] = [x for x in stack if x[0] not in SILENT]
+            still = [x for x in stack[1:] if x[0] not in SILENT]
+            del stack[1:], blocks[1:]
+            places.clear()
+            for x in still:
+                push(*x)
         names: list[str] = []
         label = None
         for name, *value in _NAMES.findall(m[4]) if m[4] else ():
@@ -168,11 +196,7 @@ def parse(html: str | None) -> Page:
                 label = int(got) if got.isdigit() else None
             else:
                 names += _PARTS.findall(got)
-        page.tags.append(tag)
-        page.parents.append(stack[-1][1])
-        page.names.append(names)
-        page.labels.append(label)
-        stack.append((tag, len(page.tags) - 1))
+        add(tag, names, label)
     flush()
     return page
 

@@ -541,6 +541,30 @@ def test_sum_product_is_exact():
     assert np.allclose(marginal, exact / exact.sum(1, keepdims=True)) and np.allclose(joint[3].sum(), 1)
 
 
+def test_html_head_that_is_not_closed():
+    """A head ends at the first tag or text that cannot be in it, as if </head><body> stood there."""
+    from tessera.llm.html_extract import parse
+
+    head = '<html><head>\n <title>t</title><meta name="a"><style>p{}</style><script>"</head>"</script><noscript><img src="x"></noscript>\n'
+    for body in ("<p>An article. <b>All</b> of it.<p>More", "loose text <p>more", "<b>bold</b> text", "<br>text", "<img src=x>text<div>more</div>", "&nbsp;x", "<p>a<head><p>b"):
+        for rest in ("", "</body></html>"):
+            got, want = parse(head + body + rest), parse(head + "</head><body>" + body + rest)
+            assert (got.tags, got.parents, got.runs) == (want.tags, want.parents, want.runs)
+            assert got.runs and all("t" != run for _, run, _ in got.runs)
+    assert parse(head + "<body class='x'><p>a").names == parse(head + "</head><body class='x'><p>a").names
+
+
+def test_html_end_tags_far_below_their_start():
+    from tessera.llm.html_extract import parse
+
+    page = parse("<body><section>" + "<div>" * 2000 + "deep</section><p>after</p>")
+    assert [page.parents[k] for k, t in enumerate(page.tags) if t in ("section", "p")] == [1, 1]
+    page = parse("<ul><li>" + "<b>" * 2000 + "a<li>b</ul><p>c")
+    assert [page.parents[k] for k, t in enumerate(page.tags) if t == "li"] == [1, 1] and page.parents[-1] == 0
+    page = parse("<table><tr><td>" + "<i>" * 2000 + "a<tr><td>b</table>c")
+    assert [page.parents[k] for k, t in enumerate(page.tags) if t == "tr"] == [1, 1] and page.runs[-1][:2] == (0, "c")
+
+
 def test_html_model_on_held_out_pages():
     from tessera.llm.html_extract import default_model, forest, parse, sum_product
     from tessera.llm.html_pages import labelled_pages
