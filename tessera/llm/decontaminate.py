@@ -36,10 +36,10 @@ def words(text: str | None) -> list[bytes]:
 class Queries:
     """A block of benchmark items: vocabulary, distinct windows, and which items have them."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.items: list[tuple[str, list[int]]] = []
+        self.items: list[tuple[str | None, list[int]]] = []
         owners: dict[tuple[int, ...], set[int]] = {}
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
@@ -149,7 +149,7 @@ def _hit_rows(batches: Iterator[pa.RecordBatch], q: Queries, shard_words: int) -
             for k in np.unique(documents).tolist():  # those of an earlier block may overlap
                 spans[k] = _merge(spans[k]) if had[k] else spans[k]
             for k, w in np.unique(np.stack([shard.document(at), window], axis=1), axis=0).tolist() if len(at) else []:
-                items[k] += [q.items[i][0] for i in q.owners[w]]
+                items[k] += [q.items[i][0] for i in q.owners[w] if q.items[i][0] is not None]
         found = {
             "n_words": pa.array([len(d) for d in docs], pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.int64())),
@@ -158,13 +158,13 @@ def _hit_rows(batches: Iterator[pa.RecordBatch], q: Queries, shard_words: int) -
         yield pa.RecordBatch.from_arrays([found.get(f.name, batch.column(f.name)) for f in batch.schema], names=batch.schema.names)
 
 
-def _blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark in blocks of about block_bytes of text, one on the driver at a time."""
-    named = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("text")).where("name IS NOT NULL")
+def _blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The benchmark in blocks of about block_bytes of text, one on the driver at a time. Items without an id have texts too."""
+    named = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("text"))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
-        block = named if n == 1 else named.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k)
+        block = named if n == 1 else named.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
         yield [(r.name, r.text) for r in block.toLocalIterator()]
 
 
@@ -189,8 +189,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **o
 
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one window. A word of
     a document inside any occurrence of a window is hit; a document is contaminated if n_hit > 0 and
-    share * n_hit >= n_words. Null texts have no words; items with a null id are left out; repeated ids keep
-    their rows; columns beside the named ones are not read. Empty tables give an empty result, or no hits.
+    share * n_hit >= n_words. Null texts have no words; items with a null id are searched for too, but not named in items; repeated
+    ids keep their rows; columns beside the named ones are not read. Empty tables give an empty result, or no hits.
     Options: window, share, text_col, item_id, item_text, block_bytes, shard_words.
     """
     return _marked(docs, items, [id_col], **options).select(f"row.{id_col}", "n_words", "n_hit", "items", "spans", "contaminated")
@@ -215,8 +215,9 @@ def longest_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_
     """For every suffix of every item its longest verbatim match: item, offset, words, id and start of one place.
 
     words is 0, and the place null, where not even the first word occurs. Of equally long matches the one with
-    the smallest (id, start) is given. Edge cases as in contamination().
+    the smallest (id, start) is given. Items with a null id are left out; other edge cases as in contamination().
     """
+    items = items.where(F.col(item_id).isNotNull())
     spark, kind = docs.sparkSession, "item string, offset long, words long, id long, start long"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = spark.createDataFrame([], kind)
@@ -287,5 +288,6 @@ FROM dw LEFT JOIN pos ON dw.doc_id = pos.doc_id LEFT JOIN its ON dw.doc_id = its
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id IS NOT NULL")  # as the SQL has it
+    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), items)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")

@@ -226,6 +226,18 @@ def test_decontamination_against_brute_force(spark, rows, block_bytes):
     assert best[("1", 0)] == (40, 200) and best[("2", 0)][0] == 3 and best[("6", 0)][0] >= 1
 
 
+@pytest.mark.parametrize("block_bytes", [10_000_000, 100])
+def test_benchmark_items_without_an_id_are_searched(spark, block_bytes):
+    from tessera.llm.decontaminate import contamination, decontaminate
+
+    one, two, three = words(20, 1), words(20, 2), words(20, 3)
+    bench = spark.createDataFrame([(None, one), (2, two), (None, two), (None, None)], "item_id long, text string")
+    docs = docs_of(spark, [(1, "x " + one, "s"), (2, two + " y", "s"), (3, three, "s")])
+    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in contamination(docs, bench, block_bytes=block_bytes).collect()}
+    assert got == {1: (20, [], True), 2: (20, ["2"], True), 3: (0, [], False)}
+    assert [r.doc_id for r in decontaminate(docs, bench, block_bytes=block_bytes).collect()] == [3]
+
+
 # --- url filters ---------------------------------------------------------------------------------------------------
 
 
