@@ -114,7 +114,7 @@ def _format(batches: Iterator[pa.RecordBatch], history: int) -> Iterator[pa.Reco
             past: list[dict] = []
             for t in reversed(old):  # the turns just before the new ones, none left out between
                 room -= t["n"]
-                if room < 0:
+                if room < 0 or t["nth"] != new[0]["nth"] - 1 - len(past):
                     break
                 past.append(t)
             first = system if new[0]["nth"] > 0 else []

@@ -431,6 +431,23 @@ def test_lm_is_a_distribution():
 # --- chat formatting -----------------------------------------------------------------------------------------------
 
 
+def test_chat_history_leaves_no_turn_out(spark):
+    """A turn too long for history ends it: the turns before it are not repeated without it."""
+    from tessera.llm.chat_format import format_windows, parse_window
+
+    sizes = {1: (150, 100, 300, 50), 2: (150, 100, 100, 100, 50), 3: (150, 100, 300, 900)}
+    rows = [(c, k, "user", " ".join([f"t{k}"] * (n - 4))) for c, ns in sizes.items() for k, n in enumerate(ns)]
+    windows = format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    seen = defaultdict(list)
+    for w in sorted(windows, key=lambda w: (w.conv_id, w.window)):
+        turns = [int(text[1 : text.find(" ")]) for _, text, _, _ in parse_window(w.text)]
+        assert turns == list(range(turns[0], turns[-1] + 1))
+        seen[w.conv_id] += turns[w.repeated :]
+    assert seen == {c: list(range(len(ns))) for c, ns in sizes.items()}
+    assert any(w.repeated for w in windows if w.conv_id == 2)
+
+
+
 def test_chat_formatting(spark):
     from tessera.llm.chat_format import CONTROL, escape, format_windows, parse_window, read_windows, unescape
 
