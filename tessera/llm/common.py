@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
@@ -13,31 +12,46 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 #: Rows that a lookup table may have to be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: A group with more than 1 / HEAVY_SHARE of all rows is heavy, so there are at most HEAVY_SHARE heavy groups.
 HEAVY_SHARE = 2_000
 
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16_000_000
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: The scratch folder of each application.
+_FOLDERS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where that is unset: a local one if the master is local, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    return path
+    """A new path in this application's scratch folder, which the file system deletes when the driver's JVM ends, stopped session or not."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        folder = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+        target, where = _hadoop(spark, folder)
+        where.mkdirs(target)
+        where.deleteOnExit(target)
+        _FOLDERS[app] = folder
+    return f"{_FOLDERS[app]}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -52,34 +66,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Delete a table that materialize() wrote and that nothing will read again."""
-    drop_scratch([table.scratch_path])
+    target, where = _hadoop(table.sparkSession, table.scratch_path)
+    where.delete(target, True)
 
 
-def drop_scratch(paths: list[str] | None = None) -> None:
-    """Delete scratch tables (all that this process wrote, or those given). Called at exit; may be called earlier."""
-    left = []
-    for spark, path in _WRITTEN:
-        if paths is not None and path not in paths:
-            left.append((spark, path))
-            continue
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended: the folder's owner cleans up
-            pass
-    _WRITTEN[:] = left
-
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes at most: texts are long, and larger batches fill an executor.
 
-atexit.register(drop_scratch)
+    The settings stay after the query; smaller ones are left alone.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not held.isdigit() or not 0 < int(held) <= most:  # a size with a unit is replaced too
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows at most for the session: texts are long, and batches of 10 000 fill an executor."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = int(spark.conf.get(name))
-    if held <= 0 or held > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+def whole_id(df: DataFrame, name: str) -> Column:
+    """The id column as long; an error if it does not hold whole numbers."""
+    if df.select(F.col(f"`{name}`")).schema[0].dataType not in (ByteType(), ShortType(), IntegerType(), LongType()):
+        raise TypeError(f"ids must be whole numbers: {name}")
+    return F.col(f"`{name}`").cast("long")
 
 
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -1,5 +1,7 @@
 """Lookups beyond the broadcast bound, scratch tables."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -22,3 +24,27 @@ def test_scratch_tables_go(spark):
     assert files.exists(path)
     common.discard(t)
     assert not files.exists(path)
+
+
+def test_no_local_folder_on_a_cluster():
+    """Without a shared folder a cluster's session raises; hosts must not write to folders of their own."""
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_batches_and_ids(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    common.small_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(common.BATCH_BYTES)
+    with pytest.raises(TypeError, match="whole numbers"):
+        common.whole_id(spark.createDataFrame([("x",)], "doc_id string"), "doc_id")
+    assert spark.range(3).select(common.whole_id(spark.range(3), "id")).count() == 3
