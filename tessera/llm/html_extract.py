@@ -9,6 +9,7 @@ pages by the gradient of the exact likelihood, which needs the same marginals.
 from __future__ import annotations
 
 import html as _html
+import json
 import re
 from bisect import bisect_right
 from collections import defaultdict
@@ -22,13 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches, tidied
-from tessera.llm.html_pages import labelled_pages
+from tessera.llm.html_pages import MARK, labelled_pages
 
-#: Fixed values of HTML: elements without content, elements whose text is never shown as such, and inline elements.
+#: Fixed values of HTML: elements without content; scripts, styles, metadata and form controls, whose text is no page text; those of them that hold
+#: raw text; inline elements; and elements below which all are inline.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe textarea select button head title svg math object audio video canvas noframes xmp datalist".split())
-RAW = frozenset("script style textarea title iframe noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+SILENT = frozenset("script style template iframe textarea select button head title noframes datalist".split())
+RAW = frozenset("script style textarea title iframe noframes".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big button canvas cite code data datalist del dfn em font i ins kbd label map mark math meter noscript object optgroup option output picture progress q rp rt ruby s samp "
+    "select slot small span strike strong sub sup svg template time tt u var video".split()
+)
+ALL_INLINE = ("math", "svg")
+#: Inline elements whose end tag ends blocks left open in them, too.
+_WHOLE = frozenset("audio button canvas datalist math noscript object select svg template video".split())
 #: Start tags that leave a head open; any other, and text, ends it.
 _IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _SPACE = " \t\n\f\r"
@@ -36,7 +44,7 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
 _TAG = re.compile(r"""<(?:!--|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>)""")
-_NAMES = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _ANCESTORS = frozenset("nav header footer aside form dialog menu article main section ul ol table blockquote figure".split())
 _ROOTS = frozenset(("html", "body", ""))
@@ -46,7 +54,7 @@ KINDS = 8  # of the child, four, below a root or not
 
 @dataclass
 class Page:
-    """Block elements in page order (0 is the root) and their runs of text."""
+    """Block elements in page order (0 is the root) and their runs of text. labels: of training pages only."""
 
     tags: list[str]
     parents: list[int]
@@ -55,16 +63,20 @@ class Page:
     runs: list[tuple[int, str, int]]  # element, text, characters in links
 
 
-def parse(html: str | None) -> Page:
-    """Builds the tree of block elements as browsers would, near enough; no input makes it fail."""
+def parse(html: str | None, mark: str | None = None) -> Page:
+    """Builds the tree of block elements as browsers would, near enough; no input makes it fail.
+
+    mark: the attribute that holds a training page's labels. Without it no attribute is read but class, id and role.
+    """
     page = Page([""], [-1], [[]], [None], [])
-    stack: list[tuple[str, int]] = [("", 0)]  # open elements; an inline one has its block's number
+    stack: list[tuple[str, int, bool]] = [("", 0, True)]  # open elements, and if they are blocks; an inline one has its block's number
     places: dict[str, list[int]] = defaultdict(list)  # of the open elements in the stack, by tag
     blocks = [0]  # places of those that are not inline
     silent = links = 0
     pieces: list[str] = []
     linked = 0
     source = html or ""
+    labelled = re.compile(rf'(?<![\w-]){mark}="(\d)"') if mark else None
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -87,7 +99,7 @@ def parse(html: str | None) -> Page:
         nonlocal silent, links
         while len(stack) > depth:
             tag = stack[-1][0]
-            if tag not in INLINE:
+            if stack[-1][2]:
                 flush()
                 blocks.pop()
             stack.pop()
@@ -95,18 +107,18 @@ def parse(html: str | None) -> Page:
             silent -= tag in SILENT
             links -= tag == "a"
 
-    def push(tag: str, number: int) -> None:
+    def push(tag: str, number: int, block: bool) -> None:
         places[tag].append(len(stack))
-        if tag not in INLINE:
+        if block:
             blocks.append(len(stack))
-        stack.append((tag, number))
+        stack.append((tag, number, block))
 
     def add(tag: str, names: list[str], label: int | None) -> None:
         page.tags.append(tag)
         page.parents.append(stack[-1][1])
         page.names.append(names)
         page.labels.append(label)
-        push(tag, len(page.tags) - 1)
+        push(tag, len(page.tags) - 1, True)
 
     def leave_head() -> None:
         """At what cannot be in a head, the head ends and a body begins."""
@@ -140,7 +152,8 @@ def parse(html: str | None) -> Page:
             if tag == "br":
                 pieces.append(" ")
                 continue
-            if places[tag] and (tag not in INLINE or places[tag][-1] > blocks[-1]):
+            # An inline element ends if it was opened in this block; a block ends with all that is open in it.
+            if places[tag] and (stack[places[tag][-1]][2] or places[tag][-1] > blocks[-1] or tag in _WHOLE):
                 pop_to(places[tag][-1])
             continue
         if stack[-1][0] == "head" and tag not in _IN_HEAD:
@@ -175,11 +188,10 @@ def parse(html: str | None) -> Page:
             if cut > inside:
                 pop_to(cut)
         silent += tag in SILENT
-        if tag in INLINE:
+        if tag in INLINE or any(places[t] for t in ALL_INLINE):
             links += tag == "a"
-            if not (m[4] and "data-y" in m[4]) or silent:
-                push(tag, stack[-1][1])
-                continue
+            push(tag, stack[-1][1], False)
+            continue
         flush()
         if tag == "body" and silent:  # something in the head was not closed
             silent = 0
@@ -190,12 +202,10 @@ def parse(html: str | None) -> Page:
                 push(*x)
         names: list[str] = []
         label = None
-        for name, *value in _NAMES.findall(m[4]) if m[4] else ():
-            got = next(filter(None, value), "").lower()
-            if name.lower() == "data-y":
-                label = int(got) if got.isdigit() else None
-            else:
-                names += _PARTS.findall(got)
+        for value in _NAMES.findall(m[4]) if m[4] else ():
+            names += _PARTS.findall("".join(value).lower())
+        if labelled and (found := labelled.search(m[4])):
+            label = int(found[1])
         add(tag, names, label)
     flush()
     return page
@@ -282,6 +292,15 @@ class Model:
     weights: np.ndarray  # of features, for content
     pair: np.ndarray  # [kind, parent, child]
 
+    def to_json(self) -> str:
+        """For a file: pages need be labelled and the model fitted only once."""
+        return json.dumps({"names": list(self.index), "weights": self.weights.tolist(), "pair": self.pair.tolist()})
+
+    @staticmethod
+    def from_json(text: str) -> Model:
+        got = json.loads(text)
+        return Model({name: i for i, name in enumerate(got["names"])}, np.array(got["weights"]), np.array(got["pair"]))
+
     def unary(self, f: Forest) -> np.ndarray:
         out = np.zeros((len(f.parent), 2))
         out[:, 1] = np.bincount(f.row, self.weights[f.column], len(f.parent))
@@ -295,7 +314,10 @@ def sum_product(f: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndar
     edge = pair[f.kind]
     for level in reversed(f.levels[1:]):
         up[level] = np.logaddexp(edge[level, :, 0] + belief[level, None, 0], edge[level, :, 1] + belief[level, None, 1])
-        np.add.at(belief, f.parent[level], up[level])
+        low, to = f.parent[level].min(), f.parent[level]
+        for y in (0, 1):
+            got = np.bincount(to - low, up[level, y])
+            belief[low : low + len(got), y] += got
     full = belief.copy()
     for level in f.levels[1:]:
         rest = full[f.parent[level]] - up[level]  # what the parent knows without this child
@@ -309,9 +331,9 @@ def sum_product(f: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndar
     return marginal, joint
 
 
-def fit(pages: list[str], steps: int = 250, rate: float = 0.1, decay: float = 3e-4) -> Model:
-    """Adam on the penalised exact log-likelihood of the labelled pages."""
-    parsed = [parse(p) for p in pages]
+def fit(pages: list[str], mark: str = MARK, steps: int = 250, rate: float = 0.1, decay: float = 3e-4) -> Model:
+    """Adam on the penalised exact log-likelihood of pages whose attribute `mark` has the labels: 1 for article text, 0 for other, of an element and those below it."""
+    parsed = [parse(p, mark) for p in pages]
     index: dict[str, int] = {}
     f = forest(parsed, index, grow=True)
     y = np.zeros(len(f.parent), np.int64)
@@ -331,8 +353,7 @@ def fit(pages: list[str], steps: int = 250, rate: float = 0.1, decay: float = 3e
         marginal, joint = sum_product(f, model.unary(f), pair)
         gw = np.bincount(f.column, (y - marginal[:, 1])[f.row], len(w)) / len(pages) - decay * w
         gw[rare] = 0
-        expected = np.zeros_like(pair)
-        np.add.at(expected, f.kind[child], joint[child])
+        expected = np.stack([np.bincount(f.kind[child], joint[child, a, b], KINDS) for a in (0, 1) for b in (0, 1)], 1).reshape(pair.shape)
         gp = (observed - expected) / len(pages) - decay * pair
         g = np.concatenate([gw, gp.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -357,11 +378,15 @@ def extract_text(pages: DataFrame, model: Model | None = None, html_col: str = "
     """The columns in carry, text and n_chars of every row, from the whole html.
 
     Blocks are joined by two newlines; white space in a block is one space. A null or empty page, and one without
-    article text, has the empty text. Repeated rows stay. An empty table gives an empty result.
+    article text, has the empty text. Repeated rows stay. An empty table gives an empty result. Very long pages are parsed
+    whole, one at a time; what is held of a page is in proportion to it. Columns outside carry are not read, so their names may clash;
+    a carried column must not be named text or n_chars (an error).
     """
+    if clash := {c.lower() for c in carry} & {"text", "n_chars"}:
+        raise ValueError(f"columns of the result cannot be carried: {', '.join(sorted(clash))}")
     small_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(model or default_model())
-    rows = pages.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(html_col).alias("html"))
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{html_col}`").alias("html"))
     schema = rows.select("row", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
