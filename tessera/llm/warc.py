@@ -2,14 +2,16 @@
 
 Archives are sequences of gzip members, a record each, with the skip-length field `sl` in the member's header
 (compressed and uncompressed size of the member). The reader inflates the start of a member for the record's headers, tests
-the pushed-down predicates, and goes on to the next member without inflating the payload unless it is wanted. The writer leaves
-a manifest with the committed files and offsets to cut them at, so large files become several partitions and files of lost or
+the pushed-down predicates, and goes on to the next member without inflating the payload unless it is wanted. Each write leaves
+a manifest of its committed files and offsets to cut them at, so large files become several partitions and files of lost or
 repeated tasks are never read. Archives of others (.warc, .warc.gz, without manifest or skip lengths) are read file by file.
+Damaged records raise, or come as rows that say what is wrong; none is passed over in silence.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 import struct
@@ -24,16 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from tessera.llm.common import lookup_skewed, scratch_path, small_batches
+from tessera.llm.common import lookup_skewed, materialize, scratch_path, small_batches
 
-MANIFEST = "_warc_manifest.json"
+MANIFEST = "_warc_manifest"  # and a name of the write's own
 #: A file is closed beyond this size, and cut into partitions of about the second.
 FILE_BYTES, SPLIT_BYTES = 256_000_000, 32_000_000
 CHUNK = 1 << 20
 LEVEL = 3
 COLUMNS = ["warc_type", "record_id", "target_uri", "warc_date", "payload_digest", "refers_to"]
 _HEADERS = ["WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest", "WARC-Refers-To"]
-SCHEMA = ", ".join(f"{c} string" for c in COLUMNS) + ", content_length long, payload_length long, file string, offset long"
+SCHEMA = ", ".join(f"{c} string" for c in COLUMNS) + ", content_length long, payload_length long, file string, offset long, damage string"
 WRITE_SCHEMA = "record_id string, warc_type string, target_uri string, refers_to string, payload_sha1 string, payload_length long, payload binary"
 
 
@@ -104,16 +106,13 @@ class WarcWriter(DataSourceArrowWriter):
         return done
 
     def commit(self, messages: list[Written | None]) -> None:
+        """A manifest of its own for each write: nothing that is read already is replaced."""
         where, root = fs.FileSystem.from_uri(self.path)
         where.create_dir(root, recursive=True)
-        files, name = [x for m in messages if m for x in m.files], f"{root}/{MANIFEST}"
-        if where.get_file_info(name).type != fs.FileType.NotFound:
-            files = json.loads(where.open_input_stream(name).read()) + files
+        name = f"{root}/{MANIFEST}-{uuid.uuid4().hex}"
         with where.open_output_stream(name + ".new") as out:
-            out.write(json.dumps(files).encode())
-        if where.get_file_info(name).type != fs.FileType.NotFound:
-            where.delete_file(name)
-        where.move(name + ".new", name)
+            out.write(json.dumps([x for m in messages if m for x in m.files]).encode())
+        where.move(name + ".new", name + ".json")
 
     def abort(self, messages: list[Written | None]) -> None:
         where, root = fs.FileSystem.from_uri(self.path)
@@ -157,33 +156,47 @@ def _parse(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:]) if v}
 
 
+class Damaged(Exception):
+    """A record that cannot be read as it should. after: bytes from its start to where the next one may be, if that is known."""
+
+    def __init__(self, what: str, after: int | None = None):
+        super().__init__(what)
+        self.after = after
+
+
 def _inflated(buffer: _Buffer, size: int | None) -> Iterator[bytes]:
-    """The member at the buffer's place inflated piece by piece; afterwards, or once closed, the buffer is past it if size is known."""
-    flags = buffer.peek(10)[3]
-    length = 10
-    if flags & 4:
-        length += 2 + struct.unpack("<H", buffer.peek(12)[10:])[0]
-    for flag in (8, 16):  # file name, comment
-        if flags & flag:
-            while buffer.peek(length + 1)[length:] not in (b"\0", b""):
-                length += 1
-            length += 1
-    length += 2 * bool(flags & 2)
-    inflate, at = zlib.decompressobj(-15), length
+    """The member at the buffer's place inflated piece by piece, its check sum tested at the end; then the buffer is past it if size is not known."""
+    inflate, at = zlib.decompressobj(31), 0
     while not inflate.eof:
-        step = 16_384 if at == length else CHUNK
+        step = 16_384 if at == 0 else CHUNK
         piece = buffer.peek(at + step if size is None else min(size, at + step))[at:]
         if not piece:
-            raise EOFError("truncated member")
+            raise Damaged("truncated member", size)
         at += len(piece)
-        yield inflate.decompress(piece)
+        try:
+            got = inflate.decompress(piece)
+        except zlib.error as e:
+            raise Damaged(str(e), size) from e
+        yield got
     if size is None:
-        buffer.skip(at - len(inflate.unused_data) + 8)
+        buffer.skip(at - len(inflate.unused_data))
+
+
+def digest_differs(stated: str | None, payload: bytes) -> bool:
+    """If the stated digest (algorithm:value, in base32 or hex) is of another payload; False where it is absent or of an algorithm not known here."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5") or not value:
+        return False
+    own = hashlib.new(kind.lower(), payload).digest()
+    return value.rstrip("=").upper() not in (base64.b32encode(own).decode().rstrip("="), own.hex().upper())
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path, self.payload = options["path"].rstrip("/"), options.get("payload", "false").lower() == "true"
+        said = lambda name: options.get(name, "false").lower() == "true"
+        self.path, self.payload, self.verify, self.mode = options["path"].rstrip("/"), said("payload"), said("verify"), options.get("mode", "failfast").lower()
+        if self.mode not in ("failfast", "permissive"):
+            raise ValueError(f"mode must be failfast or permissive, not {self.mode}")
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
@@ -204,17 +217,18 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Stretch]:
         where, root = fs.FileSystem.from_uri(self.path)
-        if where.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.NotFound:
-            files = json.loads(where.open_input_stream(f"{root}/{MANIFEST}").read())
+        infos = where.get_file_info(fs.FileSelector(root)) if where.get_file_info(root).type == fs.FileType.Directory else [where.get_file_info(root)]
+        manifests = sorted(x.path for x in infos if x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"))
+        if manifests:
+            files = [x for m in manifests for x in json.loads(where.open_input_stream(m).read())]
             cut = [(f"{root}/{x['name']}", a, b) for x in files for a, b in zip(x["splits"], [*x["splits"][1:], x["size"]], strict=True)]
         else:
-            infos = where.get_file_info(fs.FileSelector(root)) if where.get_file_info(root).type == fs.FileType.Directory else [where.get_file_info(root)]
             cut = [(x.path, 0, x.size) for x in infos if re.search(r"\.warc(\.gz)?$", x.path)]
         return [Stretch(*x) for x in cut] or [Stretch("", 0, 0)]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        names = [*COLUMNS, "content_length", "payload_length", "file", "offset", *(["payload"] if self.payload else [])]
-        kinds = [pa.string()] * len(COLUMNS) + [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: len(names) - len(COLUMNS)]
+        names = [*COLUMNS, "content_length", "payload_length", "file", "offset", "damage", *(["payload"] if self.payload else [])]
+        kinds = [pa.string()] * len(COLUMNS) + [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()][: len(names) - len(COLUMNS)]
         schema, held, size = pa.schema(list(zip(names, kinds, strict=True))), [], 0
         for row in self.records(partition) if partition.path else ():
             held.append(row)
@@ -230,13 +244,37 @@ class WarcReader(DataSourceReader):
         with where.open_input_file(p.path) as file:
             buffer = _Buffer(file, p.start)
             while buffer.at < p.end and buffer.peek(2):
-                offset = buffer.at
-                row = self.gzip_record(buffer) if buffer.peek(2) == b"\x1f\x8b" else self.plain_record(buffer)
+                offset, place = buffer.at, {"file": p.path.rpartition("/")[2], "offset": buffer.at}
+                try:
+                    row = self.gzip_record(buffer) if buffer.peek(2) == b"\x1f\x8b" else self.plain_record(buffer)
+                except (Damaged, ValueError) as e:
+                    if self.mode == "failfast":
+                        raise ValueError(f"damaged record in {p.path} at {offset}: {e}") from e
+                    row = dict.fromkeys([*COLUMNS, "content_length", "payload_length"]) | {"damage": str(e)}
+                    row = row if self.wanted(row) else None
+                    after = getattr(e, "after", None)
+                    buffer.skip(offset + after - buffer.at if after else self.next_start(buffer, p.end))
                 if row is not None:
-                    yield row | {"file": p.path.rpartition("/")[2], "offset": offset}
+                    yield row | place
+
+    @staticmethod
+    def next_start(buffer: _Buffer, end: int) -> int:
+        """Bytes to the next place that looks like a record's start, or to the end."""
+        kinds, at = (b"\x1f\x8b\x08", b"WARC/1."), 1
+        while buffer.at + at < end:
+            seen = buffer.peek(at + CHUNK)[at:]
+            if not seen:
+                break
+            found = [k for k in (seen.find(kind) for kind in kinds) if k >= 0]
+            if found:
+                return at + min(found)
+            at += max(1, len(seen) - 6)
+        return end - buffer.at
 
     def row(self, head: bytes, more: Callable[[int], bytes]) -> tuple[dict | None, int, int]:
         """The row if it is wanted, the block's length, and the payload's start in it. more(n): the block's first n bytes, at most."""
+        if not head.startswith(b"WARC/"):
+            raise Damaged("no WARC header")
         fields = _parse(head)
         row: dict = {c: fields.get(h.lower()) for c, h in zip(COLUMNS, _HEADERS, strict=True)}
         for c in ("record_id", "refers_to"):
@@ -255,21 +293,36 @@ class WarcReader(DataSourceReader):
             row["payload_length"] = int(stated) if stated.isdigit() else length - start
         return row, length, start
 
+    def with_payload(self, row: dict, block: bytes, length: int, start: int, after: int | None) -> None:
+        if len(block) < length:
+            raise Damaged(f"block of {len(block)} bytes, {length} stated", after)
+        row["payload"] = block[start:]
+        if self.verify and row["warc_type"] != "revisit" and digest_differs(row["payload_digest"], row["payload"]):
+            raise Damaged("payload differs from its digest", after)
+
     def plain_record(self, buffer: _Buffer) -> dict | None:
         n = 4_096
         while (end := (seen := buffer.peek(n)).find(b"\r\n\r\n")) < 0 and len(seen) == n:
             n *= 2
         if end < 0:
-            buffer.skip(len(seen))
-            return None
+            if not seen.strip():  # line ends after the last record
+                buffer.skip(len(seen))
+                return None
+            raise Damaged("no end of header")
         row, length, start = self.row(seen[:end], lambda k: buffer.peek(end + 4 + k)[end + 4 :])
         if row is not None and self.payload:
-            row["payload"] = buffer.peek(end + 4 + length)[end + 4 + start :]
-        buffer.skip(end + 4 + length + 4)
+            self.with_payload(row, buffer.peek(end + 4 + length)[end + 4 :], length, start, end + 4 + length + 4)
+        buffer.skip(end + 4 + length)
+        if buffer.peek(4) != b"\r\n\r\n":
+            buffer.skip(-(end + 4 + length))
+            raise Damaged("no end of record")
+        buffer.skip(4)
         return row
 
     def gzip_record(self, buffer: _Buffer) -> dict | None:
         first = buffer.peek(24)
+        if len(first) < 18:
+            raise Damaged("truncated member")
         size = struct.unpack("<I", first[16:20])[0] if first[3] & 4 and first[12:14] == b"sl" else None
         pieces, data = _inflated(buffer, size), b""
 
@@ -282,10 +335,12 @@ class WarcReader(DataSourceReader):
         n = 4_096
         while (end := upto(n).find(b"\r\n\r\n")) < 0 and len(data) >= n:
             n *= 2
-        row, length, start = self.row(data[:end], lambda k: upto(end + 4 + k)[end + 4 : end + 4 + k]) if end >= 0 else (None, 0, 0)
+        if end < 0:
+            raise Damaged("no end of header", size)
+        row, length, start = self.row(data[:end], lambda k: upto(end + 4 + k)[end + 4 : end + 4 + k])
         if row is not None and self.payload:
-            rest = [data, *pieces]
-            row["payload"] = b"".join(rest)[end + 4 + start : end + 4 + length]
+            block = b"".join([data, *pieces])[end + 4 : end + 4 + length]
+            self.with_payload(row, block, length, start, size)
         if size is None:
             for _ in pieces:  # without skip lengths the end is found by inflating
                 pass
@@ -295,10 +350,12 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """format("warc"). Options: path; reading: payload (false: headers only); writing: date, filebytes, splitbytes.
+    """format("warc"). Options: path; reading: payload (false: headers only), verify (payloads against their digests), mode; writing: date, filebytes, splitbytes.
 
-    Rows: the header columns (null if absent), content_length, payload_length (as the HTTP headers state it), file, offset, and
-    payload if asked for. Rows to write have WRITE_SCHEMA. An empty folder gives no rows.
+    Rows: the header columns (null if absent), content_length, payload_length (as the HTTP headers state it), file, offset, damage, and
+    payload if asked for. A record that cannot be read, or whose payload verify finds changed, raises (mode failfast); with mode permissive it is
+    a row of nulls with its place and what is wrong in damage. Only what a query reads of a record is tested. Rows to write have WRITE_SCHEMA. An
+    empty folder gives no rows. Paths: of the schemes that pyarrow's file systems know (file, hdfs, s3, gs, abfs).
     """
 
     @classmethod
@@ -316,6 +373,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session. Sets two things in it that stay: filters are pushed to Python sources, and small Arrow batches."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     small_batches(spark)
     spark.dataSource.register(WarcSource)
@@ -325,14 +383,15 @@ def archive_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     """Rows of WRITE_SCHEMA, one for each page: of equal payloads of least_bytes or more, the row with the largest id is the response.
 
     Null payloads are empty. Smaller payloads are all responses. Rows that repeat the largest id are responses too; null ids
-    come below all others and, where all are null, are responses. Payloads are equal if SHA-1, SHA-256 and length are.
+    come below all others and, where all are null, are responses. Payloads are equal if SHA-1, SHA-256 and length are. An empty table
+    gives an empty result; a payload of any length is one record; columns beside the three named are not read.
     """
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("length", F.octet_length("payload").cast("long"))
     rows = rows.withColumn("key", F.concat("sha1", F.sha2("payload", 256)))
     groups = rows.where(F.col("length") >= least_bytes).groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    repeated = groups.where("n > 1")
+    repeated = materialize(groups.where("n > 1"), "warc-groups")  # so payloads are read and hashed twice, not three times
     total = pages.count()
     joined = lookup_skewed(rows, repeated, "key", "n", total)
     revisit = F.col("top").isNotNull() & ((F.col("id") != F.col("top")) | F.col("id").isNull())
@@ -357,12 +416,18 @@ FROM p JOIN b ON p.x = b.x JOIN m ON p.h = m.h
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads, whose digests are tested; revisits by a pushed predicate, headers only."""
     register(spark)
     path = scratch_path(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archive_records(pages).write.format("warc").mode("append").save(path)
+    return read_back(spark, path)
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """The query's columns from an archive of pages: of responses by the payload itself, of revisits by the header."""
     page = lambda c: F.nullif(F.regexp_extract(c, "^urn:page:(.*)$", 1), F.lit("")).cast("long")
-    return spark.read.format("warc").load(path).select(
-        page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
-        F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"),
-    )
+    read = lambda **options: spark.read.format("warc").options(**options).load(path)
+    columns = lambda size: [page("record_id").alias("page_id"), size.cast("long").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest"), F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to")]
+    responses = read(payload="true", verify="true").where("warc_type = 'response'").select(*columns(F.octet_length("payload")))
+    return responses.unionByName(read().where("warc_type = 'revisit'").select(*columns(F.col("payload_length"))))

@@ -529,6 +529,42 @@ def test_warc(spark, tmp_path):
     assert few.count() == 0
 
 
+def test_warc_damage_is_told(spark, tmp_path):
+    """A changed payload fails the query; damaged and cut records raise, or are counted."""
+    from tessera.llm.warc import archive_records, read_back, register
+
+    register(spark)
+    pages = spark.createDataFrame([(i, "u", f"<p>page {i}</p>" * 20) for i in range(6)] + [(9, "u", "<p>page 1</p>" * 20)], "page_id long, url string, html string")
+    archive_records(pages).coalesce(1).write.format("warc").mode("append").save(f"file://{tmp_path}/w")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in read_back(spark, f"file://{tmp_path}/w").collect()) == [(i, "revisit" if i == 1 else "response", 9 if i == 1 else None) for i in (0, 1, 2, 3, 4, 5, 9)]
+    import gzip
+
+    whole = b"".join(gzip.open(f).read() for f in (tmp_path / "w").glob("*.gz"))
+    packed = next((tmp_path / "w").glob("*.gz")).read_bytes()
+    cases = {
+        "changed": (whole.replace(b"page 3", b"page 8", 1), "differs", 6),
+        "cut": (whole[:-50], "stated|end of record", 6),
+        "head": (whole.replace(b"WARC/1.1\r\nWARC-Type: response", b"JUNK/1.1\r\nWARC-Type: response", 1), "no WARC header", 6),
+        "packed": (packed[:200] + bytes([packed[200] ^ 255]) + packed[201:], "damaged", 6),
+        "packed-cut": (packed[:-30], "truncated", 6),
+    }
+    for name, (data, what, left) in cases.items():
+        path = tmp_path / f"{name}.warc{'.gz' if 'packed' in name else ''}"
+        path.write_bytes(data)
+        read = lambda **o: spark.read.format("warc").options(payload="true", verify="true", **o).load(f"file://{path}")  # noqa: B023, E731
+        with pytest.raises(Exception, match=what):
+            read().collect()
+        rows = read(mode="permissive").collect()
+        assert sum(r.damage is None for r in rows) == left and sum(r.damage is not None for r in rows) == 1, name
+    (tmp_path / "changed.warc").rename(tmp_path / "w" / "x.warc")
+    for f in (tmp_path / "w").glob("_*.json"):
+        f.unlink()
+    for f in (tmp_path / "w").glob("*.gz"):
+        f.unlink()
+    with pytest.raises(Exception, match="differs"):
+        read_back(spark, f"file://{tmp_path}/w").collect()
+
+
 # --- HTML ----------------------------------------------------------------------------------------------------------
 
 
