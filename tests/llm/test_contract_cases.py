@@ -68,6 +68,29 @@ def test_exact_dedup_cuts_a_hot_group_over_ranges(spark):
     assert [r.doc_id for r in got if r.kept and r.doc_id < 500] == [499]
 
 
+@pytest.mark.parametrize("cut", [128, 4])
+def test_exact_dedup_of_texts_that_begin_alike(spark, cut):
+    """Most rows share more first characters than a splitter holds; among them texts of one copy and of very many. Order is of whole contents."""
+    from tessera.llm import exact_dedup
+
+    head = "the same first words on every page " * 10
+    rows = [(i, head + str(i % 150), "s") for i in range(600)] + [(1000 + i, head + "hot", "s") for i in range(500)] + [(2000 + i, f"{i} other", "s") for i in range(100)] + [(None, head + "hot", "s"), (3000, head + "é" * 50_000, "s")]
+    docs = docs_of(spark, rows).repartition(6)
+    got = exact_dedup.exact_groups(docs, keep="largest", cut_chars=cut).collect()
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[t].append(i)
+    want = Counter((i, max(x for x in groups[t] if x is not None), len(groups[t]), sha(t)) for i, t, _ in rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert sorted(r.doc_id for r in got if r.kept) == sorted({k for _, k, _, _ in want})
+    ranged, splitters = exact_dedup._ranged(docs.select(F.col("doc_id").alias("id"), "text"), 4, cut)
+    sizes = Counter(r.part for r in ranged.select("part").collect())
+    assert len(sizes) == 4 and max(sizes.values()) < 700
+    ordered = ranged.sortWithinPartitions("text").select("part", F.spark_partition_id().alias("at"), F.encode("text", "UTF-8").alias("b")).collect()
+    assert all(r.part == r.at for r in ordered)
+    assert all(bytes(x.b) <= bytes(y.b) for x, y in zip(ordered, ordered[1:]) if x.part == y.part)
+
+
 def test_exact_dedup_normalisation(spark):
     from tessera.llm.exact_dedup import exact_groups
 
