@@ -232,7 +232,7 @@ def contamination_brute(rows, items):
 
 @pytest.mark.parametrize("block_bytes", [10_000_000, 200])
 def test_decontamination_against_brute_force(spark, rows, block_bytes):
-    from tessera.llm.decontaminate import contamination, decontaminate, longest_matches
+    from tessera.llm.decontaminate import contamination, decontaminate
 
     passage, short = words(40, 77), "rare little phrase"
     items = [(1, passage), (2, short), (3, None), (4, "..."), (5, passage), (6, words(30, 101) + " tail"), (10, "é ß 東京 Rare")]
@@ -245,8 +245,37 @@ def test_decontamination_against_brute_force(spark, rows, block_bytes):
     assert kept.count() == sum(not r.contaminated for r in got) and "row" in kept.columns
     assert contamination(docs_of(spark, []), bench).count() == 0
     assert contamination(docs_of(spark, more), bench.limit(0)).where("n_hit > 0").count() == 0
-    best = {(r.item, r.offset): (r.words, r.id) for r in longest_matches(docs_of(spark, more), bench, **options).collect()}
-    assert best[("1", 0)] == (40, 200) and best[("2", 0)][0] == 3 and best[("6", 0)][0] >= 1
+
+
+def longest_brute(text, items):
+    w, best = alnum(text), None
+    for name, t in items:
+        q = alnum(t)
+        for j in range(len(q)):
+            need = min(13, len(q))
+            for i in range(len(w)):
+                if (len(q) < 13 and j) or w[i : i + need] != q[j : j + need] or len(q[j:]) < need:
+                    continue
+                n = 0
+                while i + n < len(w) and j + n < len(q) and w[i + n] == q[j + n]:
+                    n += 1
+                key = (-n, i, name is None, str(name), j)
+                best = key if best is None or key < best else best
+    return best and (-best[0], best[1], None if best[2] else best[3], best[4])
+
+
+@pytest.mark.parametrize("block_bytes", [10_000_000, 150])
+def test_longest_matches_against_brute_force(spark, block_bytes):
+    """Benchmark items that share passages, with one another and with themselves, and documents that join parts of several."""
+    from tessera.llm.decontaminate import contamination
+
+    r = random.Random(9)
+    stock = [words(25, 500 + k, 60) for k in range(4)]
+    items = [(k, " ".join(r.choice(stock) for _ in range(3)) + " " + words(r.randrange(12), k, 60)) for k in range(12)] + [(50, "only four words here"), (51, stock[0]), (51, "four words"), (None, stock[1] + " without a name"), (52, None), (53, "a " * 40)]
+    docs = [(k, " ".join([words(20, 700 + k, 60), *(items[r.randrange(12)][1][r.randrange(80) :] for _ in range(3)), "only FOUR words, here"]), "s") for k in range(25)]
+    docs += [(100, "only four words here", "s"), (101, "a " * 100, "s"), (102, stock[1] + " without a name", "s"), (103, None, "s"), (104, words(50, 5), "s")]
+    got = {x.doc_id: x.longest and tuple(x.longest) for x in contamination(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes, shard_words=400).collect()}
+    assert got == {i: longest_brute(t, items) for i, t, _ in docs}
 
 
 @pytest.mark.parametrize("block_bytes", [10_000_000, 100])
