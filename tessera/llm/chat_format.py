@@ -1,12 +1,12 @@
 """Chat formatting in budgeted windows.
 
 Turns are sorted by (conversation, turn) in ranges; running sums of their tokens, carried over the ends of the
-ranges, give each turn its offset in its conversation. Offsets choose the windows: a conversation is laid on a
-grid of cells of half a window's room for new turns. The turns that start in a cell make one window; a turn of more
-than half the room, of which a cell holds one at most, its last, makes a window of its own. So windows end with turns and a
-window's new turns fit the room, unless it is one turn that is larger by itself. A window repeats the system turn and as
-many of the last turns before it as fit the history budget; only its new assistant turns are in the loss mask, so
-every target counts once. Whatever a window needs is found from offsets, so a very long conversation is cut over many tasks.
+ranges, give each turn its offset in its conversation. Offsets choose the windows: a conversation is laid on
+stretches of STRETCH times a window's room for new turns, and the turns that start in a stretch are dealt to windows one after
+another, a window ending before the turn that would not fit; a turn larger than the room makes a window of its own. So windows end with
+turns, are as full as the turns allow but for the last of a stretch, and no turn needs more than its stretch: a very long conversation is
+cut over many tasks. A window repeats the system turn and as many of the last turns before it as fit the history budget; only its new
+assistant turns are in the loss mask, so every target counts once.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialize, partitions, small_batches, tidied
+from tessera.llm.common import materialize, partitions, small_batches, tidied, whole_id
 
 #: Tokens of a window for history and new turns (the system turn is on top), and of these for history.
 BUDGET, HISTORY = 1024, 256
+#: Rooms of a stretch.
+STRETCH = 32
 #: The template's marks, and further control strings that texts must not contain as such.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = [TURN, TEXT, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -99,55 +101,73 @@ def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _batches(run(), _TURNS)
 
 
-def _format(batches: Iterator[pa.RecordBatch], history: int) -> Iterator[pa.RecordBatch]:
-    """Sorted turns of windows to windows. One window's turns are held at a time."""
+def _format(batches: Iterator[pa.RecordBatch], room: int, history: int) -> Iterator[pa.RecordBatch]:
+    """Sorted turns of stretches to windows. One window's turns are held at a time, and the history before them."""
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("repeated", pa.int32()), ("loss", pa.list_(pa.int64()))])
 
+    def window(conv: int | None, system: dict | None, past: list[dict], new: list[dict]) -> dict:
+        first = [system] if system and new[0]["nth"] > 0 else []
+        turns = first + past + new
+        text, loss, length = [], [], 0
+        for i, t in enumerate(turns):
+            piece, head = format_turn(t["role"], t["text"])
+            if i >= len(turns) - len(new) and t["role"] == "assistant":
+                loss += [length + head, length + len(piece) - len(END)]
+            text.append(piece)
+            length += len(piece)
+        return {"conv_id": conv, "window": new[0]["nth"], "text": "".join(text), "repeated": len(turns) - len(new), "loss": loss}
+
+    def last(turns: list[dict], before: int) -> list[dict]:
+        """The turns just before a place that fit the history, none left out between; the system turn has its own place."""
+        left, out = history, []
+        for t in reversed(turns):
+            left -= t["n"]
+            if left < 0 or t["nth"] != before - 1 - len(out) or is_system(t):
+                break
+            out.append(t)
+        return out[::-1]
+
+    def is_system(t: dict) -> bool:
+        return t["nth"] == 0 and t["role"] == "system"
+
     def run() -> Iterator[dict]:
-        for (known, conv, window), turns in groupby(_rows(batches), key=lambda r: (r["known"], r["conv"], r["window"])):
-            system, old, new = [], [], []
+        for (known, conv, _), turns in groupby(_rows(batches), key=lambda r: (r["known"], r["conv"], r["stretch"])):
+            system, past, new, size = None, [], [], 0
+            conv = conv if known else None
             for t in turns:
-                {"s": system, "h": old, "n": new}[t["kind"]].append(t)
-            if not new:
-                continue
-            room = history
-            past: list[dict] = []
-            for t in reversed(old):  # the turns just before the new ones, none left out between
-                room -= t["n"]
-                if room < 0 or t["nth"] != new[0]["nth"] - 1 - len(past):
-                    break
-                past.append(t)
-            first = system if new[0]["nth"] > 0 else []
-            turns = first + past[::-1] + new
-            text, loss = [], []
-            length = 0
-            for i, t in enumerate(turns):
-                piece, head = format_turn(t["role"], t["text"])
-                if i >= len(turns) - len(new) and t["role"] == "assistant":
-                    loss += [length + head, length + len(piece) - len(END)]
-                text.append(piece)
-                length += len(piece)
-            yield {"conv_id": conv if known else None, "window": window, "text": "".join(text), "repeated": len(turns) - len(new), "loss": loss}
+                system = t if is_system(t) else system
+                if t["kind"] == "old":
+                    past.append(t)
+                elif t["kind"] == "new":
+                    if not new or size + t["n"] > room:
+                        if new:
+                            yield window(conv, system, past, new)
+                        past = last(past + new, t["nth"])
+                        new, size = [], 0
+                    new.append(t)
+                    size += t["n"]
+            if new:
+                yield window(conv, system, past, new)
 
     return _batches(run(), schema, 100)
 
 
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: object = word_tokens) -> DataFrame:
-    """Windows: conv_id, window (ascending, not dense), text, repeated (leading turns that repeat), loss (start, end, ...).
+    """Windows: conv_id, window (number of its first new turn), text, repeated (leading turns that repeat), loss (start, end, ...).
 
     turns: conv_id, turn, role, text; other columns are not read. Turns are taken in the order of turn, nulls first,
     ties by role and text. A null text or role counts as empty, a null conv_id as one conversation. The system turn is
     the conversation's first turn if its role is system. loss holds code-point spans of the escaped texts of new assistant
-    turns. Nothing is cut or left out; an empty table gives no windows.
+    turns. Nothing is cut or left out, however long; an empty table gives no windows. conv_id and turn hold whole numbers (others are an error).
     """
-    if not 0 <= 4 * history <= 2 * budget:
+    if not 0 <= 2 * history <= budget:
         raise ValueError("history must be at most half the budget")
     spark = turns.sparkSession
     small_batches(spark)
-    half = (budget - history) // 2
+    room = budget - history
     n = partitions(spark)
     rows = turns.select(
-        F.col("conv_id").isNotNull().alias("known"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"), F.col("turn").cast("long").alias("turn"),
+        F.col("conv_id").isNotNull().alias("known"), F.coalesce(whole_id(turns, "conv_id"), F.lit(0)).alias("conv"), whole_id(turns, "turn").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     rows = rows.withColumn("n", tokens(F.col("text"))).withColumn("tie", F.sha2(F.to_json(F.struct("role", "text")), 256))
@@ -161,31 +181,20 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     carried = sums.select("known", "conv", "part", F.sum("n").over(earlier).alias("n_before"), F.sum("k").over(earlier).alias("k_before")).where("n_before IS NOT NULL")
     rows = rows.join(F.broadcast(carried), ["known", "conv", "part"], "left")
     rows = rows.withColumn("before", F.col("before") + F.coalesce("n_before", F.lit(0))).withColumn("nth", F.col("nth") + F.coalesce("k_before", F.lit(0)))
-    cell = F.floor(F.col("before") / half).cast("long")
-    long = F.col("n") > half
-    rows = rows.select("known", "conv", "nth", "before", "n", "role", "text", cell.alias("cell"), long.alias("long"))
-
-    # Besides its own window, a turn may be history of a long turn in its cell, and of the next cell's windows, if there are such.
-    use = lambda window, kind: F.struct(window.cast("long").alias("window"), F.lit(kind).alias("kind"))
-    ends = rows.where("long").select("known", "conv", "cell").distinct().withColumn("ends_long", F.lit(True))
-    rows = lookup(rows, ends, ["known", "conv", "cell"])
-    rows = lookup(rows, ends.select("known", "conv", (F.col("cell") - 1).alias("cell"), F.col("ends_long").alias("next_long")), ["known", "conv", "cell"])
-    near = ~F.col("long") & (F.col("before") >= (F.col("cell") + 1) * half - history) & (F.col("n") <= history)
-    uses = F.array(
-        use(2 * F.col("cell") + F.col("long").cast("int"), "n"),
-        F.when(F.col("ends_long") & ~F.col("long") & (F.col("n") <= history), use(2 * F.col("cell") + 1, "h")),
-        F.when(near, use(2 * F.col("cell") + 2, "h")),
-        F.when(near & F.col("next_long"), use(2 * F.col("cell") + 3, "h")),
-    )
-    placed = rows.select("known", "conv", "nth", "n", "role", "text", F.explode(F.array_compact(uses)).alias("use")).select("*", "use.*").drop("use")
-    system = rows.where("nth = 0 AND role = 'system'").select("known", "conv", "nth", "n", "role", "text")
-    windows = rows.where("nth > 0").select("known", "conv", (2 * F.col("cell") + F.col("long").cast("int")).alias("window")).distinct()
-    kept = windows.join(system, ["known", "conv"]).withColumn("kind", F.lit("s"))
-    # A system turn that is history already would come twice.
-    placed = placed.where("NOT (kind = 'h' AND nth = 0 AND role = 'system')").unionByName(kept)
-    # By a digest of conversation and window: a conversation's windows spread over the tasks.
-    placed = placed.repartition(n, "known", "conv", "window").sortWithinPartitions("known", "conv", "window", "nth")
-    return placed.mapInArrow(tidied(lambda it: _format(it, history)), _WINDOWS)
+    rows = rows.withColumn("stretch", F.floor(F.col("before") / (STRETCH * room)).cast("long"))
+
+    # Besides its own stretch, a turn may be history of the next one's first window; the system turn goes to all.
+    use = lambda stretch, kind: F.struct(stretch.alias("stretch"), F.lit(kind).alias("kind"))
+    is_system = (F.col("nth") == 0) & (F.col("role") == "system")
+    near = (F.col("before") >= (F.col("stretch") + 1) * (STRETCH * room) - history) & (F.col("n") <= history) & ~is_system
+    uses = F.array(use(F.col("stretch"), "new"), F.when(near, use(F.col("stretch") + 1, "old")))
+    own = ["known", "conv", "nth", "n", "role", "text"]
+    placed = rows.select(*own, F.explode(F.array_compact(uses)).alias("use")).select(*own, "use.*")
+    later = rows.where("stretch > 0").select("known", "conv", "stretch").distinct()
+    placed = placed.unionByName(later.join(rows.where(is_system).select(*own), ["known", "conv"]).withColumn("kind", F.lit("system")))
+    # By a digest of conversation and stretch: a conversation's stretches spread over the tasks.
+    placed = placed.repartition(n, "known", "conv", "stretch").sortWithinPartitions("known", "conv", "stretch", "nth")
+    return placed.mapInArrow(tidied(lambda it: _format(it, room, history)), _WINDOWS)
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
@@ -218,6 +227,25 @@ def read_windows(windows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(tidied(digest), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+_SPECIAL = "|".join(re.escape(c) for c in CONTROL)
+ORACLE = rf"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, 4 + len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\v\f\r]')) AS n,
+  replace(role, '\', '\\') AS role2, replace(text, '\', '\\') AS text2 FROM t),
+p AS (SELECT conv_id, nth, role, text, n, sum(n) OVER (PARTITION BY conv_id ORDER BY nth) - n AS before, (sum(n) OVER (PARTITION BY conv_id ORDER BY nth) - n) // {STRETCH * (BUDGET - HISTORY)} AS stretch,
+  {len(TURN + TEXT + END)} + length(role2) + len(regexp_extract_all(role2, '{_SPECIAL}')) + length(text2) + len(regexp_extract_all(text2, '{_SPECIAL}')) AS chars FROM e),
+g AS (SELECT conv_id, nth, nth AS first, n AS fill, stretch FROM p WHERE nth = 0
+  UNION ALL SELECT p.conv_id, p.nth, CASE WHEN p.stretch <> g.stretch OR g.fill + p.n > {BUDGET - HISTORY} THEN p.nth ELSE g.first END, CASE WHEN p.stretch <> g.stretch OR g.fill + p.n > {BUDGET - HISTORY} THEN p.n ELSE g.fill + p.n END, p.stretch
+  FROM g JOIN p ON p.conv_id = g.conv_id AND p.nth = g.nth + 1),
+w AS (SELECT DISTINCT g.conv_id, g.first, p.before FROM g JOIN p ON p.conv_id = g.conv_id AND p.nth = g.first),
+old AS (SELECT w.conv_id, sum(p.chars) AS chars FROM w JOIN p ON p.conv_id = w.conv_id AND p.nth < w.first AND (p.nth = 0 AND p.role = 'system' OR w.before - p.before <= {HISTORY}) GROUP BY w.conv_id)
+SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(p.chars) + coalesce(any_value(old.chars), 0) AS BIGINT) AS formatted_chars
+FROM p LEFT JOIN old ON old.conv_id = p.conv_id GROUP BY p.conv_id
+"""
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)

@@ -487,7 +487,7 @@ def test_chat_history_leaves_no_turn_out(spark):
     """A turn too long for history ends it: the turns before it are not repeated without it."""
     from tessera.llm.chat_format import format_windows, parse_window
 
-    sizes = {1: (150, 100, 300, 50), 2: (150, 100, 100, 100, 50), 3: (150, 100, 300, 900)}
+    sizes = {1: (150, 100, 300, 50), 2: (150, 100, 100, 100, 50), 3: (150, 100, 300, 900), 4: (300, 300, 100, 100, 300, 50)}
     rows = [(c, k, "user", " ".join([f"t{k}"] * (n - 4))) for c, ns in sizes.items() for k, n in enumerate(ns)]
     windows = format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     seen = defaultdict(list)
@@ -496,7 +496,34 @@ def test_chat_history_leaves_no_turn_out(spark):
         assert turns == list(range(turns[0], turns[-1] + 1))
         seen[w.conv_id] += turns[w.repeated :]
     assert seen == {c: list(range(len(ns))) for c, ns in sizes.items()}
-    assert any(w.repeated for w in windows if w.conv_id == 2)
+    assert any(w.repeated for w in windows if w.conv_id == 4)  # the others' turns but for the longest fit one window
+
+
+def test_chat_windows_are_full(spark):
+    """A window ends only where the next turn does not fit, or with its stretch; the same however the rows lie."""
+    from tessera.llm.chat_format import STRETCH, format_windows, parse_window
+
+    r = random.Random(5)
+    sizes = [r.randrange(5, 60) for _ in range(1500)]
+    rows = [(1, k, "user", " ".join(["t"] * (n - 4))) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(format_windows(df, 100, 30).collect(), key=lambda w: w.window)
+    assert [tuple(w) for w in got] == sorted((tuple(w) for w in format_windows(df.repartition(7), 100, 30).collect()), key=lambda w: w[1])
+    want, fill, stretch, before = [], 0, -1, 0
+    for k, n in enumerate(sizes):
+        if before // (70 * STRETCH) != stretch or fill + n > 70:
+            want.append(k)
+            fill = 0
+        stretch, fill, before = before // (70 * STRETCH), fill + n, before + n
+    assert [w.window for w in got] == want
+    assert sum(len(parse_window(w.text)) - w.repeated for w in got) == 1500
+
+
+def test_chat_ids_are_whole_numbers(spark):
+    from tessera.llm.chat_format import format_windows
+
+    with pytest.raises(TypeError, match="conv_id"):
+        format_windows(spark.createDataFrame([("a", 1, "user", "x")], "conv_id string, turn long, role string, text string"))
 
 
 
