@@ -5,11 +5,13 @@ negative class is estimated as R_U- minus prior * R_P-, and, where that falls be
 again instead (the non-negative estimator). Features are hashed words and word prefixes, present at all or
 several times; those that set P apart from U are selected on the sample. The logits are then shifted so that the
 decision threshold lies where the same corrected risk estimator counts fewest errors. Everything that is fitted
-sees bounded samples; scoring sees every whole text.
+sees bounded samples of rows, whole texts of these; scoring sees every whole text. A sample's features stay on the executors; the driver gets their counts
+(a row a hash at most) and, of each row, the selected ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc32_mod, small_batches, tidied
+from tessera.llm.common import crc32_mod, materialize, small_batches, tidied
 from tessera.llm.decontaminate import words
 
 #: Most rows that the classifier is fitted on, chosen by hash: confirmed toxic, and unlabelled.
@@ -30,9 +32,8 @@ HASH_BITS = 22
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature that occurs this often in a text gives a second feature.
 OFTEN = 3
-SELECTED = 4_096
-#: Selected features are more frequent in P than among clean texts, beyond chance by this log-likelihood.
-EVIDENCE = 12
+#: Parameters of the model: most features, and evidence that each needs. Selected features are more frequent in P than among clean texts, beyond chance by this log-likelihood.
+SELECTED, EVIDENCE = 4_096, 12
 THRESHOLD = 0.7
 #: A word's weight is kept once computed; the store is emptied at this many words.
 CACHED_WORDS = 100_000
@@ -80,34 +81,60 @@ class Model:
         return score
 
 
-def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = SELECTED) -> np.ndarray:
-    """Hashes more frequent in P than among the clean texts of U, however little, those of most evidence; sorted."""
-    size, n_p, n_u = 1 << HASH_BITS, len(positive), len(unlabelled)
+def least_positives(n_p: int) -> float:
+    """Rows of P that a feature must occur in to be considered."""
+    return max(2, 0.005 * n_p)
 
-    def count(rows: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(size, np.float32)
-        for x in rows:
-            out[x] += 1  # a row has a feature once
-        return out
 
-    p, u = count(positive), count(unlabelled)
+def choose_features(feature: np.ndarray, p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float, most: int = SELECTED) -> np.ndarray:
+    """Of hashes and the rows of P and U that have them: those more frequent in P than among the clean texts of U, however little, those of most evidence; sorted."""
     # U holds a share `prior` of toxic texts, so the rate among its clean texts is lower than in U.
     clean = np.maximum((u + 0.5) / (n_u + 1) - prior * p / n_p, 0.5 / (n_u + 1))
-    chosen = np.flatnonzero((p >= max(2, 0.005 * n_p)) & (p / n_p > clean))
-    evidence = p[chosen] * np.log(p[chosen] / (n_p * clean[chosen])) - (p[chosen] - n_p * clean[chosen])
-    chosen = chosen[evidence > EVIDENCE][np.argsort(-evidence[evidence > EVIDENCE], kind="stable")[:most]]
-    return np.sort(chosen).astype(np.int32)
+    found = (p >= least_positives(n_p)) & (p / n_p > clean)
+    feature, p, clean = feature[found], p[found], clean[found]
+    evidence = p * np.log(p / (n_p * clean)) - (p - n_p * clean)
+    order = np.lexsort((feature, -evidence))[:most]
+    return np.sort(feature[order[evidence[order] > EVIDENCE]]).astype(np.int32)
+
+
+def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = SELECTED) -> np.ndarray:
+    """choose_features() of rows that are at hand."""
+    feature, of = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
+    cut = sum(map(len, positive))  # a row has a feature once
+    p, u = (np.bincount(x, minlength=len(feature)).astype(float) for x in (of[:cut], of[cut:]))
+    return choose_features(feature, p, u, len(positive), len(unlabelled), prior, most)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, threshold: float = THRESHOLD, steps: int = 600, decay: float = 1e-4, gamma: float = 1.0) -> Model:
-    """Logistic loss, accelerated full-batch descent on the non-negative risk. Without positives or features, one low score for all."""
-    prior = float(np.clip(prior, 1e-3, 0.9))
+def nnpu_step(z: np.ndarray, n_p: int, prior: float, gamma: float = 1.0) -> tuple[float, np.ndarray]:
+    """The non-negative risk of logits z (n_p rows of P, then those of U), and the descent direction's derivative by z.
+
+    The negative class's risk is estimated as that of U less prior times that of P, taken as negatives. Where it is not below 0 the derivative is the whole
+    risk's; else the estimate counts as 0, and the derivative raises it again by gamma.
+    """
+    s, n_u = _sigmoid(z), len(z) - n_p
+    as_negative, as_positive = np.logaddexp(0, z), np.logaddexp(0, -z)  # losses of calling a row clean, or toxic, wrongly
+    negative = as_negative[n_p:].mean() - prior * as_negative[:n_p].mean()
+    by_z = np.concatenate([-prior * s[:n_p] / n_p, s[n_p:] / n_u])
+    positive = prior * as_positive[:n_p].mean()
+    if negative >= 0:
+        return positive + negative, by_z + np.append(prior * (s[:n_p] - 1) / n_p, np.zeros(n_u))
+    return positive, -gamma * by_z
+
+
+def prior_bounds(prior: float) -> float:
+    return float(np.clip(prior, 1e-3, 0.9))
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, threshold: float = THRESHOLD, steps: int = 600, decay: float = 1e-4, gamma: float = 1.0, features: np.ndarray | None = None) -> Model:
+    """Logistic loss, accelerated full-batch descent on the non-negative risk. Without positives or features, one low score for all. features: those selected already."""
+    prior = prior_bounds(prior)
     start = float(np.log(prior / (1 - prior)))
-    features = select_features(positive, unlabelled, prior) if positive and unlabelled else np.zeros(0, np.int32)
+    if features is None:
+        features = select_features(positive, unlabelled, prior) if positive and unlabelled else np.zeros(0, np.int32)
     if not len(features):
         return Model(features, np.zeros(0), min(start, -2.0), prior)
     rows, columns = [], []
@@ -128,14 +155,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     w = np.append(np.zeros(k), start)
     ahead, pace = w.copy(), 1.0
     for _ in range(steps):
-        z = logits(ahead)
-        s = _sigmoid(z)
-        as_negative = np.logaddexp(0, z)  # loss of calling a row clean
-        negative = np.concatenate([-prior * s[:n_p] / n_p, s[n_p:] / n_u])
-        if as_negative[n_p:].mean() >= prior * as_negative[:n_p].mean():
-            g = negative + np.append(prior * (s[:n_p] - 1) / n_p, np.zeros(n_u))
-        else:
-            g = -gamma * negative
+        _, g = nnpu_step(logits(ahead), n_p, prior, gamma)
         grad = gradient(g) + decay * np.append(ahead[:-1], 0)
         new, faster = ahead - rate * grad, (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead, w, pace = new + (pace - 1) / faster * (new - w), new, faster
@@ -155,8 +175,17 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
 
 def _features_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = [text_features(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(packed, pa.binary())], names=["toxic", "features"])
+        for at in range(0, batch.num_rows, 64):
+            piece = batch.slice(at, 64)
+            found = [text_features(t) for t in piece.column("text").to_pylist()]
+            digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
+            yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(digest, pa.binary()), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "digest", "features"])
+
+
+def _selected_arrow(batches: Iterator[pa.RecordBatch], selected: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [np.intersect1d(np.array(x.values, np.int32), selected).astype(np.int32).tobytes() for x in batch.column("features")]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("digest"), pa.array(kept, pa.binary())], names=["toxic", "digest", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int | None = 3, held: int = 1, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -164,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 3, held: int =
 
     P: rows labelled toxic. U: rows of the fold whatever their label, so that the prior holds for them; of both the
     `positives` and `unlabelled` rows of smallest hash of id. prior: share of toxic rows; None: their share of the labelled
-    rows of the fold, which should be a fair sample.
+    rows of the fold, which should be a fair sample. Very long texts are read whole; their features, a few a different word, are held one text at a time.
+    Features come to the driver only as counts and, at most SELECTED a row, as selected.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -180,14 +210,19 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 3, held: int =
     # The samples are cut by id before any text moves; both are bounded.
     ids = texts.select("id").where("id IS NOT NULL").orderBy(*order).limit(unlabelled)
     sample = chosen.select("id", F.lit(1).alias("toxic")).unionByName(ids.distinct().select("id", F.lit(0).alias("toxic")))
-    rows = texts.join(F.broadcast(sample), "id").select("toxic", "text").mapInArrow(tidied(_features_arrow), "toxic int, features binary").collect()
-    # Copies of a text count once.
-    found: dict[int, set[bytes]] = {0: set(), 1: set()}
-    while rows:
-        r = rows.pop()
-        found[r.toxic].add(bytes(r.features))
-    read = lambda k: [np.frombuffer(x, np.int32) for x in sorted(found[k])]
-    return fit_nnpu(read(1), read(0), prior)
+    rows = texts.join(F.broadcast(sample), "id").select("toxic", "text").mapInArrow(tidied(_features_arrow), "toxic int, digest binary, features array<int>")
+    rows = materialize(rows.dropDuplicates(["toxic", "digest"]), "toxicity-sample")  # copies of a text count once
+    n = dict.fromkeys((0, 1), 0) | {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not n[0] or not n[1]:
+        return fit_nnpu([], [], prior)
+    counts = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u"))
+    counts = counts.where(F.col("p") >= least_positives(n[1])).toArrow()
+    feature, p, u = (counts.column(c).to_numpy() for c in ("feature", "p", "u"))
+    selected = choose_features(feature, p, u, n[1], n[0], prior_bounds(prior))
+    found: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for r in rows.mapInArrow(tidied(lambda it: _selected_arrow(it, selected)), "toxic int, digest binary, features binary").orderBy("toxic", "digest").toLocalIterator():
+        found[r.toxic].append(np.frombuffer(r.features, np.int32))
+    return fit_nnpu(found[1], found[0], prior, features=selected)
 
 
 def score_texts(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:

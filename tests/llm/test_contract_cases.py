@@ -435,6 +435,63 @@ def test_nnpu_corrects_for_hidden_positives():
     assert 2 in model.features and model.weights[list(model.features).index(2)] > 2
 
 
+@pytest.mark.parametrize("shift", [0.0, -4.0])
+def test_nnpu_risk_and_gradient_against_brute_force(shift):
+    """Both branches: the risk by its definition, and the derivative by differences of what the step should lower (or raise)."""
+    import numpy as np
+
+    from tessera.llm.toxicity import nnpu_step
+
+    r = np.random.default_rng(3)
+    n_p, n_u, prior, gamma = 7, 11, 0.4, 0.7
+    z = np.append(r.normal(2, 1, n_p), r.normal(shift, 1, n_u))
+    loss = lambda x, y: math.log(1 + math.exp(-y * x))
+
+    def parts(z):
+        positive = prior * sum(loss(x, 1) for x in z[:n_p]) / n_p
+        return positive, sum(loss(x, -1) for x in z[n_p:]) / n_u - prior * sum(loss(x, -1) for x in z[:n_p]) / n_p
+
+    positive, negative = parts(z)
+    assert (negative >= 0) == (shift == 0.0)
+    goal = (lambda z: sum(parts(z))) if negative >= 0 else lambda z: -gamma * parts(z)[1]
+    risk, by_z = nnpu_step(z, n_p, prior, gamma)
+    assert math.isclose(risk, positive + max(0, negative), rel_tol=1e-12)
+    for k in range(n_p + n_u):
+        e = np.eye(n_p + n_u)[k] * 1e-5
+        assert abs((goal(z + e) - goal(z - e)) / 2e-5 - by_z[k]) < 1e-8
+
+
+def test_feature_choice_on_executors_and_at_hand_agree(spark):
+    """train() counts features on the executors; the same rows at hand give the same model."""
+    from tessera.llm.toxicity import fit_nnpu, text_features, train
+
+    r = random.Random(12)
+    rows = [(i, " ".join([words(30, i, 800), *(["vileword"] * (i % 5 == 0)), *(["rude"] * (r.random() < 0.1))]), "s") for i in range(300)] + [(1000 + i, words(30, i, 800), "s") for i in range(40)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(0, 300, 2)]
+    model = train(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    keep = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    marked = [(i, t) for i, _, t in labels if keep(i)]
+    text = {i: t for i, t, _ in rows}
+    several = lambda texts: [text_features(t) for t in sorted({t for t in texts})]
+    hand = fit_nnpu(several(text[i] for i, t in marked if t), several(t for i, t, _ in rows if keep(i)), (sum(t for _, t in marked) + 0.5) / (len(marked) + 5))
+    assert model.features.tolist() == hand.features.tolist() and len(model.features)
+    assert abs(model.bias - hand.bias) < 1e-6 and max(abs(model.weights - hand.weights)) < 1e-6
+
+
+def test_toxicity_of_very_long_texts(spark):
+    """Whole texts count: a toxic passage after a million clean words is found; the row's other columns stay."""
+    from tessera.llm.toxicity import drop_toxic, fit_nnpu, score_texts, text_features
+
+    positive = [text_features(words(30, k) + " vileword vileword vileword vileword") for k in range(60)]
+    model = fit_nnpu(positive, [text_features(words(30, 100 + k)) for k in range(300)] + positive[:20], 0.06)
+    clean = words(1_000_000, 1, 5000)
+    got = {x.doc_id: x.score for x in score_texts(docs_of(spark, [(1, clean, "s"), (2, clean + " vileword" * 4, "s"), (3, "", "s"), (4, None, "s")]), model, ["doc_id"]).select("row.doc_id", "score").collect()}
+    assert got[2] >= 0.7 > got[1] and got[3] == got[4] < 0.7
+    long = [(i, words(20_000 if i % 50 == 0 else 20, i, 800) + (" vileword" * 4 if i % 5 == 0 else ""), "s") for i in range(300)]
+    kept = drop_toxic(docs_of(spark, long), spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int"))
+    assert sorted(x.doc_id for x in kept.select("doc_id").collect()) == [i for i in range(300) if i % 5]
+
+
 # --- language model ------------------------------------------------------------------------------------------------
 
 
