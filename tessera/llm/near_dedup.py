@@ -8,14 +8,16 @@ coordinate is filled, at O(n + t log t) cost, and estimates concentrate as for t
 Documents with the same set become one node at once. Nodes that share a band share a bucket. Buckets are not expanded into
 pairs: first each node is compared with the smallest centre of its buckets, then, where components still differ,
 with the centres of all its buckets. Both steps verify pairs on both full sets, after sizes and very unlike sketches
-have ruled pairs out. Last, in buckets that still hold several components, members are dealt into blocks, and each two
-blocks meet in one task, where intersections of all full sets come from one matrix product over the shingles that occur
-twice there; only links that join components leave the task. Links are contracted to components after each step.
+have ruled pairs out. Last, in buckets that still hold several components, members are dealt into blocks, those of large buckets by
+set size first, and each two blocks whose sizes allow a link meet in one task, where intersections of all full sets come from
+one matrix product over the shingles that occur twice there; only links that join components leave the task. Links are contracted
+to components after each step.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -25,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, lookup, lookup_skewed, materialize, partitions, small_batches, tidied
+from tessera.llm.common import BROADCAST_ROWS, lookup, lookup_skewed, materialize, partitions, small_batches, tidied, whole_id
 
 #: At similarity 0.85 a pair shares no band of 25 with probability 4e-7; at 0.8, 5e-5 (use more bands).
 BANDS, ROWS = 25, 5
 SHINGLE = 5
-#: Sketch estimates this far below the threshold rule a pair out: over six standard deviations of 125 coordinates.
+#: Sketch estimates this far below the threshold rule a pair out: over six standard deviations of 125 coordinates. 1 rules none out.
 MARGIN = 0.2
 #: Nodes of a block, and shingles of a matrix at a time, in the last step.
 BLOCK, COLUMNS = 256, 8_192
@@ -148,7 +150,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             for at in range(0, batch.num_rows, 100):
                 yield from batch.slice(at, 100).to_pylist()
 
-    for (_, i, j), group in groupby(rows(), key=lambda r: (r["bucket"], r["i"], r["j"])):
+    for (_, i, j), group in groupby(rows(), key=lambda r: (r["bucket"], tuple(r["i"].values()), tuple(r["j"].values()))):
         found = _links_within(list(group), i != j, percent)
         if found:
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
@@ -218,7 +220,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
 
@@ -226,14 +228,16 @@ def near_groups(
     ASCII white space, A-Z lowered; a text of fewer words than a shingle is one shingle; one without words is empty and
     linked with nothing, its component_id its own id. Repeated rows share a component; a null id gives no component
     its name unless all ids of the component are null, and such a row is not kept where the component has a
-    smallest id. Columns beside id and text are not read. An empty table gives an empty result.
+    smallest id. Columns beside id and text are not read. An empty table gives an empty result. Ids are whole numbers (others are
+    an error). A very long text is a set like any other, held whole by the task that reads it. margin: see MARGIN.
     """
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    full = _grouped(source, percent, shingle, bands, rows)
+    whole = whole_id(docs, id_col)
+    source = docs.select(F.coalesce(whole, F.lit(NO_ID)).alias("key"), whole.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    full = _grouped(source, percent, shingle, bands, rows, margin)
     return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _grouped(source: DataFrame, percent: int, shingle: int, bands: int, rows: int) -> DataFrame:
+def _grouped(source: DataFrame, percent: int, shingle: int, bands: int, rows: int, margin: float = MARGIN) -> DataFrame:
     """Rows (key, id, text) to key, id, n, component_id and keeper: the key of the component's first row by id (nulls last), node and key."""
     spark = source.sparkSession
     small_batches(spark)
@@ -246,7 +250,9 @@ def _grouped(source: DataFrame, percent: int, shingle: int, bands: int, rows: in
     # Buckets of two nodes or more, with their smallest node as centre.
     member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     centre = member.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("centre"), F.count("*").alias("members")).where("members > 1")
-    member = materialize(member.join(centre.select("bucket", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "bucket"), "members")
+    centre = materialize(centre.select("bucket", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n"), "members"), "centres")
+    member = lookup_skewed(member, centre, "bucket", "members", nodes.count() * bands).where("centre IS NOT NULL").drop("members")
+    member = materialize(member, "members")
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     # Full sets of the nodes that have a bucket with others.
@@ -254,7 +260,7 @@ def _grouped(source: DataFrame, percent: int, shingle: int, bands: int, rows: in
     texts = _by_key(source, needed)
     sets = materialize(texts.mapInArrow(tidied(lambda it: _sets(it, shingle)), "node binary, elements binary").dropDuplicates(["node"]), "sets")
     shorts = nodes.select("node", "short")
-    least = max(0.0, percent / 100 - MARGIN)
+    least = max(0.0, percent / 100 - margin)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(shorts.withColumnsRenamed({"node": "a", "short": "short_a"}), "a").join(shorts.withColumnsRenamed({"node": "b", "short": "short_b"}), "b")
@@ -274,15 +280,12 @@ def _grouped(source: DataFrame, percent: int, shingle: int, bands: int, rows: in
     open_ = spokes.join(label("a"), "a", "left").join(label("b"), "b", "left").where(comp("a") != comp("b")).select("a", "b")
     labels = _contract(labels, verified(open_))
     # 3: members of different components in a bucket, by blocks.
-    placed = member.select("bucket", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = member.select("bucket", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
-    placed = materialize(lookup(placed, mixed, ["bucket"], "inner"), "mixed")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
-    placed = placed.join(sets, "node")
-    placed = placed.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    labels = _contract(labels, placed.mapInArrow(tidied(lambda it: _block_links(it, percent)), "a binary, b binary"))
+    placed = lookup_skewed(placed, materialize(mixed, "mixed-buckets"), "bucket", "size", member.count()).where("size IS NOT NULL")
+    blocks = _in_blocks(materialize(placed, "mixed"), percent).join(sets, "node")
+    blocks = blocks.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    labels = _contract(labels, blocks.mapInArrow(tidied(lambda it: _block_links(it, percent)), "a binary, b binary"))
 
     firsts = nodes.select("node", "first.*", "copies").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_row = firsts.groupBy("comp").agg(F.min(F.struct("unnamed", "id", "node", "key")).alias("least"))
@@ -292,12 +295,33 @@ def _grouped(source: DataFrame, percent: int, shingle: int, bands: int, rows: in
     return full.unionByName(docs_of.where("node IS NULL").select("key", "id", "n", F.col("id").alias("component_id"), F.col("key").alias("keeper")))
 
 
+def _in_blocks(placed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Members (bucket, size, node, n, comp) to rows (bucket, i, j, own, node, comp): a member's own block is i or j, and blocks i and j are to be compared.
+
+    Of a bucket of more than `block` members the blocks are of one class of set sizes each. Classes are wide enough that sets in classes not next
+    to one another cannot be linked, whatever they hold.
+    """
+    width = 1.001 * math.log(100 / percent) if percent < 100 else 1e-9
+    rows = placed.withColumn("class", F.when(F.col("size") > block, F.floor(F.log("n") / width)).otherwise(F.lit(0)).cast("long"))
+    of_class = rows.groupBy("bucket", "class").agg(F.count("*").alias("held")).withColumn("here", F.ceil(F.col("held") / block).cast("int"))
+    next_to = lambda step, name: of_class.select("bucket", (F.col("class") - step).alias("class"), F.col("here").alias(name))
+    of_class = of_class.join(next_to(1, "above"), ["bucket", "class"], "left").join(next_to(-1, "below"), ["bucket", "class"], "left")
+    of_class = materialize(of_class.select(F.struct("bucket", "class").alias("of"), "held", "here", "above", "below"), "classes")
+    rows = lookup_skewed(rows.withColumn("of", F.struct("bucket", "class")), of_class, "of", "held", rows.count())
+    blocks = lambda step, count: F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda k: F.struct((F.col("class") + step).alias("class"), k.cast("long").alias("part"))))
+    others = F.concat(blocks(0, "here"), *(F.coalesce(blocks(step, count), F.array().cast("array<struct<class:bigint,part:bigint>>")) for step, count in ((-1, "below"), (1, "above"))))
+    own = F.struct("class", F.pmod(F.xxhash64("node", "bucket"), F.col("here")).alias("part"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("own"), "node", "comp")
+
+
 def drop_near_copies(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns: the one of the smallest id, nulls last, whatever ids repeat or are null.
 
     Rows are told apart by a number given in a first pass, which writes them down; of rows with the same id one
     stays. Texts without words all stay. Options as for near_groups().
     """
+    whole_id(docs, id_col)
     held = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
     source = held.select("key", F.col(f"row.`{id_col}`").cast("long").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
     gone = materialize(_grouped(source, percent, shingle, bands, rows).where("key <> keeper").select("key"), "gone")

@@ -179,6 +179,62 @@ def test_near_dedup_keeps_one_row_of_each_component(spark):
         assert not any(x in left for x in group if x[0] != least)
 
 
+def pairs_at(percent, n, seed, low=60, high=400):
+    """Pairs of documents whose shingle sets are just as alike as percent asks for (the least intersection that links them)."""
+    r, out = random.Random(seed), []
+    for k in range(n):
+        size = r.randrange(low, high)
+        base = [f"p{k}w{i}" for i in range(size)]
+        other = list(base)
+        need = lambda x: 100 * len(x & y) >= percent * len(x | y)
+        y = shingles(" ".join(base))
+        for at in r.sample(range(size), size):  # single words are changed as long as the pair stays linked
+            changed = [*other[:at], f"p{k}x{at}", *other[at + 1 :]]
+            if need(shingles(" ".join(changed))):
+                other = changed
+            elif 100 * len(shingles(" ".join(other)) & y) <= (percent + 1) * len(shingles(" ".join(other)) | y):
+                break
+        out.append((" ".join(base), " ".join(other)))
+    return out
+
+
+def test_near_dedup_recall_at_the_threshold(spark):
+    """300 pairs of similarity between 85 and 86 percent: none is lost."""
+    from tessera.llm.near_dedup import near_groups
+
+    pairs = pairs_at(85, 300, 7)
+    rows = [(2 * k + i, t, "s") for k, p in enumerate(pairs) for i, t in enumerate(p)]
+    got = {x.doc_id: x.component_id for x in near_groups(docs_of(spark, rows), percent=85).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(300))
+
+
+def test_large_buckets_by_size_classes(spark):
+    """Every pair in a bucket that sizes allow to be linked meets in a pair of blocks, once; blocks are bounded."""
+    from tessera.llm.near_dedup import _in_blocks
+
+    r = random.Random(2)
+    members = [(1, 300, f"n{k}".encode(), r.choice((20, 21, 40, 46, 47, 48, 55, 100, 117, 118)), f"c{k}".encode()) for k in range(300)] + [(2, 3, f"m{k}".encode(), 10 * k + 1, b"c") for k in range(3)]
+    rows = _in_blocks(spark.createDataFrame(members, "bucket long, size long, node binary, n long, comp binary"), 85, block=32).collect()
+    groups = defaultdict(list)
+    for x in rows:
+        groups[(x.bucket, tuple(x.i), tuple(x.j))].append(x)
+    met = Counter()
+    for (_, i, j), g in groups.items():
+        assert len(g) <= 64 * 4
+        for a in range(len(g)):
+            for b in range(a):
+                if i == j or g[a].own != g[b].own:
+                    met[frozenset((bytes(g[a].node), bytes(g[b].node)))] += 1
+    assert set(met.values()) == {1}
+    size = {node: n for _, _, node, n, _ in members}
+    for a in range(300):
+        for b in range(a):
+            x, y = members[a][2], members[b][2]
+            if 100 * min(size[x], size[y]) >= 85 * max(size[x], size[y]):
+                assert met[frozenset((x, y))] == 1
+    assert met[frozenset((b"n0", b"n1"))] in (0, 1) and sum(met.values()) < 300 * 299 / 2 and all(met[frozenset((f"m{a}".encode(), f"m{b}".encode()))] == 1 for a in range(3) for b in range(a))
+
+
 def test_sketch_fills_and_estimates():
     import numpy as np
 
