@@ -1,14 +1,16 @@
 """Language-model scoring with Brown's class-based bigrams, clustered by distributed exchange.
 
-P(w | w') = P(class(w) | class(w')) * P(w | class(w)), smoothed by a share of the word unigram. Classes start from the most frequent words, one each, and all words
-move to the class that raises the likelihood of the training text most, given the class bigrams of the round before.
+P(w | w') = P(class(w) | class(w')) * P(w | class(w)), smoothed by a share of the word unigram. Classes start from the most frequent words, one each. In a
+round every word moves to the class that raises the likelihood of the training text most, by the exact gain of that move alone given the class bigrams of
+the round before. Rounds go on until one gains less than a set share of all that was gained.
 
 Layout. Documents are encoded once into blocks: numbers of block-local words, and the block's distinct words. Distinct words
 are dealt by hash to word partitions, which count them over all training text. What travels is packed: one message
 from a block to a word partition with all its words there, and one back. In a round, blocks send each word's counts
 of neighbouring classes; word partitions add them up, choose classes, and answer. So a task holds a block, or
-the words of one partition; driver and closures hold only what is of the size of the classes or partitions. No text is sampled
-or cut: every training token enters the counts, every word is clustered, every document is scored.
+the words and messages of one partition, of which there are as many as the distinct words of all blocks ask for; driver and closures hold
+only what is of the size of the classes or partitions. No text is sampled or cut: every training token enters the counts, every word is
+clustered, every document is scored.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc32_mod, discard, materialize, partitions, small_batches, tidied
+from tessera.llm.common import crc32_mod, discard, materialize, partitions, small_batches, tidied, whole_id
 
 CLASSES = 64
-ROUNDS = 2
-#: Words of a block; a longer document is a block of its own.
-BLOCK_WORDS = 1_400_000
-#: From this count on, a move's gain is computed exactly, not to first order.
-EXACT_FROM = 64
+#: A round that gains less than this share of what all rounds gained is the last.
+LEAST_GAIN = 0.05
+#: Words of a block; a longer document is a block of its own. Packed words of all blocks for each word partition, at most about.
+BLOCK_WORDS, PART_BYTES = 1_400_000, 4_000_000
+#: Entries (word, neighbouring class) whose gains are computed at a time.
+ENTRIES = 1 << 15
 #: Weight of the class unigram in a transition; added count in an emission.
 BETA, ADDED = 10.0, 0.5
 #: Share of the word unigram in the mixture that smooths the class model.
@@ -81,8 +84,8 @@ def _send(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 # --- encoding -----------------------------------------------------------------------------------------------------
 
 
-def _encode(batches: Iterator[pa.RecordBatch], parts: int, block_words: int) -> Iterator[pa.RecordBatch]:
-    """Documents to blocks: `body` has ids, lengths, training flags, words by number and each word's partition; `words` the words."""
+def _encode(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.RecordBatch]:
+    """Documents to blocks: `body` has ids, lengths, training flags, words by number and each word's hash; `words` the words."""
     part, k = TaskContext.get().partitionId(), 0
     names = ["block", "body", "words"]
 
@@ -96,10 +99,10 @@ def _encode(batches: Iterator[pa.RecordBatch], parts: int, block_words: int) ->
         tokens = np.frombuffer(numbers, np.uint32)
         words = list(local)
         counts = np.bincount(tokens[np.repeat(np.array(train, bool), lengths)], minlength=len(words))
-        to = np.fromiter((xxhash.xxh64_intdigest(w) % parts for w in words), np.int32, len(words))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) & 0xFFFFFFFF for w in words), np.uint32, len(words))
         nulls = np.array([x is None for x in ids], np.uint8)
-        body = pack(np.array([x or 0 for x in ids], np.int64), nulls, np.array(lengths, np.int64), np.array(train, np.uint8), (tokens & 0xFFFF).astype(np.uint16), (tokens >> 16).astype(np.uint16), to)
-        text = pack(np.frombuffer(b" ".join(words), np.uint8), counts.astype(np.int64), to)
+        body = pack(np.array([x or 0 for x in ids], np.int64), nulls, np.array(lengths, np.int64), np.array(train, np.uint8), (tokens & 0xFFFF).astype(np.uint16), (tokens >> 16).astype(np.uint16), hashes)
+        text = pack(np.frombuffer(b" ".join(words), np.uint8), counts.astype(np.int64), hashes)
         return pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([body], pa.binary()), pa.array([text], pa.binary())], names=names)
 
     local, numbers, ids, lengths, train = fresh()
@@ -121,19 +124,20 @@ def _encode(batches: Iterator[pa.RecordBatch], parts: int, block_words: int) ->
         yield row()
 
 
-def _by_part(to: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Local words in the order of their partitions, and (partition, start, end) in that order."""
+    to = (hashes % np.uint32(parts)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     p, start = np.unique(to[order], return_index=True)
     return order, list(zip(p.tolist(), start.tolist(), [*start[1:].tolist(), len(to)], strict=True))
 
 
-def _post_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _post_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     def run() -> Iterator[tuple]:
         for row in _rows(batches):
-            text, counts, to = unpack(row["words"])
+            text, counts, hashes = unpack(row["words"])
             words = text.tobytes().split(b" ")
-            order, pieces = _by_part(to)
+            order, pieces = _by_part(hashes, parts)
             for p, start, end in pieces:
                 own = order[start:end]
                 yield p, row["block"], 0, 0, 0, pack(np.frombuffer(b" ".join([words[i] for i in own.tolist()]), np.uint8), counts[own])
@@ -163,10 +167,12 @@ def _count_words(batches: Iterator[pa.RecordBatch], seeds: int) -> Iterator[pa.R
             total = total[: len(number)]
             for block, index in mail:
                 yield p, block, 1, p, 0, pack(index, total[index])
-            order = np.lexsort((np.arange(len(total)), -total))[:seeds]
-            order = order[total[order] > 0]
+            words = list(number)
+            least = max(1, np.partition(total, -seeds)[-seeds]) if len(total) > seeds else 1
+            order = sorted(np.flatnonzero(total >= least).tolist(), key=lambda i: (-total[i], words[i]))[:seeds]
             end = number[END] if END in number else -1
-            yield p, -1, 2, len(total), int(total.sum()), pack(np.array([np.count_nonzero(total), end]), order, total[order])
+            top = np.frombuffer(b" ".join(words[i] for i in order), np.uint8)
+            yield p, -1, 2, len(total), int(total.sum()), pack(np.array([np.count_nonzero(total), end]), np.array(order, np.int64), total[order], top)
 
     return _send(run())
 
@@ -177,24 +183,23 @@ def _count_words(batches: Iterator[pa.RecordBatch], seeds: int) -> Iterator[pa.R
 class Block:
     """A block with what word partitions answered about its words."""
 
-    def __init__(self, rows: list[dict], start: dict[tuple[int, int], int] | None):
+    def __init__(self, rows: list[dict], start: dict[int, dict[int, int]] | None, parts: int):
         got = {kind: [unpack(r["body"]) for r in rows if r["kind"] == kind] for kind in (0, 1, 3)}
-        self.ids, self.nulls, self.lengths, train, low, high, to = got[0][0]
+        self.ids, self.nulls, self.lengths, train, low, high, hashes = got[0][0]
         self.tokens = high.astype(np.int64) << 16 | low
         self.train = np.repeat(train.astype(bool), self.lengths)
-        self.order, self.pieces = _by_part(to)
+        self.order, self.pieces = _by_part(hashes, parts)
         self.numbers = np.concatenate([x[0] for x in got[1]])  # in the order of the partitions
-        self.count = np.empty(len(to), np.int64)
+        self.count = np.empty(len(hashes), np.int64)
         self.count[self.order] = np.concatenate([x[1] for x in got[1]])
-        self.classes = np.empty(len(to), np.uint8)
+        self.classes = np.empty(len(hashes), np.uint8)
         if start is None:
             self.classes[self.order] = np.concatenate([x[0] for x in got[3]])
         else:  # before the first round: the seeds have a class each, all others the last
             self.classes[:] = CLASSES - 1
             for p, a, b in self.pieces:
-                for (q, number), c in start.items():
-                    if q == p:
-                        self.classes[self.order[a:b][self.numbers[a:b] == number]] = c
+                for number, c in start.get(p, {}).items():
+                    self.classes[self.order[a:b][self.numbers[a:b] == number]] = c
 
     def before(self) -> np.ndarray:
         """The class before each token: the end's at a document's start."""
@@ -204,9 +209,9 @@ class Block:
         return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], start: dict | None) -> Iterator[tuple[int, Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch], start: dict | None, parts: int) -> Iterator[tuple[int, Block]]:
     for block, rows in groupby(_rows(batches), key=lambda r: r["block"]):
-        yield block, Block(list(rows), start)
+        yield block, Block(list(rows), start, parts)
 
 
 def _sparse(index: np.ndarray, other: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,17 +221,15 @@ def _sparse(index: np.ndarray, other: np.ndarray, words: int) -> tuple[np.ndarra
     return np.bincount(at // CLASSES, minlength=words).astype(np.uint8), (at % CLASSES).astype(np.uint8), dense[at].astype(np.uint32)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], start: dict | None, words_too: bool) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], start: dict | None, parts: int) -> Iterator[pa.RecordBatch]:
     """Blocks to messages with each word's neighbouring classes, and (kind 4) the class bigrams of the training text."""
 
     def run() -> Iterator[tuple]:
         bigrams = np.zeros(CLASSES * CLASSES, np.int64)
-        for block, b in _blocks(batches, start):
+        for block, b in _blocks(batches, start, parts):
             train, before = b.train, b.before()
             own = b.classes[b.tokens]
             bigrams += np.bincount(before[train].astype(np.int64) * CLASSES + own[train], minlength=CLASSES * CLASSES)
-            if not words_too:
-                continue
             place = np.empty(len(b.order), np.int64)
             place[b.order] = np.arange(len(b.order))
             word = place[b.tokens]
@@ -248,30 +251,35 @@ def _contexts(batches: Iterator[pa.RecordBatch], start: dict | None, words_too:
 def _choose(before: np.ndarray, after: np.ndarray, own: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
     """The class of greatest gain for each word, from its counts of classes before and after it (words x classes).
 
-    Moving w into class b adds to the likelihood sum r log N(b, .) + sum l log N(., b) - 2 n log N(b), to first order, with w's own
-    counts taken out of its present class; for frequent words the gain is computed without that approximation.
+    With f(x) = x log x, and N and its sums without the word, joining class b adds the sum over classes c of f(N(b, c) + after(c)) - f(N(b, c)), the same
+    for what comes before, less 2 (f(N(b) + n) - f(N(b))). Only classes beside the word add anything, so the sums are over those entries.
     """
     n = before.sum(1)
-    total = (bigrams.sum(0) + bigrams.sum(1)) / 2
-    small = 0.01
-    out, rows = np.empty(len(n), np.uint8), np.arange(len(n))
-    log_after, log_before = np.log(bigrams + small), np.log(bigrams.T + small)  # [b, next], [b, previous]
-    gain = after @ log_after.T + before @ log_before.T - 2 * n[:, None] * np.log(total + small * CLASSES)[None, :]
-    left_after, left_before = np.maximum(bigrams[own] - after, 0) + small, np.maximum(bigrams.T[own] - before, 0) + small
-    gain[rows, own] = (after * np.log(left_after)).sum(1) + (before * np.log(left_before)).sum(1) - 2 * n * np.log(np.maximum(total[own] - n, 0) + small * CLASSES)
-    xlogx = lambda x: x * np.log(x + small)
-    for w in np.flatnonzero(n >= EXACT_FROM).tolist():
-        rest, sums = bigrams.astype(float).copy(), total.copy()
-        rest[own[w]] = np.maximum(rest[own[w]] - after[w], 0)
-        rest[:, own[w]] = np.maximum(rest[:, own[w]] - before[w], 0)
-        sums[own[w]] = max(sums[own[w]] - n[w], 0)
-        gain[w] = (xlogx(rest + after[w][None, :]) - xlogx(rest)).sum(1) + (xlogx(rest.T + before[w][None, :]) - xlogx(rest.T)).sum(1) - 2 * (xlogx(sums + n[w]) - xlogx(sums))
+    sums = (bigrams.sum(0) + bigrams.sum(1)) / 2
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    rows = np.arange(len(n))
+    gain = -2 * (f(sums[None, :] + n[:, None]) - f(sums)[None, :])
+    left = np.maximum(sums[own] - n, 0)
+    gain[rows, own] = -2 * (f(left + n) - f(left))
+    for counts, other, table in ((after, before, bigrams), (before, after, bigrams.T)):  # table[b, c]: b before c, or after it
+        word, beside = np.nonzero(counts)
+        added = np.zeros_like(gain)
+        for at in range(0, len(word), ENTRIES):
+            w, c = word[at : at + ENTRIES], beside[at : at + ENTRIES]
+            k = counts[w, c]
+            rest = table[:, c].T.astype(float)  # entries x classes
+            rest[np.arange(len(w)), own[w]] -= k
+            mine = np.flatnonzero(c == own[w])  # the word's own class is beside it: its other side is taken out of that, too
+            rest[mine] -= other[w[mine]]
+            rest = np.maximum(rest, 0)
+            cuts = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            added[w[cuts]] += np.add.reduceat(f(rest + k[:, None]) - f(rest), cuts, axis=0)
+        gain += added
     gain[:, 0] = -np.inf  # the end's alone
-    out[:] = np.where(own == 0, 0, gain.argmax(1))
-    return out
+    return np.where(own == 0, 0, gain.argmax(1)).astype(np.uint8)
 
 
-def _move(batches: Iterator[pa.RecordBatch], sizes: np.ndarray, bigrams: np.ndarray, frozen: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+def _move(batches: Iterator[pa.RecordBatch], sizes: np.ndarray, bigrams: np.ndarray, frozen: dict[int, dict[int, int]]) -> Iterator[pa.RecordBatch]:
     """Messages of a word partition to answers with new classes (kind 3), and (kinds 5 and 6) words and once-seen words a class."""
 
     def run() -> Iterator[tuple]:
@@ -291,9 +299,8 @@ def _move(batches: Iterator[pa.RecordBatch], sizes: np.ndarray, bigrams: np.ndar
                 cut = slice(at, at + 4096)
                 before, after = (s.reshape(words, CLASSES)[cut].astype(np.float64) for s in sums)
                 new[cut] = _choose(before, after, own[cut], bigrams)
-            for q, number in frozen:
-                if q == p:
-                    new[number] = own[number]
+            for number in frozen.get(p, {}):
+                new[number] = own[number]
             n = sums[0].reshape(words, CLASSES).sum(1)
             types += np.bincount(new[n > 0], minlength=CLASSES)
             once += np.bincount(new[n == 1], minlength=CLASSES)
@@ -337,8 +344,8 @@ class Model:
 _SCORED = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for _, b in _blocks(batches, None):
+def _score(batches: Iterator[pa.RecordBatch], model: Model, parts: int) -> Iterator[pa.RecordBatch]:
+    for _, b in _blocks(batches, None, parts):
         ids = pa.array(b.ids, pa.int64(), mask=b.nulls.astype(bool))
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(model.score(b), _SCORED.types[1:], strict=True))], schema=_SCORED)
 
@@ -349,34 +356,41 @@ def objective(bigrams: np.ndarray) -> float:
     return x(bigrams) - x(bigrams.sum(0)) - x(bigrams.sum(1))
 
 
-def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, rounds: int = ROUNDS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", trace: list | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, least_gain: float = LEAST_GAIN, block_words: int = BLOCK_WORDS, part_bytes: int = PART_BYTES, id_col: str = "doc_id", text_col: str = "text", trace: list | None = None) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from documents whose crc32(id as text) modulo fold is not held. Words are runs of anything but ASCII white
     space, A-Z lowered, and each text ends with one more token. score is the log10 probability of the text
     under the class model, base_score under add-half unigrams; both spread over V + 1 types, all unseen words being one. Null
-    texts are empty: the end token alone. Repeated ids keep their rows; a null id counts as empty text for the fold. Without
-    training text all words are unseen. Columns beside id and text are not read. An empty table gives an empty result.
-    trace, if given, gets the objective of each round.
+    texts are empty: the end token alone. Repeated ids keep their rows; a null id counts as empty text for the fold; ids are whole numbers
+    (others are an error). A very long text is a block of its own. Without training text all words are unseen. Columns beside id and text
+    are not read. An empty table gives an empty result. least_gain: see LEAST_GAIN; rounds end, too, with one that loses. trace, if given, gets
+    the objective before each round and after the last.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = partitions(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (crc32_mod(F.col(id_col), fold) != held).alias("train"))
-    blocks = materialize(source.mapInArrow(tidied(lambda it: _encode(it, parts, block_words)), "block long, body binary, words binary"), "lm-blocks")
-    to_words = lambda df: df.where("p >= 0").repartition(parts, "p").sortWithinPartitions("p", "block")
-    answers = materialize(to_words(blocks.select("block", "words").mapInArrow(tidied(_post_words), _MESSAGE)).mapInArrow(tidied(lambda it: _count_words(it, CLASSES)), _MESSAGE), "lm-words")
+    id_ = whole_id(docs, id_col)
+    source = docs.select(id_.alias("id"), F.col(f"`{text_col}`").alias("text"), (crc32_mod(id_, fold) != held).alias("train"))
+    blocks = materialize(source.mapInArrow(tidied(lambda it: _encode(it, block_words)), "block long, body binary, words binary"), "lm-blocks")
+    packed = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    parts = max(partitions(spark), -(-packed // part_bytes))
+    to_words = lambda df: df.where("p >= 0").repartitionById(parts, F.col("p")).sortWithinPartitions("p", "block")
+    answers = materialize(to_words(blocks.select("words", "block").mapInArrow(tidied(lambda it: _post_words(it, parts)), _MESSAGE)).mapInArrow(tidied(lambda it: _count_words(it, CLASSES)), _MESSAGE), "lm-words")
 
     # A row a word partition.
     sizes, n, v, top, end = np.zeros(parts, np.int64), 0, 0, [], None
     for row in answers.where("kind = 2").toLocalIterator():
-        (seen, at), number, count = unpack(row.body)
+        (seen, at), number, count, seeds = unpack(row.body)
         sizes[row.p], n, v = row.src, n + row.n, v + int(seen)
         end = (row.p, int(at)) if at >= 0 else end
-        top = sorted([*top, *((-c, row.p, i) for c, i in zip(count.tolist(), number.tolist(), strict=True) if (row.p, i) != end)])[:CLASSES]
-    start = {(p, i): k + 1 for k, (_, p, i) in enumerate([t for t in top if (t[1], t[2]) != end][: CLASSES - 2])}
+        # Ties by the word, so seeds do not depend on the partitions.
+        top = sorted([*top, *((-c, w, row.p, i) for c, i, w in zip(count.tolist(), number.tolist(), seeds.tobytes().split(b" "), strict=False) if (row.p, i) != end)])[:CLASSES]
+    start: dict[int, dict[int, int]] = defaultdict(dict)
+    for k, (_, _, p, i) in enumerate([t for t in top if (t[2], t[3]) != end][: CLASSES - 2]):
+        start[p][i] = k + 1
     if end:
-        start[end] = 0
+        start[end[0]][end[1]] = 0
+    start = dict(start)
 
     tokens = blocks.select(F.lit(0).alias("p"), "block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("n"), "body")
     about = answers.where("kind = 1")
@@ -392,24 +406,26 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, rounds: int =
             out[src] = total
         return out
 
-    classes, best = None, None
-    for k in range(rounds + 1):
-        last = k == rounds
-        first = start if k == 0 else None
-        # Words of the first round's own classes stay until these have members.
-        contexts = materialize(with_tokens(classes, lambda it, first=first, last=last: _contexts(it, first, not last)), "lm-contexts")
+    classes, best, reached = None, None, []
+    while True:
+        first = None if reached else start
+        contexts = materialize(with_tokens(classes, lambda it, first=first: _contexts(it, first, parts)), "lm-contexts")
         bigrams = summed(contexts, 4, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
-        if trace is not None:
-            trace.append(objective(bigrams))
-        if classes is not None and (best is None or objective(bigrams) > best[0]):
-            best = objective(bigrams), classes, bigrams
-        if not last:
-            frozen = set(start) if k == 0 else {end} if end else set()
-            classes = materialize(to_words(contexts).mapInArrow(tidied(lambda it, bigrams=bigrams, frozen=frozen: _move(it, sizes, bigrams, frozen)), _MESSAGE), "lm-classes")
+        reached.append(objective(bigrams))
+        if classes is not None and (best is None or reached[-1] > best[0]):
+            best = reached[-1], classes, bigrams
+        gained = reached[-1] - reached[-2] if classes is not None else None
+        if gained is not None and (gained <= 0 or len(reached) > 2 and gained < least_gain * (reached[-1] - reached[0])):
+            break
+        # Words of the first round's own classes stay until these have members.
+        frozen = start if not reached[1:] else {end[0]: {end[1]: 0}} if end else {}
+        classes = materialize(to_words(contexts).mapInArrow(tidied(lambda it, bigrams=bigrams, frozen=frozen: _move(it, sizes, bigrams, frozen)), _MESSAGE), "lm-classes")
         discard(contexts)
+    if trace is not None:
+        trace += reached
     _, classes, bigrams = best
     model = Model(bigrams, summed(classes, 5, CLASSES), summed(classes, 6, CLASSES), n, v)
-    scored = with_tokens(classes, lambda it: _score(it, model), "id long, n_tokens long, n_known long, base_score double, score double")
+    scored = with_tokens(classes, lambda it: _score(it, model, parts), "id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), (crc32_mod(F.col("id"), fold) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -569,7 +569,9 @@ def test_lm_scoring(spark, rows):
         w = tokens(t)
         want[(i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6))] += 1
     assert Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == want
-    assert trace[1] > trace[0] and len(trace) == 3
+    assert trace[1] > trace[0] and len(trace) >= 3
+    last = [b - a for a, b in zip(trace, trace[1:])]
+    assert last[-1] < 0.05 * (trace[-1] - trace[0]) and all(x > 0 for x in last[:-1])
     mine = [x for x in got if x.held_out and x.doc_id is not None and x.doc_id >= 2000]
     assert sum(x.score for x in mine) > sum(x.base_score for x in mine) + 0.15 * sum(x.n_tokens for x in mine)
     assert score_documents(docs_of(spark, [])).count() == 0
@@ -577,6 +579,53 @@ def test_lm_scoring(spark, rows):
     assert alone and all(x.n_known == 0 and x.train_tokens == 0 and x.score <= 0 for x in alone)
 
 
+def test_lm_class_choice_against_brute_force():
+    """The gain of each move by building the class bigrams again, for rare and frequent words alike."""
+    import numpy as np
+
+    from tessera.llm import brown_lm
+
+    r = np.random.default_rng(5)
+    text = [int(x) for x in r.zipf(1.4, 3000) % 60]
+    classes = r.integers(1, 6, 60)
+    classes[0] = 0  # the end
+    text = [0, *text, 0]
+    before, after = np.zeros((60, brown_lm.CLASSES)), np.zeros((60, brown_lm.CLASSES))
+
+    def table(c):
+        out = np.zeros((brown_lm.CLASSES, brown_lm.CLASSES))
+        np.add.at(out, (c[text[:-1]], c[text[1:]]), 1)
+        return out
+
+    for x, y in zip(text, text[1:]):
+        after[x, classes[y]] += 1
+        before[y, classes[x]] += 1
+    n = np.maximum(before.sum(1), after.sum(1))
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    chosen = brown_lm._choose(before, after, classes.astype(np.uint8), table(classes))
+    right, selfless = 0, [w for w in range(1, 60) if n[w] and not any(x == y == w for x, y in zip(text, text[1:]))]
+    for w in selfless:
+        score = {}
+        for b in range(1, brown_lm.CLASSES):
+            c = classes.copy()
+            c[w] = b
+            t = table(c)
+            s = (t.sum(0) + t.sum(1)) / 2
+            score[b] = f(t) - 2 * f(s)
+        right += score[chosen[w]] >= max(score.values()) - 1e-6 * abs(max(score.values()))
+    assert right == len(selfless) > 20
+
+
+def test_lm_word_partitions_by_data(spark):
+    """More word partitions give the same scores."""
+    from tessera.llm.brown_lm import score_documents
+
+    docs = docs_of(spark, [(i, words(80, i, 300), "s") for i in range(120)])
+    one, many = (sorted(tuple(x) for x in score_documents(docs, block_words=2000, part_bytes=k).collect()) for k in (1 << 30, 1500))
+    assert [x[:5] for x in one] == [x[:5] for x in many]
+    assert all(math.isclose(a[k], b[k], rel_tol=1e-9) for a, b in zip(one, many) for k in (5, 6))
+
+
 def test_lm_is_a_distribution():
     import numpy as np
 
