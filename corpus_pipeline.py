@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before kept, and returns the documents that stay with the
 columns of documents; the last returns the mix: documents with at least one copy in it, with size, source_size, target
-and taken (words taken, copies counted).
+and taken (words taken, copies counted), which stand in place of columns of these names that documents may have.
 """
 
 from __future__ import annotations
@@ -40,10 +40,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+#: What the last stage adds.
+MIX = ["size", "source_size", "target", "taken"]
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents of which at least one copy is taken."""
-    mixed = mix(docs, carry=docs.columns).where("taken > 0")
-    return mixed.select("row.*", "size", "source_size", "target", "taken")
+    mixed = mix(docs, carry=[c for c in docs.columns if c.lower() not in MIX]).where("taken > 0")
+    return mixed.select("row.*", *MIX)
 
 
 STAGES = [
