@@ -1024,8 +1024,36 @@ def test_pipeline_stages(spark, tmp_path):
     assert steps[1] - steps[2] == {501}
     assert steps[2] - steps[3] == {502}
     assert docs.where("taken <= 0").count() == 0
+    # Every stage after the classifier against brute force on what it was given.
+    text = {i: (t, src) for i, t, _, src, _ in rows}
+    given = lambda k: [(i, *text[i]) for i in sorted(steps[k])]
+    last = {}
+    for i, t, _ in given(0):
+        last[t or ""] = i
+    assert steps[1] == set(last.values())
+    assert steps[2] == {i for (i, _), (n, comp) in near_brute(given(1), 80).items() if comp == i or not n}
+    assert steps[3] == {x[0] for x in contamination_brute(given(2), [(1, passage)]) if not x[4]}
+    size = lambda t: len(re.findall(r"[^ \t-\r]+", t or ""))
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for i, t, src in given(3):
+        sizes[src] += size(t)
+        largest[src] = max(largest[src], size(t))
+    for x in docs.collect():
+        taken[x.source] += x.taken
+        assert x["size"] == size(x.text) and x.source_size == sizes[x.source] and x.taken <= 3 * x["size"]
+    assert all(abs(taken[src] - t) <= largest[src] + 1e-6 for src, t in fill(dict(sizes)).items())
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert {x.doc_id for x in whole.select("doc_id").collect()} == steps[4]
+    clashing = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "1 AS size", "2 AS Target", "'x' AS row", "'y' AS text_b")
+    for _, stage in corpus_pipeline.STAGES:  # columns of the operators' own names
+        before, clashing = clashing.columns, stage(spark, clashing, str(tmp_path))
+        clashing.write.parquet(f"{tmp_path}/clash-{stage.__name__}")
+        clashing = spark.read.parquet(f"{tmp_path}/clash-{stage.__name__}")
+    assert sorted(c.lower() for c in clashing.columns) == sorted([*(c.lower() for c in before if c not in ("size", "Target")), *corpus_pipeline.MIX])
+    long = spark.createDataFrame([(1, words(300_000, 1, 20_000), "en", "s0", 0), (2, words(300_000, 1, 20_000) + " end", "en", "s0", 0), (3, "short", "en", "s1", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:  # very long texts
+        long = stage(spark, long, str(tmp_path))
+    assert {x.doc_id for x in long.select("doc_id").collect()} <= {1, 3}
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
