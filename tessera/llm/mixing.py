@@ -50,7 +50,8 @@ def targets(sources: DataFrame, repeats: float, share: float = 1.0) -> DataFrame
         .withColumn("all", F.sum("source_size").over(W.partitionBy()) * F.lit(float(share)))
         .withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(ratio.rowsBetween(0, W.unboundedFollowing)))
     )
-    fits = F.when(F.col("level") <= F.col("ratio"), F.struct(F.col("ratio"), F.col("level")))
+    # The first that fits, in the window's order: of sources with one ratio the level counts of the first.
+    fits = F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("key").isNull().alias("unnamed"), "key", "level"))
     return filled.withColumn("level", F.min(fits).over(W.partitionBy())["level"]).withColumn(
         "target", F.when(F.col("level").isNull() | (F.col("level") * F.col("weight") >= F.col("cap")), F.col("cap")).otherwise(F.col("level") * F.col("weight"))
     )
@@ -73,7 +74,7 @@ def mix(
     or a table (source, weight > 0). A null source is a source of its own, the last; null or empty texts have
     size 0; a source of size 0 has target 0. Repeated ids share a hash and so are taken or left together.
     Columns beside the three named are not read, but those named in carry, which come back as struct `row`. An empty
-    table gives an empty result.
+    table gives an empty result; a very long text is one row whose size counts whole. The sources, a row each, are ranked in one small task.
     """
     named = [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("key"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")]
     keyed = lambda df: df.withColumn("known", F.col("key").isNotNull()).withColumn("name", F.coalesce("key", F.lit("")))
