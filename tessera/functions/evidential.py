@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +24,33 @@ def dirichlet(alpha0: Column, alpha1: Column, threshold: float = 0.5) -> Column:
     return F.struct(p.alias("p_toxic"), (p >= threshold).cast("int").alias("pred_label"), (2 / s).alias("uncertainty"), (1 - 2 / s).alias("confidence"), (s - 2).alias("total_evidence"), F.array(alpha0, alpha1).alias("alphas"), F.array(alpha0 / s, p).alias("probs"))
 
 
-def digamma(x: float) -> float:
-    """By recurrence to 6 and the asymptotic series."""
-    out = 0.0
-    while x < 6:
-        out -= 1 / x
-        x += 1
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers: by recurrence to 6 and the asymptotic series."""
+    x = np.array(x, np.float64)
+    out = np.zeros_like(x)
+    while (low := x < 6).any():
+        out[low] -= 1 / x[low]
+        x[low] += 1
     f = 1 / (x * x)
-    return out + math.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f / 240)))
+    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f / 240)))
 
 
-def dirichlet_kl(alphas: list[float]) -> float:
-    """Divergence of a Dirichlet from the flat one."""
-    s, k = sum(alphas), len(alphas)
-    return math.lgamma(s) - sum(map(math.lgamma, alphas)) - math.lgamma(k) + sum((a - 1) * (digamma(a) - digamma(s)) for a in alphas)
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers: by recurrence to 9 and the asymptotic series."""
+    x = np.array(x, np.float64)
+    out = np.zeros_like(x)
+    while (low := x < 9).any():
+        out[low] -= np.log(x[low])
+        x[low] += 1
+    f = 1 / (x * x)
+    return out + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - f * (1 / 360 - f * (1 / 1260 - f / 1680))) / x
+
+
+def dirichlet_kl(alphas: np.ndarray) -> np.ndarray:
+    """Divergence of Dirichlet distributions (a row each) from the flat one."""
+    alphas = np.atleast_2d(np.asarray(alphas, np.float64))
+    s, k = alphas.sum(1), alphas.shape[1]
+    return log_gamma(s) - log_gamma(alphas).sum(1) - log_gamma(np.array([float(k)]))[0] + ((alphas - 1) * (digamma(alphas) - digamma(s)[:, None])).sum(1)
 
 
 def evidential_loss(alpha0: Column, alpha1: Column, label: Column, kl_weight: float = 1.0, class_weights: tuple[float, float] = (1.0, 1.0), focal: float = 0.0) -> Column:
@@ -44,14 +58,13 @@ def evidential_loss(alpha0: Column, alpha1: Column, label: Column, kl_weight: fl
     divergence, from the flat one, of the evidence against the class."""
 
     def run(a0: pd.Series, a1: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for x0, x1, t in zip(a0, a1, y, strict=True):
-            a, s, hot = (x0, x1), x0 + x1, (1.0 - t, float(t))
-            p = [v / s for v in a]
-            fit = sum((h - q) ** 2 + q * (1 - q) / (s + 1) for h, q in zip(hot, p, strict=True))
-            against = [h + (1 - h) * v for h, v in zip(hot, a, strict=True)]
-            out.append(class_weights[int(t)] * (1 - p[int(t)]) ** focal * fit + kl_weight * dirichlet_kl(against))
-        return pd.Series(out)
+        a, t = np.stack([a0, a1], 1).astype(np.float64).reshape(-1, 2), y.to_numpy(np.int64)
+        hot = np.eye(2)[t]
+        s = a.sum(1, keepdims=True)
+        p = a / s
+        fit = ((hot - p) ** 2 + p * (1 - p) / (s + 1)).sum(1)
+        weight = np.asarray(class_weights)[t] * (1 - (p * hot).sum(1)) ** focal
+        return pd.Series(weight * fit + kl_weight * (dirichlet_kl(hot + (1 - hot) * a) if len(a) else 0.0))
 
     return F.pandas_udf(run, "double")(alpha0, alpha1, label)
 
@@ -79,34 +92,133 @@ def layer_norm(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
     return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + eps)
 
 
-def trilinear(parts: list[np.ndarray], adapters: list[np.ndarray], gate: np.ndarray, head: Predict, extra: np.ndarray | None = None) -> np.ndarray:
-    """Normalised and adapted branches multiplied element by element, gated by their sum; a further branch is added."""
-    adapted = [layer_norm(x) @ a for x, a in zip(parts, adapters, strict=True)]
-    product, total = np.prod(adapted, axis=0), np.sum(adapted, axis=0)
-    z = product / (1 + np.exp(-(total @ gate))) + total
-    return head(z if extra is None else z + extra)
+Layer = tuple[np.ndarray, np.ndarray]  # weights (in, out) and bias
+
+
+def _relu(x: np.ndarray, layer: Layer) -> np.ndarray:
+    return np.maximum(x @ layer[0] + layer[1], 0)
+
+
+def fusion(branches: list[np.ndarray], norms: list[Layer], adapters: list[Layer], joined: Layer, head: list[Layer], extra: tuple[np.ndarray, Layer, Layer] | None = None) -> np.ndarray:
+    """Logits from three branches of features (rows each): normalised with a scale and a shift, adapted by a linear layer with ReLU, joined with their product
+    by another, then the head. extra: a further branch with its norm and adapter, added before the head."""
+    adapted = [_relu(layer_norm(x) * scale + shift, a) for x, (scale, shift), a in zip(branches, norms, adapters, strict=True)]
+    z = _relu(np.concatenate([*adapted, np.prod(adapted, axis=0)], axis=-1), joined)
+    if extra is not None:
+        x, (scale, shift), adapter = extra
+        z = z + _relu(layer_norm(x) * scale + shift, adapter)
+    return mlp(head)(z)
+
 
+def fuse_batches(df: DataFrame, columns: list[str], weights: dict, extra: str | None = None) -> DataFrame:
+    """Adds the Dirichlet outputs of fusion() on array columns. weights: norms, adapters, joined, head (and extra_norm, extra_adapter); sent with the function."""
 
-def conv_encoder(one_hot: np.ndarray, kernels: list[np.ndarray], mask: np.ndarray) -> np.ndarray:
-    """Kernels (width, in, out) over (length, in), ReLU, maximum over unmasked places; a part for each kernel."""
+    def predict(frame: pd.DataFrame) -> np.ndarray:
+        rows = [np.stack(frame[c].to_numpy()).astype(np.float64) for c in [*columns, *([extra] if extra else [])]]
+        more = (rows[-1], weights["extra_norm"], weights["extra_adapter"]) if extra else None
+        return fusion(rows[: len(columns)], weights["norms"], weights["adapters"], weights["joined"], weights["head"], more)
+
+    return _scored(df, F.struct(*[F.col(c) for c in [*columns, *([extra] if extra else [])]]), predict)
+
+
+def conv_encoder(tokens: np.ndarray, lengths: np.ndarray, embedding: np.ndarray, kernels: list[Layer]) -> np.ndarray:
+    """Features of many sequences: letter numbers (rows, length; 0 pads) embedded, kernels (width, in, out) with ReLU, and the maximum over a row's own places; a part for each kernel."""
+    x = embedding[tokens]
+    x[tokens == 0] = 0
+    n, long, _ = x.shape
+    own = np.arange(long)[None, :] < lengths[:, None]
     out = []
-    for k in kernels:
-        pad = k.shape[0] // 2
-        x = np.pad(one_hot, ((pad, k.shape[0] - 1 - pad), (0, 0)))
-        y = sum(x[i : i + len(one_hot)] @ k[i] for i in range(k.shape[0]))
-        out.append(np.where(mask[:, None], np.maximum(y, 0), 0).max(0))
-    return np.concatenate(out)
+    for kernel, bias in kernels:
+        before = kernel.shape[0] // 2
+        padded = np.pad(x, ((0, 0), (before, kernel.shape[0] - 1 - before), (0, 0)))
+        y = np.maximum(sum(padded[:, i : i + long] @ kernel[i] for i in range(kernel.shape[0])) + bias, 0)
+        out.append(np.where(own[:, :, None], y, -np.inf).max(1) if long else np.zeros((n, len(bias))))
+    return np.concatenate(out, axis=1)
 
 
-def score_batches(df: DataFrame, predict: Predict, vector: str = "vector") -> DataFrame:
-    """Adds alphas and the Dirichlet outputs of a model that maps feature rows to two logits; Arrow batches, weights sent with the function."""
+def encode_batches(df: DataFrame, seq: str, weights: dict, alphabet: str, rows: int = 64) -> DataFrame:
+    """Adds the Dirichlet outputs of the sequence model: letters embedded, convolved, pooled, and the head. weights: embedding, kernels, head. An empty sequence has zeros as features."""
+    number = {a: i + 1 for i, a in enumerate(alphabet)}
+
+    def predict(frame: pd.DataFrame) -> np.ndarray:
+        out = []
+        for at in range(0, len(frame), rows):
+            texts = [t or "" for t in frame["seq"].iloc[at : at + rows]]
+            tokens = np.zeros((len(texts), max(1, max(map(len, texts)))), np.int64)
+            for i, t in enumerate(texts):
+                tokens[i, : len(t)] = [number.get(a, 0) for a in t]
+            features = conv_encoder(tokens, np.array([len(t) for t in texts]), weights["embedding"], weights["kernels"])
+            out.append(mlp(weights["head"])(np.where(np.isfinite(features), features, 0.0)))
+        return np.concatenate(out)
+
+    return _scored(df, F.struct(F.col(seq).alias("seq")), predict)
+
 
-    def run(v: pd.Series) -> pd.DataFrame:
-        z = predict(np.stack(v.to_numpy()).astype(np.float64)) if len(v) else np.zeros((0, 2))
+def graph_encoder(features: np.ndarray, src: np.ndarray, dst: np.ndarray, layers: list[Layer]) -> np.ndarray:
+    """One graph's vector: in each layer a node's incoming neighbours are averaged (none: zeros; no edges at all: itself), then linear and ReLU; at last the mean of the nodes."""
+    h = np.asarray(features, np.float64)
+    degree = np.bincount(dst, minlength=len(h)) if len(dst) else None
+    for layer in layers:
+        m = h
+        if degree is not None:
+            m = np.zeros_like(h)
+            np.add.at(m, dst, h[src])
+            m = m / np.maximum(degree, 1)[:, None]
+        h = _relu(m, layer)
+    return h.mean(0)
+
+
+def encode_graphs(nodes: DataFrame, edges: DataFrame, layers: list[Layer]) -> DataFrame:
+    """(graph_id, vector): graph_encoder() of each graph, which a task holds whole. nodes: graph_id, node (long), x (array); edges: graph_id, src, dst.
+
+    Grouped by graph, so a graph has to fit a task; for larger ones take neighbour_mean() a layer at a time.
+    """
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("node")
+        place = {n: i for i, n in enumerate(left["node"])}
+        known = right[right["src"].isin(place) & right["dst"].isin(place)]
+        vector = graph_encoder(np.stack(left["x"].to_numpy()), known["src"].map(place).to_numpy(np.int64), known["dst"].map(place).to_numpy(np.int64), layers) if len(left) else np.zeros(0)
+        return pd.DataFrame({"graph_id": [key[0]], "vector": [vector.tolist()]}) if len(left) else pd.DataFrame({"graph_id": [], "vector": []})
+
+    kind = f"graph_id {nodes.schema['graph_id'].dataType.simpleString()}, vector array<double>"
+    return nodes.groupBy("graph_id").cogroup(edges.groupBy("graph_id")).applyInPandas(run, kind)
+
+
+def save_weights(weights: dict, path: str) -> None:
+    """A model's arrays, in nested lists, tuples and dicts, as JSON: numbers as written by repr, so nothing is lost."""
+    where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    plain = lambda x: {"array": x.tolist(), "shape": list(x.shape)} if isinstance(x, np.ndarray) else {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else [plain(v) for v in x] if isinstance(x, list | tuple) else x
+    with where.open_output_stream(name + ".part") as out:
+        out.write(json.dumps(plain(weights)).encode())
+    where.move(name + ".part", name)
+
+
+def load_weights(path: str) -> dict:
+    """What save_weights() wrote; tuples come back as lists."""
+    where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+    def back(x: object) -> object:
+        if isinstance(x, dict):
+            return np.array(x["array"], np.float64).reshape(x["shape"]) if set(x) == {"array", "shape"} else {k: back(v) for k, v in x.items()}
+        return [back(v) for v in x] if isinstance(x, list) else x
+
+    return back(json.loads(where.open_input_stream(name).read()))
+
+
+def _scored(df: DataFrame, inputs: Column, predict: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        z = predict(frame) if len(frame) else np.zeros((0, 2))
         a = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) + 1
         return pd.DataFrame({"a0": a[:, 0], "a1": a[:, 1]})
 
-    return df.withColumn("a", F.pandas_udf(run, "a0 double, a1 double")(F.col(vector))).select("*", dirichlet(F.col("a.a0"), F.col("a.a1")).alias("prediction")).drop("a")
+    return df.withColumn("_a", F.pandas_udf(run, "a0 double, a1 double")(inputs)).select(*df.columns, dirichlet(F.col("_a.a0"), F.col("_a.a1")).alias("prediction"))
+
+
+def score_batches(df: DataFrame, predict: Predict, vector: str = "vector") -> DataFrame:
+    """Adds alphas and the Dirichlet outputs of a model that maps feature rows to two logits; Arrow batches, weights sent with the function."""
+
+    return _scored(df, F.struct(F.col(vector).alias("v")), lambda frame: predict(np.stack(frame["v"].to_numpy()).astype(np.float64)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 1e-3, patience: int = 30, held: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, float]:

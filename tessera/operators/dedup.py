@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sorted_set, split_set
+from tessera.operators.running import number_in_order
 
 
 def dedup_with_conflicts(records: DataFrame, key: str = "sequence", label: str = "label", dataset: str = "source_dataset", project: str | None = "source_project", provenance: list[str] | None = None) -> DataFrame:
@@ -76,6 +77,8 @@ def cluster_size_stats(clusters: DataFrame, size: str = "cluster_size", by: list
 
 def number_rows(df: DataFrame, prefix: str, order: str, by: list[str]) -> DataFrame:
     """Ids like prefix000000, from 0 within each group, in the order given."""
-    from pyspark.sql import Window as W
-
-    return df.withColumn("seq_id", F.format_string(f"{prefix}%06d", F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1))
+    rows = number_in_order(df, [*by, order], "_number")
+    first = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_number").alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    rows = rows.join(first, same) if by else rows.crossJoin(F.broadcast(first))
+    return rows.withColumn("seq_id", F.format_string(f"{prefix}%06d", F.col("_number") - F.col("_first"))).select(*df.columns, "seq_id")

@@ -76,11 +76,12 @@ def unit_weights(grams: DataFrame, idf: DataFrame) -> DataFrame:
     return w.join(length, "id").select("gram", "id", (F.col("w") / F.greatest(F.col("norm"), F.lit(1e-12))).alias("weight"))
 
 
-def knn(queries: DataFrame, postings: DataFrame, k: int = 8, exclude_same_id: bool = True) -> DataFrame:
+def knn(queries: DataFrame, postings: DataFrame, k: int = 8, exclude_same_id: bool = True, same: DataFrame | None = None) -> DataFrame:
     """(query, neighbour, similarity, rank): the k most similar texts with a positive similarity, ties by id.
 
     Equi-join on grams and a sum, then a ranking that Spark cuts to k before its shuffle. Frequent grams make the join
-    skewed, which the adaptive skew join splits.
+    skewed, which the adaptive skew join splits. same: (id, key), a row an id of either side; neighbours with the query's key,
+    such as its text's digest, are left out, whatever their id.
     """
     q = queries.select("gram", F.col("id").alias("query"), F.col("weight").alias("qw"))
     p = postings.select("gram", F.col("id").alias("neighbour"), F.col("weight").alias("pw"))
@@ -88,5 +89,8 @@ def knn(queries: DataFrame, postings: DataFrame, k: int = 8, exclude_same_id: bo
     if exclude_same_id:
         scores = scores.where("query <> neighbour")
     scores = scores.groupBy("query", "neighbour").agg(F.round(F.sum(F.col("qw") * F.col("pw")), 9).alias("similarity"))
+    if same is not None:
+        key = lambda side: same.select(F.col("id").alias(side), F.col("key").alias(f"key_{side}"))
+        scores = scores.join(key("query"), "query", "left").join(key("neighbour"), "neighbour", "left").where(~F.coalesce(F.col("key_query") == F.col("key_neighbour"), F.lit(False))).select("query", "neighbour", "similarity")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)

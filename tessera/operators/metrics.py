@@ -9,18 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.running import number_in_order, running_sums
+
 
 def _by_score(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     return df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
 
 
+def _from_above(s: DataFrame, by: list[str]) -> DataFrame:
+    """Adds tp and fp (p and n of this score and all above), and pos and neg of the group. Without groups the scores are summed in ranges, not in one task."""
+    if by:
+        down, whole = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
+        return s.select("*", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
+    summed = running_sums(s, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")})
+    return summed.crossJoin(F.broadcast(summed.agg(F.max("tp").alias("pos"), F.max("fp").alias("neg"))))
+
+
 def ranking_metrics(df: DataFrame, by: list[str] | None = None, score: str = "score", label: str = "label") -> DataFrame:
     """auroc (ties count half) and average precision; null where a class is absent."""
     by = by or []
     s = _by_score(df, by, score, label)
-    down = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*by)
-    s = s.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down)).withColumn("pos", F.sum("p").over(whole)).withColumn("neg", F.sum("n").over(whole))
+    s = _from_above(s, by)
     area = F.sum(F.col("p") * (F.col("neg") - F.col("fp") + F.col("n") / F.lit(2.0)))
     both = (F.max("pos") > 0) & (F.max("neg") > 0)
     return s.groupBy(*by).agg(
@@ -64,8 +73,7 @@ def select_threshold(df: DataFrame, metric: str = "mcc", by: list[str] | None =
     more = df.sparkSession.createDataFrame([(float(x), 0, 0) for x in extra], "score double, p long, n long")
     more = groups.crossJoin(F.broadcast(more)) if by else more
     s = s.unionByName(more).groupBy(*by, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    down, whole = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
-    s = s.select(*by, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
+    s = _from_above(s, by)
     value = from_confusion(F.col("tp"), F.col("fp"), F.col("neg") - F.col("fp"), F.col("pos") - F.col("tp"))[metric]
     # Rounding keeps equal metrics equal whatever the order of the arithmetic.
     best = F.max_by(F.struct("score", "value"), F.struct(F.round("value", 12), -F.col("score")))
@@ -89,19 +97,20 @@ COVERAGES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0)
 def selective_accuracy(df: DataFrame, coverages: tuple[float, ...] = COVERAGES, id_col: str = "id", uncertainty: str = "uncertainty", score: str = "score", label: str = "label") -> DataFrame:
     """Accuracy among the most certain share of rows, k = max(1, n * share rounded half to even), ties by id.
 
-    Uncertainties are cut at exact ranks found from a count by distinct value, so rows are not sorted in one task: only the values at the cuts are.
+    Uncertainties are cut at exact ranks found from running sums over distinct values; neither these nor rows of one value are sorted in one task.
     """
     right = ((F.col(score) >= 0.5).cast("int") == F.col(label)).cast("long")
     rows = df.select(F.col(uncertainty).alias("u"), F.col(id_col).alias("id"), right.alias("r"))
     per = rows.groupBy("u").agg(F.count("*").alias("k"), F.sum("r").alias("r"))
-    up = W.orderBy("u").rowsBetween(W.unboundedPreceding, 0)
-    per = per.select("u", "k", F.sum("k").over(up).alias("upto"), F.sum("r").over(up).alias("right"), "r").withColumn("all", F.max("upto").over(W.partitionBy()))
+    per = running_sums(per, ["u"], {"upto": F.col("k"), "right": F.col("r")})
     wanted = df.sparkSession.createDataFrame([(float(c),) for c in coverages], "coverage double")
-    cut = wanted.crossJoin(per.agg(F.max("all").alias("n"))).withColumn("k_cut", F.greatest(F.lit(1), F.expr("bround(n * coverage)")).cast("long"))
+    cut = wanted.crossJoin(per.agg(F.max("upto").alias("n"))).withColumn("k_cut", F.greatest(F.lit(1), F.expr("bround(n * coverage)")).cast("long"))
     at = per.join(F.broadcast(cut), (F.col("upto") >= F.col("k_cut")) & (F.col("upto") - F.col("k") < F.col("k_cut")))
     # Within the value at the cut, the first by id.
     need = at.select("coverage", "n", "k_cut", F.col("u").alias("cu"), (F.col("k_cut") - F.col("upto") + F.col("k")).alias("take"), (F.col("right") - F.col("r")).alias("before"))
-    tied = rows.join(F.broadcast(need), F.col("u") == F.col("cu")).withColumn("i", F.row_number().over(W.partitionBy("coverage").orderBy("id"))).where("i <= take")
+    tied = number_in_order(rows.join(F.broadcast(need), F.col("u") == F.col("cu")), ["coverage", "id"], "i")
+    first = tied.groupBy("coverage").agg(F.min("i").alias("first"))
+    tied = tied.join(F.broadcast(first), "coverage").where("i - first < take")
     return tied.groupBy("coverage", "k_cut").agg(((F.max("before") + F.sum("r")) / F.col("k_cut")).alias("accuracy")).select("coverage", F.col("k_cut").alias("k"), "accuracy")
 
 
@@ -124,3 +133,9 @@ def split_report(df: DataFrame, threshold: float | Column, by: str = "split", sc
     sizes = df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"))
     named = lambda t, suffix: metrics_at(df, t, [by], score, label).select(by, *[F.col(c).alias(f"{c}_{suffix}") for c in ("accuracy", "f1", "mcc")])
     return sizes.join(ranking_metrics(df, [by], score, label), by).join(named(0.5, "half"), by).join(named(threshold, "best"), by)
+
+
+def prediction_table(df: DataFrame, threshold: float | Column, keep: list[str], score: str = "score", label: str = "label") -> DataFrame:
+    """A row for each prediction: the columns in keep, label, score, pred_half (score >= 0.5) and pred_best (at the chosen threshold)."""
+    called = lambda t: (F.col(score) >= t).cast("int")
+    return df.select(*keep, F.col(label).alias("label"), F.col(score).alias("score"), called(0.5).alias("pred_half"), called(threshold).alias("pred_best"))

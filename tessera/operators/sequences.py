@@ -15,10 +15,10 @@ CHARGE = {"D": -1.0, "E": -1.0, "K": 1.0, "R": 1.0, "H": 0.1}
 SETS = {"aromatic": "FWY", "polar": "STNQHYC", "pos": "KRH", "neg": "DE"}
 
 
-def composition_features(seq: Column) -> list[Column]:
+def composition_features(seq: Column, counts: dict[str, Column] | None = None) -> list[Column]:
     """33 columns of a sequence of the 20 letters: from letter counts, so a row costs 20 counts and dot products; null if empty."""
     n = F.when(F.length(seq) > 0, F.length(seq)).cast("double")
-    count = {a: (F.length(seq) - F.length(F.replace(seq, F.lit(a), F.lit("")))).cast("double") for a in MODEL_ALPHABET}
+    count = counts or {a: (F.length(seq) - F.length(F.replace(seq, F.lit(a), F.lit("")))).cast("double") for a in MODEL_ALPHABET}
     total = lambda scale: sum((count[a] * F.lit(v) for a, v in scale.items()), F.lit(0.0))
     mean = lambda scale: total(scale) / n
 
@@ -118,3 +118,16 @@ def strategy_summary(cases: DataFrame, hits: DataFrame, strategies: list[str]) -
     grid = cases.select("case_id").crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in strategies], "strategy string"))).join(hits.withColumn("covered", F.lit(1)), ["case_id", "strategy"], "left")
     flags = ("flip_top1", "flip_topk", "reduce_top1", "reduce_topk")
     return grid.groupBy("strategy").agg(F.avg(F.coalesce("covered", F.lit(0))).alias("coverage"), *[F.avg(F.coalesce(c, F.lit(0))).alias(f"{c}_rate") for c in flags], *[F.avg(c).alias(f"{c}_rate_covered") for c in flags], F.avg("top1_p").alias("mean_top1_p"))
+
+
+def top_positions(cases: DataFrame, saliency: str, m: int) -> DataFrame:
+    """Adds positions (from 0): the m of greatest saliency, ties by place. saliency: an array, a number a letter; null gives none."""
+    ranked = F.transform(F.array_sort(F.transform(F.col(saliency), lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), lambda s: s["i"])
+    return cases.withColumn("positions", F.coalesce(F.slice(ranked, 1, m), F.array().cast("array<int>")))
+
+
+def composition(df: DataFrame, seq: str, keep: list[str]) -> DataFrame:
+    """The columns in keep and the 33 features of composition_features(); each letter is counted once a row."""
+    counted = df.select(*keep, F.col(seq).alias("_s"), F.array(*[F.length(seq) - F.length(F.replace(seq, F.lit(a), F.lit(""))) for a in MODEL_ALPHABET]).alias("_n"))
+    counts = {a: F.get("_n", F.lit(i)).cast("double") for i, a in enumerate(MODEL_ALPHABET)}
+    return counted.select(*keep, *composition_features(F.col("_s"), counts))

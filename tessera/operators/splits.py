@@ -15,14 +15,19 @@ def stratified_split(df: DataFrame, id_col: str, label: str, sizes: tuple[float,
     """Adds split: per label, by rank in hash order against cumulative quotas rounded half up. sizes add up to 1."""
     if abs(sum(sizes) - 1) > 1e-9 or len(sizes) != len(names):
         raise ValueError("sizes must add up to 1, one for each name")
-    within = W.partitionBy(label)
-    rank = F.row_number().over(within.orderBy(hash_order(id_col, seed), F.col(id_col)))
-    n = F.count("*").over(within)
+    # Counted by the first hex digits of the hash, so that a class is ranked in 4096 parts, not in one task.
+    rows = df.withColumns({"_hash": hash_order(id_col, seed), "_known": F.col(label).isNotNull(), "_class": F.coalesce(F.col(label).cast("string"), F.lit(""))}).withColumn("_first", F.substring("_hash", 1, 3))
+    on = ["_known", "_class", "_first"]
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_held"))
+    parts = W.partitionBy("_known", "_class")
+    counts = counts.select(*on, (F.sum("_held").over(parts.orderBy("_first")) - F.col("_held")).alias("_before"), F.sum("_held").over(parts).alias("_n"))
+    rank = F.col("_before") + F.row_number().over(W.partitionBy(*on).orderBy("_hash", F.col(id_col)))
+    n = F.col("_n")
     split, upto = F.lit(names[-1]), 1.0
     for name, size in reversed(list(zip(names[:-1], sizes[:-1], strict=True))):
         upto = sum(sizes[: names.index(name) + 1])
         split = F.when(rank <= F.floor(n * F.lit(upto) + 0.5), F.lit(name)).otherwise(split)
-    return df.withColumn("split", split)
+    return rows.join(counts, on).withColumn("split", split).select(*df.columns, "split")
 
 
 def propagate_split(members: DataFrame, clusters: DataFrame, on: str = "cluster_id") -> DataFrame:

@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import csv
 import io
+import json
+import os
+import random
 import re
 import tarfile
+import time
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from html.parser import HTMLParser
+from itertools import chain
+from typing import NamedTuple
+from urllib.parse import quote, urljoin
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,16 +59,49 @@ def read_identifiers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("input")).where("input <> '' AND NOT startswith(input, '#')").select("input", classify_identifier(F.col("input")).alias("id")).select("input", "id.*")
 
 
+class _Links(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__()
+        self.found: dict[str, None] = {}
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "a":
+            self.found |= dict.fromkeys(v for k, v in attrs if k == "href" and v)
+
+
+def hrefs(html: str | None) -> list[str]:
+    """Distinct hrefs of <a>, in order, character references decoded."""
+    parser = _Links()
+    parser.feed(html or "")
+    parser.close()
+    return list(parser.found)
+
+
+def resolved_url(base: str | None, href: str | None) -> str | None:
+    """href against a page's url; as it stands where the two make no url."""
+    try:
+        return urljoin(base or "", href) if href is not None else None
+    except ValueError:
+        return href
+
+
 def page_links(html: Column) -> Column:
-    """Distinct hrefs of <a> in order."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1)))
+    """Distinct hrefs of <a> in order (HTML is parsed in Arrow batches)."""
+    return F.pandas_udf(lambda s: s.map(hrefs), "array<string>")(html)
 
 
 def absolute_url(base: Column, href: Column) -> Column:
     """href resolved against a page's url."""
-    scheme, origin = F.regexp_extract(base, r"^(\w+):", 1), F.regexp_extract(base, r"^(\w+://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
-    return F.when(href.rlike(r"^\w[\w+.\-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("/"), F.concat(origin, href)).when(href == "", base).when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href)).when(href.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), href)).otherwise(F.concat(folder, F.lit("/"), href))
+    return F.pandas_udf(lambda b, h: pd.Series([resolved_url(x, y) for x, y in zip(b, h, strict=True)], dtype=object), "string")(base, href)
+
+
+def _absolute_links(base: pd.Series, html: pd.Series) -> pd.Series:
+    return pd.Series([list(dict.fromkeys(resolved_url(b, h) for h in hrefs(x))) for b, x in zip(base, html, strict=True)], dtype=object)
+
+
+def absolute_links(base: Column, html: Column) -> Column:
+    """Distinct absolute urls of a page's links, in order."""
+    return F.pandas_udf(_absolute_links, "array<string>")(base, html)
 
 
 def looks_like_file(url: Column) -> Column:
@@ -67,8 +110,7 @@ def looks_like_file(url: Column) -> Column:
 
 def supplementary_links(base: Column, html: Column) -> Column:
     """Absolute links whose text has a word for supplements or ends like a file."""
-    every = F.array_distinct(F.transform(page_links(html), lambda h: absolute_url(base, h)))
-    return F.filter(every, lambda u: F.lower(u).rlike("|".join(LINK_WORDS)) | F.lower(u).rlike(_ENDING))
+    return F.filter(absolute_links(base, html), lambda u: F.lower(u).rlike("|".join(LINK_WORDS)) | F.lower(u).rlike(_ENDING))
 
 
 def jats_supplements(xml: Column) -> Column:
@@ -90,14 +132,57 @@ def candidate_url(base: Column, name: Column) -> Column:
 
 
 def first_resolved(*candidates: Column) -> Column:
-    """The first resolver's struct (source, url) that has a url."""
-    return F.coalesce(*[F.when(c["url"].isNotNull() & (c["url"] != ""), c) for c in candidates])
+    """The first resolver's struct (via, url) that has a url."""
+    return F.coalesce(*[F.when(F.coalesce(c["url"], F.lit("")) != "", c) for c in candidates])
+
+
+def _via(name: str, url: Column) -> Column:
+    return F.struct(F.lit(name).alias("via"), F.nullif(url, F.lit("")).alias("url"))
+
+
+def unpaywall_pdf(answer: Column) -> Column:
+    """struct(via, url) from a DOI's answer (JSON) on open locations: the best one's PDF, else the first with one, else the best one's url if it ends in .pdf."""
+    a = F.from_json(answer, "is_oa boolean, best_oa_location struct<url:string,url_for_pdf:string>, oa_locations array<struct<url_for_pdf:string>>")
+    some = lambda c: F.nullif(c, F.lit(""))
+    others = F.filter(F.transform(a["oa_locations"], lambda x: x["url_for_pdf"]), lambda u: F.coalesce(u, F.lit("")) != "")
+    best = a["best_oa_location"]
+    url = F.coalesce(some(best["url_for_pdf"]), F.get(others, F.lit(0)), F.when(F.lower(best["url"]).endswith(".pdf"), best["url"]))
+    return _via("unpaywall", F.when(a["is_oa"], url))
+
+
+def openalex_pdf(answer: Column) -> Column:
+    """struct(via, url) from a work's record (JSON): the first location's PDF, else the primary one's, of open works."""
+    a = F.from_json(answer, "open_access struct<is_oa:boolean>, primary_location struct<pdf_url:string>, locations array<struct<pdf_url:string>>")
+    found = F.filter(F.transform(a["locations"], lambda x: x["pdf_url"]), lambda u: F.coalesce(u, F.lit("")) != "")
+    return _via("openalex", F.when(a["open_access"]["is_oa"], F.coalesce(F.get(found, F.lit(0)), a["primary_location"]["pdf_url"])))
+
+
+def openalex_landing(answer: Column) -> Column:
+    """The primary location's page, from a work's record (JSON)."""
+    return F.nullif(F.get_json_object(answer, "$.primary_location.landing_page_url"), F.lit(""))
+
+
+def arxiv_pdf(identifier: Column) -> Column:
+    """struct(via, url) of an arXiv id; null url if it is none."""
+    bare = F.regexp_extract(F.trim(identifier), r"(?i)^(?:arxiv:)?(\d{4}\.\d{4,5}(?:v\d+)?)$", 1)
+    return _via("arxiv", F.when(bare != "", F.concat(F.lit("https://arxiv.org/pdf/"), bare, F.lit(".pdf"))))
+
+
+def fulltext_url(pmcid: Column) -> Column:
+    """Where the archive serves an article's XML."""
+    return F.concat(F.lit("https://www.ebi.ac.uk/europepmc/webservices/rest/"), pmcid, F.lit("/fullTextXML"))
+
+
+def article_files_base(pmcid: Column) -> Column:
+    """The folder of an archived article's files; null for other ids."""
+    digits = F.regexp_extract(pmcid, r"(?i)^PMC(\d+)$", 1)
+    return F.when(digits != "", F.concat(F.lit("https://pmc.ncbi.nlm.nih.gov/articles/instance/"), digits, F.lit("/bin/")))
 
 
 def sniff(content: Column) -> Column:
-    """pdf, html or other, by the first bytes."""
+    """pdf, html, empty or other, by the first bytes."""
     head = F.lower(F.decode(F.substring(content, 1, 256), "ISO-8859-1"))
-    return F.when(head.startswith("%pdf"), "pdf").when(F.ltrim(head).rlike("^<(!doctype html|html)"), "html").otherwise("other")
+    return F.when(F.length(content) == 0, "empty").when(head.startswith("%pdf"), "pdf").when(head.rlike(r"^\s*<(!doctype html|html|head|script)"), "html").otherwise("other")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -140,8 +225,42 @@ def _docx_tables(data: bytes) -> list[list[list[str]]]:
     return [[[cell(c) for c in r if name(c) == "tc"] for r in t if name(r) == "tr"] for t in root.iter() if name(t) == "tbl"]
 
 
+def _xlsx_tables(data: bytes) -> list[tuple[str, list[list[str]]]]:
+    """(sheet, matrix) of a workbook: shared and inline strings, numbers as written, truth values as words; cells that are left out are empty."""
+    book = zipfile.ZipFile(io.BytesIO(data))
+    name = lambda e: e.tag.rpartition("}")[2]
+    own = lambda e, k: next((v for a, v in e.attrib.items() if a.rpartition("}")[2] == k), "")
+    texts = lambda e: "".join(t.text or "" for t in e.iter() if name(t) == "t")
+    shared = [texts(si) for si in ET.fromstring(book.read("xl/sharedStrings.xml")) if name(si) == "si"] if "xl/sharedStrings.xml" in book.namelist() else []
+    targets = {own(r, "Id"): own(r, "Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    sheets = [(e.get("name") or "", next(v for a, v in e.attrib.items() if a.endswith("}id"))) for e in ET.fromstring(book.read("xl/workbook.xml")).iter() if name(e) == "sheet"]
+
+    def value(c: ET.Element) -> str:
+        if c.get("t") == "inlineStr":
+            return texts(c)
+        v = next((x.text or "" for x in c if name(x) == "v"), "")
+        if c.get("t") == "s":
+            return shared[int(v)] if v else ""
+        return {"1": "TRUE", "0": "FALSE"}.get(v, v) if c.get("t") == "b" else v
+
+    out = []
+    for title, key in sheets:
+        target = targets[key].lstrip("/")
+        rows: dict[int, dict[int, str]] = {}
+        for row in (e for e in ET.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}")).iter() if name(e) == "row"):
+            at = int(row.get("r") or len(rows) + 1)
+            line = rows.setdefault(at, {})
+            for c in (e for e in row if name(e) == "c"):
+                letters = re.match("[A-Z]*", c.get("r") or "")[0]
+                column = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) - 1 if letters else max(line, default=-1) + 1
+                line[column] = value(c)
+        width = max((max(r, default=-1) for r in rows.values()), default=-1) + 1
+        out.append((title, [[rows.get(i, {}).get(c, "") for c in range(width)] for i in range(1, max(rows, default=0) + 1)]))
+    return out
+
+
 def supplement_tables(name: str, data: bytes, inside: bool = False) -> list[tuple[str, list[list[str]]]]:
-    """(place, matrix) of a file by its ending: csv, tsv, docx, txt and fasta (a row a record), and zip, one level deep."""
+    """(place, matrix) of a file by its ending: csv, tsv, docx, xlsx, txt and fasta (a row a record), and zip, one level deep. A damaged file has none."""
     low = name.lower()
     try:
         if low.endswith((".csv", ".tsv")):
@@ -154,10 +273,12 @@ def supplement_tables(name: str, data: bytes, inside: bool = False) -> list[tupl
             return [(name, [[line] for line in text.splitlines() if line.strip()])]
         if low.endswith(".docx"):
             return [(f"{name}#table{i}", t) for i, t in enumerate(_docx_tables(data))]
+        if low.endswith(".xlsx"):
+            return [(f"{name}#{sheet}", t) for sheet, t in _xlsx_tables(data)]
         if low.endswith(".zip") and not inside:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 return [t for m in z.infolist() if not m.is_dir() and m.file_size <= MEMBER_BYTES for t in supplement_tables(f"{name}/{m.filename}", z.read(m), True)]
-    except (zipfile.BadZipFile, ET.ParseError, KeyError, csv.Error):
+    except (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, StopIteration, csv.Error):
         pass
     return []
 
@@ -207,31 +328,126 @@ def search_results(spark: SparkSession, path: str, most: int = 1000) -> DataFram
     return raw.orderBy("page", "nth").limit(most).select("r.*")
 
 
+def search_rows(spark: SparkSession, answer: Callable[[str, int], dict], most: int = 200, page_size: int = 100) -> DataFrame:
+    """Results of a search that is answered page by page: answer(cursor, size) gives one, as the service's JSON.
+
+    Starts with the cursor *, asks for no more than is wanted, and stops at `most` results, an empty page, or one without a next cursor. A cursor is known only
+    from the page before, so this runs on the driver; `most` bounds it.
+    """
+    names = ["id", "pmcid", "doi", "pmid", "title", "pubYear", "journalTitle", "isOpenAccess", "inPMC", "hasSuppl", "hasPDF"]
+    found, cursor = [], "*"
+    while cursor and len(found) < most:
+        page = answer(cursor, min(page_size, most - len(found)))
+        results = ((page.get("resultList") or {}).get("result")) or []
+        if not results:
+            break
+        found += results[: most - len(found)]
+        cursor = page.get("nextCursorMark") or ""
+    return spark.createDataFrame([tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in found], ", ".join(f"{n} string" for n in names))
+
+
+def saved_answers(folder: str) -> Callable[[str, int], dict]:
+    """answer() for search_rows() from files page-<cursor, quoted>.json."""
+
+    def answer(cursor: str, size: int) -> dict:
+        path = os.path.join(folder, f"page-{quote(cursor, safe='')}.json")
+        if not os.path.exists(path):
+            return {}
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+
+    return answer
+
+
 def open_access(results: DataFrame, keep: int | None = None, require_oa: bool = True) -> DataFrame:
-    """Open, in the archive, with an id; one row an id; highest score first, then year and id."""
+    """Open, in the archive, with an id; of an id the row of the highest score, then the first by year and id; highest score first, then year and id."""
     rows = results.where(F.col("pmcid").isNotNull() & (F.col("pmcid") != ""))
     rows = rows.where((F.upper("isOpenAccess") == "Y") & (F.upper("inPMC") == "Y")) if require_oa else rows
-    rows = rows.dropDuplicates(["pmcid"]).orderBy(F.desc("score"), "pubYear", "pmcid")
+    every = F.struct(*[F.col(c) for c in rows.columns])
+    rows = rows.groupBy(F.col("pmcid").alias("_id")).agg(F.min_by(every, F.struct(-F.col("score"), F.col("pubYear").isNull(), "pubYear", F.to_json(every))).alias("r")).select("r.*")
+    rows = rows.orderBy(F.desc("score"), F.col("pubYear").asc_nulls_last(), "pmcid")
     return rows.limit(keep) if keep else rows
 
 
-def fetch_payloads(requests: DataFrame, fetch: object, retries: int = 2, most_wait: float = 60.0) -> DataFrame:
-    """(key, status, content) for rows (key, url) by a function url -> bytes: tasks run in parallel, failures are tried again after min(most_wait, 2 ** n) seconds."""
-    import time
+class Answer(NamedTuple):
+    """What a fetch function gives for a url: HTTP status, headers (lower-case names) and the body in pieces."""
+
+    status: int
+    headers: dict[str, str]
+    body: Iterable[bytes]
+
+
+def wait_before(attempt: int, most: float = 60.0) -> float:
+    """Seconds before a further attempt: doubling, with a random part, up to `most`."""
+    return min(most, 2**attempt + random.random())
+
+
+def _store(answer: Answer, where: fs.FileSystem, path: str, kind: str, max_bytes: int, max_seconds: float) -> dict:
+    """The body to path, through path.part, unless it is not what kind asks for or beyond a cap."""
+    began, written, part = time.monotonic(), 0, f"{path}.part"
+    stated = answer.headers.get("content-length", "")
+    if max_bytes and stated.isdigit() and int(stated) > max_bytes:
+        return {"status": "too_large"}
+    pieces = iter(answer.body)
+    first = next((p for p in pieces if p), b"")
+    if not first:
+        return {"status": "empty_response"}
+    is_html = first.lstrip().lower().startswith((b"<!doctype html", b"<html", b"<head", b"<script"))
+    if kind == "pdf" and not first.startswith(b"%PDF"):
+        return {"status": "not_pdf"}
+    if kind == "binary" and (is_html or "text/html" in answer.headers.get("content-type", "").lower()):
+        return {"status": "not_file"}
+    state = "downloaded"
+    with where.open_output_stream(part, compression=None) as out:
+        for piece in chain([first], pieces):
+            written += len(piece)
+            if max_bytes and written > max_bytes:
+                state = "too_large"
+            elif max_seconds and time.monotonic() - began > max_seconds:
+                state = "timeout_total"
+            if state != "downloaded":
+                break
+            out.write(piece)
+    if state != "downloaded":
+        where.delete_file(part)
+        return {"status": state, "bytes": written}
+    where.move(part, path)
+    return {"status": state, "bytes": written}
+
+
+def download(requests: DataFrame, fetch: Callable[[str], Answer], overwrite: bool = False, max_bytes: int = 0, max_seconds: float = 0, retries: int = 2, most_wait: float = 60.0) -> DataFrame:
+    """(key, path, status, http_status, bytes, attempts) for rows (key, url, path, kind), kind being pdf, text or binary.
+
+    Files that exist are left alone unless overwrite, so a run that broke off is taken up again. A status of 429 or 5xx, and an OSError, is tried again after
+    wait_before(); other statuses are not. A file is written as .part and renamed when whole; one attempt's leftover is overwritten by the next. Paths are those of
+    pyarrow's file systems, in a folder that the executors share. Tasks run in parallel: repartition the requests.
+    """
+    kinds = pa.schema([("key", pa.string()), ("path", pa.string()), ("status", pa.string()), ("http_status", pa.int32()), ("bytes", pa.int64()), ("attempts", pa.int32())])
+
+    def one(row: dict) -> dict:
+        where, path = fs.FileSystem.from_uri(row["path"])
+        if where.get_file_info(path).type != fs.FileType.NotFound and not overwrite:
+            return {"status": "skipped_exists"}
+        where.create_dir(path.rpartition("/")[0], recursive=True)
+        out: dict = {}
+        for n in range(retries + 1):
+            try:
+                answer = fetch(row["url"])
+                out = {"http_status": answer.status, "attempts": n + 1}
+                if answer.status == 200:
+                    return out | _store(answer, where, path, row["kind"], max_bytes, max_seconds)
+                out["status"] = "http_error"
+                if answer.status != 429 and answer.status < 500:
+                    return out
+            except OSError as e:
+                out = {"status": f"error: {e}"[:200], "attempts": n + 1}
+            if n < retries:
+                time.sleep(wait_before(n, most_wait))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("key", pa.string()), ("status", pa.string()), ("content", pa.binary())])
         for batch in batches:
             for row in batch.to_pylist():
-                status, content = "failed", None
-                for n in range(retries + 1):
-                    try:
-                        content = fetch(row["url"])
-                        status = "ok"
-                        break
-                    except OSError as e:
-                        status = f"failed: {e}"[:200]
-                        time.sleep(min(most_wait, 2**n) if n < retries else 0)
-                yield pa.RecordBatch.from_pylist([{"key": row["key"], "status": status, "content": content}], schema=kind)
-
-    return requests.select("key", "url").mapInArrow(run, "key string, status string, content binary")
+                yield pa.RecordBatch.from_pylist([{"key": row["key"], "path": row["path"]} | one(row)], schema=kinds)
+
+    return requests.select("key", "url", "path", "kind").mapInArrow(run, "key string, path string, status string, http_status int, bytes long, attempts int")

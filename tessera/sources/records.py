@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.functions.text import MODEL_ALPHABET
+from tessera.operators.running import number_by_place
 
 SPLIT_BYTES = 64_000_000
 CHUNK = 1 << 20
@@ -130,7 +131,7 @@ def load_source(spark: SparkSession, spec: dict) -> DataFrame:
     """
     rule = spec["label_rule"]
     if rule == "csv":
-        rows = read_labelled_csv(spark, spec["file_path"]).select("sequence", "label", F.concat(F.lit("row_"), F.row_number().over(W.orderBy("_order")) - 1).alias("source_id"))
+        rows = number_by_place(read_labelled_csv(spark, spec["file_path"]), "_order").select("sequence", "label", F.concat(F.lit("row_"), F.col("number")).alias("source_id"))
     elif rule in LABELS or rule.startswith("constant:"):
         fasta = read_fasta(spark, spec["file_path"])
         label = LABELS[rule](F.col("header")) if rule in LABELS else F.lit(int(rule.partition(":")[2]))
@@ -155,9 +156,14 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def csv_reader(spark: SparkSession, sep: str = ",") -> DataFrameReader:
+    """Cells in double quotes may hold separators, line ends and, doubled, quotes. A file with such line ends is read by one task."""
+    return spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True)
+
+
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """sequence, label (0 or 1, else an error), _order; other columns as text."""
-    raw = require_columns(spark.read.option("header", True).csv(path), "sequence", "label")
+    raw = require_columns(csv_reader(spark).csv(path), "sequence", "label")
     label = F.col("label").try_cast("int")
     checked = F.when(label.isin(0, 1), label).otherwise(F.raise_error(F.concat(F.lit("label is not 0 or 1: "), F.coalesce("label", F.lit("null")))).cast("int"))
     return raw.withColumn("label", checked).withColumn("_order", F.monotonically_increasing_id())
@@ -165,7 +171,7 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A CSV or TSV of unknown columns: all text, nothing read as null."""
-    return spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("nullValue", "\0").csv(path)
+    return csv_reader(spark, sep).option("inferSchema", False).option("nullValue", "\0").csv(path)
 
 
 def read_alignment(spark: SparkSession, path: str, most: int = 2048, same_width: bool = True) -> DataFrame:

@@ -28,12 +28,12 @@ def write_fasta(df: DataFrame, path: str, id_col: str = "seq_id", seq_col: str =
 
 
 def write_by_split(df: DataFrame, path: str, split: str = "split") -> None:
-    df.write.partitionBy(split).option("header", True).csv(path)
+    df.write.partitionBy(split).option("header", True).option("escape", '"').csv(path)
 
 
 def write_once(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Leaves an existing result alone unless told to overwrite it."""
-    df.write.mode("overwrite" if overwrite else "ignore").option("header", True).csv(path)
+    write_csv(df, path, "overwrite" if overwrite else "ignore")
 
 
 def clipped(df: DataFrame, columns: tuple[str, ...] = ("entity", "snippet", "context"), longest: int = 2000) -> DataFrame:
@@ -62,6 +62,16 @@ def markdown_table(df: DataFrame, most: int = 200) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
 
 
+def report(title: str, sections: list[tuple[str, list[str | DataFrame]]], most: int = 30) -> str:
+    """Markdown: a heading for each section, and below it lines, and tables of `most` rows at most."""
+    out = [f"# {title}"]
+    for name, parts in sections:
+        out += ["", f"## {name}"]
+        for part in parts:
+            out += [f"- {part}"] if isinstance(part, str) else ["", markdown_table(part, most), ""]
+    return "\n".join(out) + "\n"
+
+
 def save_index(postings: DataFrame, idf: DataFrame, path: str) -> None:
     """A retrieval index as Parquet, postings sorted by gram for pruning."""
     postings.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/postings")

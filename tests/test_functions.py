@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -105,7 +107,9 @@ def test_alignment(spark):
 def test_evidential(spark):
     d = spark.range(1).select(evidential.dirichlet(F.lit(1.0), F.lit(3.0)).alias("d")).first().d
     assert (d.p_toxic, d.pred_label, d.uncertainty, d.total_evidence, list(d.probs)) == (0.75, 1, 0.5, 2.0, [0.25, 0.75])
-    assert math.isclose(evidential.digamma(1.0), -0.5772156649015329, abs_tol=1e-9) and abs(evidential.dirichlet_kl([1.0, 1.0])) < 1e-9
+    assert np.allclose(evidential.digamma([1.0, 0.5]), [-0.5772156649015329, -1.9635100260214235], atol=1e-9) and abs(evidential.dirichlet_kl([1.0, 1.0])[0]) < 1e-9
+    x = np.array([0.01, 0.5, 1, 3.3, 8.9, 40, 1e4])
+    assert np.allclose(evidential.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)
     assert evidential.kl_warmup(5, 10) == 0.5
     loss = spark.range(1).select(evidential.evidential_loss(F.lit(1.0), F.lit(1.0), F.lit(1)).alias("l")).first().l
     assert math.isclose(loss, 2 * (0.25 + 0.25 / 3))
@@ -120,5 +124,85 @@ def test_models():
     w, b = evidential.fit_logistic(x, y)
     assert np.mean((x @ w + b > 0) == y) > 0.95
     head = evidential.mlp([(np.eye(3)[:, :2], np.zeros(2))])
-    assert evidential.trilinear([x, x, x], [np.eye(3)] * 3, np.eye(3), head, extra=x).shape == (200, 2)
-    assert evidential.conv_encoder(np.eye(4), [r.normal(size=(k, 4, 2)) for k in (3, 5, 7)], np.ones(4, bool)).shape == (6,)
+    assert head is not None
+
+
+def _weights(r, *shape):
+    return r.normal(size=shape) / 2
+
+
+def test_fusion_by_definition(spark):
+    """Each row by loops over the definition: normalise, adapt with ReLU, join with the product, add the further branch, head."""
+    r = np.random.default_rng(1)
+    dims, d = (5, 3, 4), 6
+    layer = lambda i, o: (_weights(r, i, o), _weights(r, o))
+    w = {"norms": [(_weights(r, k), _weights(r, k)) for k in dims], "adapters": [layer(k, d) for k in dims], "joined": layer(4 * d, d), "head": [layer(d, 7), layer(7, 2)], "extra_norm": (_weights(r, 2), _weights(r, 2)), "extra_adapter": layer(2, d)}
+    rows = [[_weights(r, k).tolist() for k in (*dims, 2)] for _ in range(4)]
+
+    def linear(x, wb):
+        return [sum(x[i] * wb[0][i][o] for i in range(len(x))) + wb[1][o] for o in range(len(wb[1]))]
+
+    def norm(x, wb):
+        m = sum(x) / len(x)
+        v = sum((a - m) ** 2 for a in x) / len(x)
+        return [(a - m) / math.sqrt(v + 1e-5) * g + b for a, g, b in zip(x, *wb, strict=True)]
+
+    relu = lambda x: [max(a, 0.0) for a in x]
+    for extra in (False, True):
+        want = []
+        for row in rows:
+            a = [relu(linear(norm(x, n), ad)) for x, n, ad in zip(row[:3], w["norms"], w["adapters"], strict=True)]
+            z = relu(linear([*a[0], *a[1], *a[2], *(x * y * q for x, y, q in zip(*a, strict=True))], w["joined"]))
+            if extra:
+                z = [p + q for p, q in zip(z, relu(linear(norm(row[3], w["extra_norm"]), w["extra_adapter"])), strict=True)]
+            alpha = [math.log1p(math.exp(t)) + 1 for t in linear(relu(linear(z, w["head"][0])), w["head"][1])]
+            want.append(alpha[1] / sum(alpha))
+        df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "id int, x array<double>, y array<double>, z array<double>, m array<double>")
+        got = evidential.fuse_batches(df, ["x", "y", "z"], w, "m" if extra else None).orderBy("id").select("prediction.p_toxic").collect()
+        assert np.allclose([g.p_toxic for g in got], want, atol=1e-12)
+
+
+def test_encoder_by_definition(spark, tmp_path):
+    r = np.random.default_rng(2)
+    w = {"embedding": _weights(r, 21, 4), "kernels": [(_weights(r, k, 4, 3), _weights(r, 3)) for k in (3, 5, 7)], "head": [(_weights(r, 9, 5), _weights(r, 5)), (_weights(r, 5, 2), _weights(r, 2))]}
+    texts = ["ACDWY", "A", "KKLLAACDEFGHIK" * 3, "AXC", ""]
+    evidential.save_weights(w, str(tmp_path / "w.json"))
+    w = evidential.load_weights(str(tmp_path / "w.json"))
+
+    def features(t):
+        ids = [text.MODEL_ALPHABET.find(a) + 1 for a in t]
+        x = [w["embedding"][i] if i else np.zeros(4) for i in ids]
+        out = []
+        for kernel, bias in w["kernels"]:
+            k = len(kernel) // 2
+            for c in range(3):
+                at = lambda p: max(0.0, bias[c] + sum(x[p + j - k] @ kernel[j][:, c] for j in range(len(kernel)) if 0 <= p + j - k < len(x)))  # noqa: B023, E731
+                out.append(max((at(p) for p in range(len(x))), default=0.0))
+        return np.array(out)
+
+    want = []
+    for t in texts:
+        z = np.maximum(features(t) @ w["head"][0][0] + w["head"][0][1], 0) @ w["head"][1][0] + w["head"][1][1]
+        alpha = np.log1p(np.exp(z)) + 1
+        want.append(alpha[1] / alpha.sum())
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    got = evidential.encode_batches(df, "s", w, text.MODEL_ALPHABET, rows=2).orderBy("id").select("prediction.p_toxic").collect()
+    assert np.allclose([g.p_toxic for g in got], want, atol=1e-12)
+
+
+def test_graph_encoder_by_definition(spark):
+    r = np.random.default_rng(3)
+    layers = [(_weights(r, 3, 4), _weights(r, 4)), (_weights(r, 4, 2), _weights(r, 2))]
+    nodes = [(g, n, _weights(r, 3).tolist()) for g in (1, 2) for n in (10, 11, 12)] + [(3, 5, [1.0, 2.0, 3.0])]
+    edges = [(1, 10, 11), (1, 12, 11), (1, 11, 10), (2, 10, 10), (1, 99, 10)]
+
+    def by_hand(g):
+        h = {n: np.array(x) for gg, n, x in nodes if gg == g}
+        own = [(s, d) for gg, s, d in edges if gg == g and s in h]
+        for w, b in layers:
+            m = {n: (np.mean([h[s] for s, d in own if d == n], axis=0) if any(d == n for _, d in own) else np.zeros_like(h[n])) if own else h[n] for n in h}
+            h = {n: np.maximum(m[n] @ w + b, 0) for n in h}
+        return np.mean(list(h.values()), axis=0)
+
+    got = {x.graph_id: x.vector for x in evidential.encode_graphs(spark.createDataFrame(nodes, "graph_id int, node long, x array<double>"), spark.createDataFrame(edges, "graph_id int, src long, dst long"), layers).collect()}
+    assert set(got) == {1, 2, 3} and all(np.allclose(got[g], by_hand(g)) for g in got)

@@ -104,13 +104,121 @@ def test_search_and_fetch(spark, tmp_path):
     kept = papers.open_access(found.withColumn("score", F.length("title")), 5)
     assert [r.pmcid for r in kept.collect()] == ["PMC1", "PMC2"]
 
+    pages = {"*": {"resultList": {"result": [{"id": str(i), "pmcid": f"PMC{i}"} for i in range(3)]}, "nextCursorMark": "b/2"}, "b/2": {"resultList": {"result": [{"id": "9"}]}, "nextCursorMark": "c"}, "c": {"resultList": {"result": []}, "nextCursorMark": "d"}}
+    asked = []
+
+    def ask(cursor, size):
+        asked.append((cursor, size))
+        return pages[cursor]
+
+    assert [r.id for r in papers.search_rows(spark, ask, 10, 3).collect()] == ["0", "1", "2", "9"] and asked == [("*", 3), ("b/2", 3), ("c", 3)]
+    assert papers.search_rows(spark, ask, 2, 100).count() == 2 and asked[-1] == ("*", 2)
+    (tmp_path / "saved").mkdir()
+    for cursor, page in pages.items():
+        (tmp_path / "saved" / f"page-{papers.quote(cursor, safe='')}.json").write_text(json.dumps(page))
+    assert papers.search_rows(spark, papers.saved_answers(str(tmp_path / "saved"))).count() == 4
+
+
+def test_open_access_keeps_the_best_row(spark):
+    rows = [("PMC1", "Y", "Y", 3, "2020", "a"), ("PMC1", "Y", "Y", 7, "2021", "b"), ("PMC1", "y", "Y", 7, "2019", "c"), ("PMC2", "Y", "Y", 9, None, "d"), ("PMC3", "N", "Y", 10, "2020", "e"), ("", "Y", "Y", 10, "2020", "f")]
+    df = spark.createDataFrame(rows, "pmcid string, isOpenAccess string, inPMC string, score int, pubYear string, title string")
+    assert [r.title for r in papers.open_access(df).collect()] == ["d", "c"] and [r.title for r in papers.open_access(df, 1).collect()] == ["d"]
+
+
+def test_downloads(spark, tmp_path):
+    folder = f"file://{tmp_path}/d"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "have.pdf").write_bytes(b"old")
+    (tmp_path / "tries").mkdir()
+    count = str(tmp_path / "tries")
+
     def fetch(url):
-        if "bad" in url:
-            raise OSError("no")
-        return url.encode()
+        import os
+        import uuid
+
+        kind, _, name = url.partition(":")
+        open(os.path.join(count, f"{name}-{uuid.uuid4().hex}"), "w").close()
+        tried = sum(f.startswith(f"{name}-") for f in os.listdir(count))
+        if kind == "broken":
+            raise OSError("no route")
+        if kind == "busy" and tried < 3:
+            return papers.Answer(503 if tried == 1 else 429, {}, [])
+        bodies = {"pdf": [b"%PDF-1", b"", b".4 body"], "busy": [b"%PDF x"], "html": [b" <!DOCTYPE html><p>"], "none": [], "gone": [b"x"], "big": [b"x" * 60] * 3, "said": [b"x"], "text": [b"<article/>"]}
+        return papers.Answer(404 if kind == "gone" else 200, {"content-length": "999"} if kind == "said" else {"content-type": "text/html"} if kind == "html" else {}, bodies[kind])
+
+    asked = [("a", "pdf:a", "a.pdf", "pdf"), ("b", "pdf:b", "have.pdf", "pdf"), ("c", "busy:c", "c.pdf", "pdf"), ("d", "html:d", "d.pdf", "pdf"), ("e", "html:e", "e.zip", "binary"), ("f", "none:f", "f.pdf", "pdf"), ("g", "gone:g", "g.pdf", "pdf"), ("h", "big:h", "h.zip", "binary"), ("i", "said:i", "i.zip", "binary"), ("j", "broken:j", "j.pdf", "pdf"), ("k", "text:k", "sub/k.xml", "text")]
+    requests = spark.createDataFrame([(k, u, f"{folder}/{p}", t) for k, u, p, t in asked], "key string, url string, path string, kind string").repartition(3)
+    run = lambda **o: {r.key: r for r in papers.download(requests, fetch, max_bytes=100, most_wait=0.01, **o).collect()}
+    got = run()
+    assert {k: r.status for k, r in got.items()} == {"a": "downloaded", "b": "skipped_exists", "c": "downloaded", "d": "not_pdf", "e": "not_file", "f": "empty_response", "g": "http_error", "h": "too_large", "i": "too_large", "j": "error: no route", "k": "downloaded"}
+    assert got["c"].attempts == 3 and got["g"].attempts == 1 and got["j"].attempts == 3 and got["a"].bytes == 13
+    assert sorted(p.name for p in (tmp_path / "d").rglob("*") if p.is_file()) == ["a.pdf", "c.pdf", "have.pdf", "k.xml"]
+    assert (tmp_path / "d" / "a.pdf").read_bytes() == b"%PDF-1.4 body" and (tmp_path / "d" / "have.pdf").read_bytes() == b"old"
+    again = run()
+    assert again["a"].status == again["c"].status == "skipped_exists"
+    assert run(overwrite=True)["b"].status == "downloaded" and (tmp_path / "d" / "have.pdf").read_bytes() == b"%PDF-1.4 body"
+    assert all(papers.wait_before(n) <= 60 for n in range(20)) and 4 <= papers.wait_before(2) <= 5
+
+
+def test_csv_of_any_text(spark, tmp_path):
+    """Quotes, separators and line ends in cells come back through every writer and reader."""
+    rows = [("AC", 1, 'say "hi", x'), ("KK", 0, "two\nlines, and \"\""), ("D", 1, "back\\slash"), ("E", 0, "plain")]
+    df = spark.createDataFrame(rows, "sequence string, label int, note string")
+    want = sorted((s, str(y), n) for s, y, n in rows)
+    sinks.write_csv(df, str(tmp_path / "a"))
+    sinks.write_once(df, str(tmp_path / "b"))
+    sinks.append_csv(df, str(tmp_path / "c"))
+    sinks.write_by_split(df.withColumn("split", F.lit("train")), str(tmp_path / "d"))
+    for name in ("a", "b", "c", "d/split=train"):
+        assert sorted(tuple(r) for r in records.read_text_table(spark, str(tmp_path / name)).collect()) == want
+    back = records.read_labelled_csv(spark, str(tmp_path / "a"))
+    assert sorted((r.sequence, str(r.label), r.note) for r in back.collect()) == want
+    (tmp_path / "e.csv").write_text("".join(["sequence,label,note\n", *(f'S{i},{i % 2},"a ""{i}""\nb"\n' for i in range(500))]))
+    spec = {"dataset_id": "d", "project": "p", "level": "l", "split": "s", "file_path": str(tmp_path / "e.csv"), "label_rule": "csv"}
+    assert {r.sequence: r.source_id for r in records.load_source(spark, spec).collect()} == {f"S{i}": f"row_{i}" for i in range(500)}
+
+
+def test_links_as_browsers_read_them(spark):
+    """Hand-made: unquoted and single-quoted values, other attributes that end in href, references, dot segments, fragments."""
+    html = "<a href=foo.pdf>a</a><a data-href='no.pdf' href=\"../up/s.zip?x=1&amp;y=2\">b</a><A HREF='//h.org/x.csv'>c</A><a name=q>d</a><link href=l.pdf><a href='#f'>e</a><a href='?q=1'>f</a><a href=foo.pdf>g</a><a href='mailto:x@y'>h</a><a href='./a/./b/../SUPPL'>i</a>"
+    df = spark.createDataFrame([("http://x.org/d/e/page.html?k", html), ("http://x.org", None), (None, "<a href='y.pdf'>")], "u string, h string")
+    got = df.select(papers.page_links(F.col("h")).alias("n"), papers.absolute_links(F.col("u"), F.col("h")).alias("l"), papers.supplementary_links(F.col("u"), F.col("h")).alias("s")).collect()
+    assert got[0].n == ["foo.pdf", "../up/s.zip?x=1&y=2", "//h.org/x.csv", "#f", "?q=1", "mailto:x@y", "./a/./b/../SUPPL"]
+    assert got[0].l == ["http://x.org/d/e/foo.pdf", "http://x.org/d/up/s.zip?x=1&y=2", "http://h.org/x.csv", "http://x.org/d/e/page.html?k#f", "http://x.org/d/e/page.html?q=1", "mailto:x@y", "http://x.org/d/e/a/SUPPL"]
+    assert got[0].s == ["http://x.org/d/e/foo.pdf", "http://h.org/x.csv", "http://x.org/d/e/a/SUPPL"]
+    assert got[1].n == [] and got[2].l == ["y.pdf"]
+    one = df.limit(1).select(papers.absolute_url(F.col("u"), F.lit("../z")).alias("z"), papers.absolute_url(F.col("u"), F.lit(None).cast("string")).alias("n")).first()
+    assert one.z == "http://x.org/d/z" and one.n is None
+
+
+def test_resolvers(spark):
+    first = lambda c: spark.range(1).select(c.alias("x")).first().x
+    u = lambda d: tuple(first(papers.unpaywall_pdf(F.lit(json.dumps(d)))))
+    assert u({"is_oa": True, "best_oa_location": {"url_for_pdf": "a"}}) == ("unpaywall", "a")
+    assert u({"is_oa": True, "best_oa_location": {"url_for_pdf": "", "url": "c.PDF"}, "oa_locations": [{"url_for_pdf": None}, {"url_for_pdf": "b"}]})[1] == "b"
+    assert u({"is_oa": True, "best_oa_location": {"url": "c.PDF"}, "oa_locations": []})[1] == "c.PDF" and u({"is_oa": False, "best_oa_location": {"url_for_pdf": "a"}})[1] is None and u({"is_oa": True, "best_oa_location": {"url": "page"}})[1] is None
+    o = lambda d: first(papers.openalex_pdf(F.lit(json.dumps(d)))).url
+    assert o({"open_access": {"is_oa": True}, "locations": [{"pdf_url": ""}, {"pdf_url": "x"}], "primary_location": {"pdf_url": "p"}}) == "x" and o({"open_access": {"is_oa": True}, "primary_location": {"pdf_url": "p"}}) == "p" and o({"open_access": {"is_oa": False}, "locations": [{"pdf_url": "x"}]}) is None
+    assert first(papers.openalex_landing(F.lit('{"primary_location": {"landing_page_url": "l"}}'))) == "l"
+    assert first(papers.arxiv_pdf(F.lit("arXiv:2101.00001v2"))).url == "https://arxiv.org/pdf/2101.00001v2.pdf" and first(papers.arxiv_pdf(F.lit("x"))).url is None
+    assert tuple(first(papers.first_resolved(papers.unpaywall_pdf(F.lit(None).cast("string")), papers.openalex_pdf(F.lit("{}")), papers.arxiv_pdf(F.lit("2101.00001"))))) == ("arxiv", "https://arxiv.org/pdf/2101.00001.pdf")
+    assert first(papers.article_files_base(F.lit("pmc12"))).endswith("/instance/12/bin/") and first(papers.article_files_base(F.lit("12"))) is None
+
 
-    got = papers.fetch_payloads(spark.createDataFrame([("a", "u1"), ("b", "bad")], "key string, url string"), fetch, 0).collect()
-    assert {(r.key, r.status[:6]) for r in got} == {("a", "ok"), ("b", "failed")}
+def test_xlsx(tmp_path):
+    ns = 'xmlns="m" xmlns:r="r"'
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="One" sheetId="1" r:id="rId1"/><sheet name="Two" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>id</t></si><si><r><t>ri</t></r><r><t>ch</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="3"><c r="B3"><v>1.5</v></c><c r="AB3" t="b"><v>1</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData><row><c t="inlineStr"><is><t>x</t></is></c><c t="str"><f>A</f><v>y</v></c></row></sheetData></worksheet>')
+    got = dict(papers.supplement_tables("b.xlsx", book.getvalue()))
+    assert got["b.xlsx#Two"] == [["x", "y"]]
+    one = got["b.xlsx#One"]
+    assert [len(r) for r in one] == [28] * 3 and one[0][:3] == ["id", "", "rich"] and one[2][1] == "1.5" and one[2][27] == "TRUE"
+    assert papers.supplement_tables("b.xlsx", b"PK no") == []
 
 
 def test_sinks(spark, tmp_path):
