@@ -49,9 +49,10 @@ def motif_table(grams: DataFrame, labels: DataFrame, min_df: int = 5, alpha: flo
     table = table.withColumn("direction", F.when(F.col("log_odds") >= 0, F.lit("pos")).otherwise(F.lit("neg")))
     if top is None:
         return table
-    high = table.orderBy(F.desc("log_odds"), "motif").limit(top // 2)
-    low = table.orderBy(F.asc("log_odds"), "motif").limit(top - top // 2)
-    return high.union(low).distinct().orderBy(F.desc("log_odds"), "motif")
+    odds = F.round("log_odds", 9)  # equal odds stay equal whatever the order of the arithmetic
+    high = table.orderBy(odds.desc(), "motif").limit(top // 2)
+    low = table.orderBy(odds.asc(), "motif").limit(top - top // 2)
+    return high.union(low).distinct().orderBy(odds.desc(), "motif")
 
 
 def motif_counts(grams: DataFrame, lengths: DataFrame, motifs: DataFrame) -> DataFrame:

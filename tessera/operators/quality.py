@@ -51,3 +51,9 @@ def examples_per_group(df: DataFrame, by: str, order: list[str], most: int) -> D
 def coverage(df: DataFrame, state: str = "state") -> DataFrame:
     """Counts of found, missing, empty and invalid."""
     return df.agg(*[F.count_if(F.col(state) == s).alias(s) for s in ("found", "missing", "empty", "invalid")])
+
+
+def align(base: DataFrame, features: DataFrame, on: str) -> DataFrame:
+    """base with the features of the same key, by a join and never by position. Raises if features have a key twice; a key without features gets nulls."""
+    once = features.groupBy(on).agg(F.when(F.count("*") == 1, F.first(F.struct(*[F.col(c) for c in features.columns if c != on]))).otherwise(F.raise_error(F.concat(F.lit("repeated key "), F.col(on).cast("string")))).alias("_f"))
+    return base.join(once, on, "left").select(*base.columns, "_f.*")

@@ -169,16 +169,42 @@ def a17_metrics_at_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("source", "tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ("accuracy", "f1", "balanced_accuracy", "mcc")])
 
 
+_RATES = """CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn)::DOUBLE END AS f1,
+ ((CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn)::DOUBLE END) + (CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp)::DOUBLE END)) / 2 AS balanced_accuracy,
+ CASE WHEN (tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0 ELSE (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) END AS mcc"""
+
+
 @register(
     "w7_select_threshold",
     f"""WITH {_LABELLED}, t AS (SELECT DISTINCT lang, score AS thr FROM x UNION SELECT DISTINCT lang, v FROM x, (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) AS e(v)),
 s AS (SELECT lang, score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM x GROUP BY lang, score),
-c AS (SELECT t.lang, t.thr, sum(CASE WHEN s.score >= t.thr THEN p ELSE 0 END) AS tp, sum(CASE WHEN s.score >= t.thr THEN n ELSE 0 END) AS fp, sum(p) AS pos, sum(n) AS neg FROM t JOIN s ON t.lang = s.lang GROUP BY t.lang, t.thr),
-m AS (SELECT lang, thr, round(CASE WHEN tp + fp + pos = 0 THEN 0 ELSE 2 * tp / (tp + fp + pos)::DOUBLE END, 12) AS f1 FROM c)
-SELECT lang, thr AS threshold, round(f1, 9) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, thr) AS i FROM m) WHERE i = 1""",
+c AS (SELECT t.lang, t.thr, sum(CASE WHEN s.score >= t.thr THEN p ELSE 0 END) AS tp, sum(CASE WHEN s.score >= t.thr THEN n ELSE 0 END) AS fp, sum(CASE WHEN s.score < t.thr THEN n ELSE 0 END) AS tn, sum(CASE WHEN s.score < t.thr THEN p ELSE 0 END) AS fn FROM t JOIN s ON t.lang = s.lang GROUP BY t.lang, t.thr),
+r AS (SELECT lang, thr, {_RATES} FROM c),
+m AS (UNPIVOT r ON f1, mcc, balanced_accuracy INTO NAME metric VALUE v)
+SELECT lang, metric, thr AS threshold, round(v, 9) AS value FROM (SELECT *, row_number() OVER (PARTITION BY lang, metric ORDER BY round(v, 12) DESC, thr) AS i FROM m) WHERE i = 1""",
 )
 def w7_select_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.select_threshold(labelled(spark, sf_dir), "f1", ["lang"]).select("lang", "threshold", F.round("f1", 9).alias("f1"))
+    one = lambda m: metrics.select_threshold(labelled(spark, sf_dir), m, ["lang"]).select("lang", F.lit(m).alias("metric"), "threshold", F.round(m, 9).alias("value"))
+    return one("f1").unionByName(one("mcc")).unionByName(one("balanced_accuracy"))
+
+
+@register(
+    "w7_threshold_of_all",
+    f"""WITH {_LABELLED}, t AS (SELECT DISTINCT score AS thr FROM x UNION SELECT v FROM (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) AS e(v)),
+c AS (SELECT thr, count(*) FILTER (score >= thr AND label = 1) AS tp, count(*) FILTER (score >= thr AND label = 0) AS fp, count(*) FILTER (score < thr AND label = 0) AS tn, count(*) FILTER (score < thr AND label = 1) AS fn FROM t, x GROUP BY thr),
+r AS (SELECT thr, {_RATES} FROM c) SELECT thr AS threshold, round(mcc, 9) AS mcc FROM r ORDER BY round(mcc, 12) DESC, thr LIMIT 1""",
+)
+def w7_threshold_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.select_threshold(labelled(spark, sf_dir)).select("threshold", F.round("mcc", 9).alias("mcc"))
+
+
+@register(
+    "a18_ranking_of_all",
+    f"""WITH {_LABELLED}, s AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM x GROUP BY score), w AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM s)
+SELECT round(sum(p * (neg - fp + n / 2.0::DOUBLE)) / (max(pos) * max(neg)), 9) AS auroc, round(sum((p / pos::DOUBLE) * (tp / (tp + fp)::DOUBLE)), 9) AS average_precision FROM w""",
+)
+def a18_ranking_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ranking_metrics(labelled(spark, sf_dir)).select(F.round("auroc", 9).alias("auroc"), F.round("average_precision", 9).alias("average_precision"))
 
 
 @register(
@@ -211,9 +237,31 @@ def a32_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.class_weights(table(spark, sf_dir, "labels"), "toxic")
 
 
-@register("a34_split_report")
+_SPLIT = "h AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('69:' || CAST(doc_id AS VARCHAR)), doc_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM x), y AS (SELECT *, CASE WHEN r <= floor(n * 0.8::DOUBLE + 0.5) THEN 'train' WHEN r <= floor(n * 0.9::DOUBLE + 0.5) THEN 'val' ELSE 'test' END AS split FROM h)"
+
+
+def _at(t: float, suffix: str) -> str:
+    c = f"(SELECT split, count(*) FILTER (score >= {t} AND label = 1) AS tp, count(*) FILTER (score >= {t} AND label = 0) AS fp, count(*) FILTER (score < {t} AND label = 0) AS tn, count(*) FILTER (score < {t} AND label = 1) AS fn FROM y GROUP BY split)"
+    return f"m_{suffix} AS (SELECT split, (tp + tn) / (tp + fp + tn + fn)::DOUBLE AS accuracy, {_RATES} FROM {c})"
+
+
+@register(
+    "a34_split_report",
+    f"""WITH {_LABELLED}, {_SPLIT}, s AS (SELECT split, score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM y GROUP BY split, score),
+w AS (SELECT *, sum(p) OVER (PARTITION BY split ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY split ORDER BY score DESC) AS fp, sum(p) OVER (PARTITION BY split) AS pos, sum(n) OVER (PARTITION BY split) AS neg FROM s),
+k AS (SELECT split, CAST(max(pos) AS BIGINT) AS n_pos, CAST(max(neg) AS BIGINT) AS n_neg, CASE WHEN max(pos) > 0 AND max(neg) > 0 THEN sum(p * (neg - fp + n / 2.0::DOUBLE)) / (max(pos) * max(neg)) END AS auroc, CASE WHEN max(pos) > 0 THEN sum((p / pos::DOUBLE) * (tp / (tp + fp)::DOUBLE)) END AS ap FROM w GROUP BY split),
+{_at(0.5, "half")}, {_at(0.7, "best")}
+SELECT k.split, n_pos + n_neg AS n, n_pos, n_neg, round(auroc, 9) AS auroc, round(ap, 9) AS average_precision, round(a.accuracy, 9) AS accuracy_half, round(a.f1, 9) AS f1_half, round(a.mcc, 9) AS mcc_half, round(b.accuracy, 9) AS accuracy_best, round(b.f1, 9) AS f1_best, round(b.mcc, 9) AS mcc_best
+FROM k JOIN m_half a ON a.split = k.split JOIN m_best b ON b.split = k.split""",
+)
 def a34_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.split_report(splits.stratified_split(labelled(spark, sf_dir), "doc_id", "label"), 0.7)
+    r = metrics.split_report(splits.stratified_split(labelled(spark, sf_dir), "doc_id", "label"), 0.7)
+    return r.select("split", "n", "n_pos", "n_neg", *[F.round(c, 9).alias(c) for c in r.columns[4:]])
+
+
+@register("a34_prediction_table", f"WITH {_LABELLED} SELECT doc_id, label, score, (score >= 0.5)::INT AS pred_half, (score >= 0.7)::INT AS pred_best FROM x")
+def a34_prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.prediction_table(labelled(spark, sf_dir), 0.7, ["doc_id"])
 
 
 # --- neighbours ----------------------------------------------------------------------------------------------------
@@ -238,20 +286,27 @@ def j11_cosine_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir)[0].select("query", "neighbour", F.round("similarity", 7).alias("similarity"), "label")
 
 
+@register("j12_other_labels_only", f"WITH {_HITS.replace('a.id <> b.id WHERE', 'a.id <> b.id WHERE (SELECT label FROM e WHERE id = a.id) <> (SELECT label FROM e WHERE id = b.id) AND')} SELECT query, neighbour, round(similarity, 7) AS similarity FROM h")
+def j12_other_labels_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), (F.col("label") >= 5).cast("int").alias("label"))
+    return vectors.cosine_knn(e.where("id % 20 = 0"), e, 8, same_col="label").select("query", "neighbour", F.round("similarity", 7).alias("similarity"))
+
+
 @register(
     "a13_neighbour_features",
     f"""WITH {_HITS} SELECT query, round(avg(similarity), 7) AS sim_mean, round(max(similarity), 7) AS sim_max, round(stddev_pop(similarity), 7) AS sim_std, round(median(similarity), 7) AS sim_median, avg(label)::DOUBLE AS pos_rate,
- round(sum(CASE WHEN label = 1 THEN greatest(similarity, 0) ELSE 0 END) / greatest(sum(greatest(similarity, 0)), 1e-8), 7) AS pos_rate_weighted, round(coalesce(max(similarity) FILTER (label = 1), 0), 7) AS sim_max_pos, count(*) FILTER (label = 1)::DOUBLE AS n_pos, count(*)::DOUBLE AS n_hits FROM h GROUP BY query""",
+ round(sum(CASE WHEN label = 1 THEN greatest(similarity, 0) ELSE 0 END) / greatest(sum(greatest(similarity, 0)), 1e-8), 7) AS pos_rate_weighted, round(coalesce(max(similarity) FILTER (label = 1), 0), 7) AS sim_max_pos, round(coalesce(max(similarity) FILTER (label <> 1), 0), 7) AS sim_max_neg,
+ round(coalesce(avg(similarity) FILTER (label = 1), 0), 7) AS sim_mean_pos, round(coalesce(avg(similarity) FILTER (label <> 1), 0), 7) AS sim_mean_neg, count(*) FILTER (label = 1)::DOUBLE AS n_pos, count(*)::DOUBLE AS n_hits FROM h GROUP BY query""",
 )
 def a13_neighbour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = vectors.neighbour_features(*_hits(spark, sf_dir))
-    return f.select("query", *[F.round(c, 7).alias(c) for c in ("sim_mean", "sim_max", "sim_std", "sim_median", "pos_rate", "pos_rate_weighted", "sim_max_pos", "n_pos", "n_hits")])
+    return f.select("query", *[F.round(c, 7).alias(c) for c in ("sim_mean", "sim_max", "sim_std", "sim_median", "pos_rate", "pos_rate_weighted", "sim_max_pos", "sim_max_neg", "sim_mean_pos", "sim_mean_neg", "n_pos", "n_hits")])
 
 
-@register("a14_evidence_report", f"WITH {_HITS} SELECT query, count(*) AS num_hits, round(max(similarity), 7) AS max_similarity, round(avg(similarity), 7) AS mean_similarity, avg(label)::DOUBLE AS pos_rate FROM h GROUP BY query")
+@register("a14_evidence_report", f"WITH {_HITS} SELECT query, count(*) AS num_hits, round(max(similarity), 7) AS max_similarity, round(avg(similarity), 7) AS mean_similarity, avg(label)::DOUBLE AS pos_rate, string_agg(rank || ':' || neighbour || ':' || label, ',' ORDER BY rank) AS hits FROM h GROUP BY query")
 def a14_evidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = vectors.evidence_report(*_hits(spark, sf_dir), {"index": "embeddings"})
-    return r.select("query", "num_hits", F.round("max_similarity", 7).alias("max_similarity"), F.round("mean_similarity", 7).alias("mean_similarity"), "pos_rate")
+    return r.select("query", "num_hits", F.round("max_similarity", 7).alias("max_similarity"), F.round("mean_similarity", 7).alias("mean_similarity"), "pos_rate", F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["rank"].cast("string"), h["neighbour"].cast("string"), h["label"].cast("string"))), ",").alias("hits"))
 
 
 @register(
@@ -291,6 +346,28 @@ def t4_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.motif_table(_item_grams(spark, sf_dir), labels, top=None).select("motif", "k", "count_pos", "count_neg", F.round("log_odds", 7).alias("log_odds"))
 
 
+@register(
+    "t4_top_motifs",
+    f"""WITH {_GRAMS}, c AS (SELECT gram, coalesce(sum(tf) FILTER (id % 2 = 1), 0) AS cp, coalesce(sum(tf) FILTER (id % 2 = 0), 0) AS cn FROM g GROUP BY gram HAVING count(*) >= 5), t AS (SELECT sum(cp) AS tp, sum(cn) AS tn, count(*) AS v FROM c),
+o AS (SELECT gram AS motif, ln((cp + 0.5::DOUBLE) / (tp + 0.5::DOUBLE * v)) - ln((cn + 0.5::DOUBLE) / (tn + 0.5::DOUBLE * v)) AS odds FROM c, t WHERE tp > 0 AND tn > 0),
+r AS (SELECT *, row_number() OVER (ORDER BY round(odds, 9) DESC, motif) AS high, row_number() OVER (ORDER BY round(odds, 9), motif) AS low FROM o) SELECT motif, round(odds, 7) AS log_odds, CASE WHEN odds >= 0 THEN 'pos' ELSE 'neg' END AS direction FROM r WHERE high <= 20 OR low <= 21""",
+)
+def t4_top_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 2).cast("int").alias("label"))
+    return grams.motif_table(_item_grams(spark, sf_dir), labels, top=41).select("motif", F.round("log_odds", 7).alias("log_odds"), "direction")
+
+
+@register(
+    "f26_motif_counts",
+    """WITH v AS (SELECT unnest(['the', 'and', 'ing', 'tion', 'ation']) AS motif), p AS (SELECT item_id, text, motif, unnest(generate_series(1, length(text) - length(motif) + 1)) AS i FROM benchmark, v WHERE length(text) >= length(motif))
+SELECT item_id AS id, motif, round(count(*) / greatest(1, max(length(text)))::DOUBLE, 9) AS per_letter FROM p WHERE substr(text, i, length(motif)) = motif GROUP BY 1, 2""",
+)
+def f26_motif_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = spark.createDataFrame([(m,) for m in ("the", "and", "ing", "tion", "ation")], "motif string")
+    lengths = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.length("text").alias("n"))
+    return grams.motif_counts(_item_grams(spark, sf_dir), lengths, vocabulary).select("id", "motif", F.round("per_letter", 9).alias("per_letter"))
+
+
 @register(
     "t5_tfidf_knn",
     f"""WITH {_GRAMS}, f AS (SELECT gram, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM g GROUP BY gram HAVING count(*) >= 2),
@@ -304,6 +381,22 @@ def t5_tfidf_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.knn(postings.where("id % 20 = 0"), postings).select("query", "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
+@register(
+    "j12_tfidf_without_equals",
+    f"""WITH b AS (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000, text FROM benchmark), {_GRAMS.replace("FROM benchmark", "FROM b")}, f AS (SELECT gram, ln((1 + (SELECT count(*) FROM b)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM g GROUP BY gram HAVING count(*) >= 2),
+w AS (SELECT g.id, g.gram, g.tf * f.idf AS w FROM g JOIN f ON g.gram = f.gram), l AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id), u AS (SELECT w.id, w.gram, w.w / greatest(l.norm, 1e-12) AS w FROM w JOIN l ON w.id = l.id),
+s AS (SELECT a.id AS query, b.id AS neighbour, round(sum(a.w * b.w), 9) AS similarity FROM u a JOIN u b ON a.gram = b.gram WHERE a.id % 20 = 0 GROUP BY 1, 2), k AS (SELECT s.* FROM s JOIN b x ON x.item_id = query JOIN b y ON y.item_id = neighbour WHERE x.text <> y.text)
+SELECT query, neighbour, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS r FROM k) WHERE r <= 4""",
+)
+def j12_tfidf_without_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text twice: neither itself nor its copy is its neighbour."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    b = b.unionByName(b.select((F.col("item_id") + 1000).alias("item_id"), "text"))
+    postings, _ = grams.tfidf_index(grams.gram_counts(b, "item_id", "text"), b.agg(F.count("*").alias("n")))
+    same = b.select(F.col("item_id").alias("id"), F.sha1(F.col("text").cast("binary")).alias("key"))
+    return grams.knn(postings.where("id % 20 = 0"), postings, 4, same=same).select("query", "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
 # --- evidential ----------------------------------------------------------------------------------------------------
 
 
@@ -319,18 +412,37 @@ def f27_dirichlet_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("vec_id", F.round("d.p_toxic", 9).alias("p_toxic"), "d.pred_label", F.round("d.uncertainty", 9).alias("uncertainty"), F.round("d.confidence", 9).alias("confidence"), F.round("d.total_evidence", 9).alias("total_evidence"))
 
 
-@register("f29_evidential_loss")
+@register(
+    "f29_evidential_loss",
+    """WITH z AS (SELECT vec_id, (label >= 5)::INT AS y, greatest(embedding[1]::DOUBLE, 0) + ln(1 + exp(-abs(embedding[1]::DOUBLE))) + 1 AS a0, greatest(embedding[2]::DOUBLE, 0) + ln(1 + exp(-abs(embedding[2]::DOUBLE))) + 1 AS a1 FROM embeddings),
+s AS (SELECT *, a0 + a1 AS s, CASE WHEN y = 1 THEN a1 ELSE a0 END AS own, CASE WHEN y = 1 THEN a0 ELSE a1 END AS other FROM z),
+p AS (SELECT *, own / s AS p, other / s AS q FROM s)
+SELECT vec_id, round(CASE WHEN y = 1 THEN 2.0 ELSE 1.0 END * (1 - p) * ((1 - p) ** 2 + q ** 2 + (p * (1 - p) + q * (1 - q)) / (s + 1)) + 0.5 * (ln(other) - (other - 1) / other), 9) AS loss FROM p""",
+)
 def f29_evidential_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") >= 5).cast("int").alias("y"), *[evidential.softplus_evidence(F.get("embedding", F.lit(i)).cast("double")).alias(f"a{i}") for i in (0, 1)])
-    return e.select("vec_id", evidential.evidential_loss(F.col("a0"), F.col("a1"), F.col("y"), 0.5, (1.0, 2.0), 1.0).alias("loss"))
+    return e.select("vec_id", F.round(evidential.evidential_loss(F.col("a0"), F.col("a1"), F.col("y"), 0.5, (1.0, 2.0), 1.0), 9).alias("loss"))
 
 
-@register("n2_batched_prediction")
-def n2_batched_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fixed_model() -> list[tuple[np.ndarray, np.ndarray]]:
     r = np.random.default_rng(7)
-    model = evidential.mlp([(r.normal(size=(64, 16)) / 8, np.zeros(16)), (r.normal(size=(16, 2)) / 4, np.zeros(2))])
+    return [(r.normal(size=(64, 16)) / 8, r.normal(size=16)), (r.normal(size=(16, 2)) / 4, r.normal(size=2))]
+
+
+def _mlp_sql() -> str:
+    """The same arithmetic with the weights written out."""
+    (w1, b1), (w2, b2) = _fixed_model()
+    number = lambda v: f"{float(v)!r}::DOUBLE"
+    h = ", ".join("greatest(0, " + " + ".join([number(b1[j]), *(f"embedding[{i + 1}] * {number(w1[i, j])}" for i in range(64))]) + f") AS h{j}" for j in range(16))
+    z = ", ".join(" + ".join([number(b2[k]), *(f"h{j} * {number(w2[j, k])}" for j in range(16))]) + f" AS z{k}" for k in range(2))
+    a = ", ".join(f"greatest(z{k}, 0) + ln(1 + exp(-abs(z{k}))) + 1 AS a{k}" for k in range(2))
+    return f"WITH h AS (SELECT vec_id, {h} FROM embeddings), z AS (SELECT vec_id, {z} FROM h), a AS (SELECT vec_id, {a} FROM z) SELECT vec_id, round(a1 / (a0 + a1), 9) AS p_toxic, round(2 / (a0 + a1), 9) AS uncertainty, (a1 / (a0 + a1) >= 0.5)::INT AS pred_label FROM a"
+
+
+@register("n2_batched_prediction", _mlp_sql())
+def n2_batched_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return evidential.score_batches(e, model).select("vec_id", "prediction.p_toxic", "prediction.uncertainty", "prediction.pred_label")
+    return evidential.score_batches(e, evidential.mlp(_fixed_model())).select("vec_id", F.round("prediction.p_toxic", 9).alias("p_toxic"), F.round("prediction.uncertainty", 9).alias("uncertainty"), "prediction.pred_label")
 
 
 # --- text ----------------------------------------------------------------------------------------------------------
@@ -364,14 +476,32 @@ def f7_find_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 
 
-@register("f24_composition", "WITH s AS (SELECT doc_id, regexp_replace(upper(replace(coalesce(text, ''), 'ß', 'SS')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS s FROM documents) SELECT doc_id, length(s)::DOUBLE AS length, " + ", ".join(f"round((length(s) - length(replace(s, '{a}', ''))) / nullif(length(s), 0)::DOUBLE, 7) AS aa_frac_{a}" for a in _LETTERS) + ", round((" + " + ".join(f"(length(s) - length(replace(s, '{a}', ''))) * {v}::DOUBLE" for a, v in sequences.HYDROPHOBICITY.items()) + ") / nullif(length(s), 0), 7) AS mean_hydrophobicity_kd FROM s WHERE s <> ''")
+def _composition_sql() -> str:
+    n = {a: f"(length(s) - length(replace(s, '{a}', '')))" for a in _LETTERS}
+    long = "length(s)::DOUBLE"
+    total = lambda scale: "(" + " + ".join(f"{n[a]} * {v}::DOUBLE" for a, v in scale.items()) + ")"
+    spread = lambda scale: f"sqrt(({total({a: v * v for a, v in scale.items()})}) / {long} - pow({total(scale)} / {long}, 2))"
+    share = lambda letters: "(" + " + ".join(n[a] for a in letters) + f") / {long}"
+    found = {
+        "length": long, "log1p_length": f"ln(1 + {long})", "net_charge": total(sequences.CHARGE), "mean_charge": f"{total(sequences.CHARGE)} / {long}", "mean_hydrophobicity_kd": f"{total(sequences.HYDROPHOBICITY)} / {long}", "std_hydrophobicity_kd": spread(sequences.HYDROPHOBICITY),
+        "mean_residue_mw": f"{total(sequences.MASS)} / {long}", "std_residue_mw": spread(sequences.MASS), "frac_aromatic": share("FWY"), "frac_polar": share("STNQHYC"), "frac_pos": share("KRH"), "frac_neg": share("DE"), "frac_hydrophobic_kd_pos": share("ACFILMV"), **{f"aa_frac_{a}": share(a) for a in _LETTERS},
+    }
+    columns = ", ".join(f"round({v}, 5) AS {k}" for k, v in found.items())
+    return f"WITH s AS (SELECT doc_id, regexp_replace(upper(replace(coalesce(text, ''), 'ß', 'SS')), '[^{_LETTERS}]', '', 'g') AS s FROM documents) SELECT doc_id, {columns} FROM s WHERE s <> ''"
+
+
+@register("f24_composition", _composition_sql())
 def f24_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), f"[^{_LETTERS}]", "").alias("s")).where("s <> ''")
-    f = s.select("doc_id", *sequences.composition_features(F.col("s")))
-    return f.select("doc_id", "length", *[F.round(f"aa_frac_{a}", 7).alias(f"aa_frac_{a}") for a in _LETTERS], F.round("mean_hydrophobicity_kd", 7).alias("mean_hydrophobicity_kd"))
+    f = sequences.composition(s, "s", ["doc_id"])
+    return f.select("doc_id", *[F.round(c, 5).alias(c) for c in f.columns[1:]])
 
 
-@register("f9_measurements")
+@register(
+    "f9_measurements",
+    """SELECT p_partkey, 'MIC ' || p_size || ' ± 2 µM' AS raw, 'MIC' AS endpoint, '' AS cmp, p_size::DOUBLE AS value, 2.0::DOUBLE AS error, NULL::DOUBLE AS range_low, NULL::DOUBLE AS range_high, 'µM' AS unit, 'pH 7.' || p_size % 10 AS conditions FROM part
+UNION ALL SELECT p_partkey, '5-' || p_size + 6 || ' mg/mL', '', '', NULL, NULL, 5.0, (p_size + 6)::DOUBLE, 'mg/mL', 'pH 7.' || p_size % 10 FROM part""",
+)
 def f9_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("MIC "), F.col("p_size"), F.lit(" ± 2 µM at pH 7."), F.col("p_size") % 10, F.lit(", 5-"), F.col("p_size") + 6, F.lit(" mg/mL, x1")).alias("t"))
     m = p.select("p_partkey", F.explode(measure.measurements(F.col("t"))).alias("m"), F.concat_ws(";", measure.conditions(F.col("t"))).alias("conditions"))
@@ -384,9 +514,16 @@ def f12_header_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", measure.header_hint(h).alias("h")).select("p_partkey", "h.*")
 
 
-@register("p11_threshold_sentences", rf"SELECT doc_id, (contains(lower({_PLAIN}), 'toxic if') OR (regexp_matches(lower({_PLAIN}), 'threshold|cutoff|cut-off|cut off') AND regexp_matches({_PLAIN}, '[0-9]'))) AS is_rule FROM documents WHERE NOT regexp_matches(lower({_PLAIN}), 'labelled as|labeled as')")
+@register(
+    "p11_threshold_sentences",
+    rf"""WITH d AS (SELECT doc_id, lower({_PLAIN}) AS s FROM documents UNION ALL SELECT p_partkey + 1000000000, lower(CASE p_partkey % 5 WHEN 0 THEN 'Labelled  as toxic' WHEN 1 THEN 'was labeled as class 2' WHEN 2 THEN 'toxic IF large' WHEN 3 THEN 'a cut-off of 5' ELSE 'no threshold, labeled as positive' END) FROM part)
+SELECT doc_id, CASE WHEN s = '' THEN false WHEN contains(s, 'toxic if') THEN true WHEN regexp_matches(s, 'threshold|cutoff|cut-off|cut off') THEN regexp_matches(s, '[0-9]') WHEN regexp_matches(regexp_replace(s, '\s+', ' ', 'g'), 'labelled as|labeled as') THEN regexp_matches(s, 'toxic|positive|negative') ELSE false END AS is_rule FROM d""",
+)
 def p11_threshold_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(~F.lower(text.normalize_whitespace(F.col("text"))).rlike("labelled as|labeled as"))
+    """All documents, and sentences for each of the rules."""
+    k = F.col("p_partkey") % 5
+    made = F.when(k == 0, "Labelled  as toxic").when(k == 1, "was labeled as class 2").when(k == 2, "toxic IF large").when(k == 3, "a cut-off of 5").otherwise("no threshold, labeled as positive")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000000000).alias("doc_id"), made.alias("text")))
     return d.select("doc_id", measure.is_threshold_sentence(F.col("text")).alias("is_rule"))
 
 
@@ -421,18 +558,29 @@ def a27_weighted_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.weighted_pool(e, "label").select("label", F.posexplode("vector").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), F.round("x", 7).alias("x"))
 
 
-@register("a26_alignment_summary")
+@register(
+    "a26_alignment_summary",
+    """WITH p AS (SELECT p_brand AS a, p_partkey AS r, replace(upper(p_name), ' ', '-') AS s FROM part), c AS (SELECT a, s, unnest(generate_series(1, length(s))) AS i FROM p), l AS (SELECT a, i, substr(s, i, 1) AS x, count(*) AS k FROM c GROUP BY 1, 2, 3),
+f AS (SELECT a, i, k / sum(k) OVER (PARTITION BY a, i)::DOUBLE AS q FROM l WHERE x <> '-'), e AS (SELECT a, i, -sum(q * ln(q)) / ln(20.0::DOUBLE) AS h FROM f GROUP BY a, i),
+w AS (SELECT a, count(*) AS depth, arg_min(s, r) AS first, max(length(s)) AS wide, avg((length(s) - length(replace(s, '-', ''))) / greatest(1, length(s))::DOUBLE) AS gaps FROM p GROUP BY a),
+u AS (SELECT w.a, unnest(generate_series(1, wide)) AS i FROM w), t AS (SELECT u.a, coalesce(e.h, 0) AS h FROM u LEFT JOIN e ON e.a = u.a AND e.i = u.i),
+g AS (SELECT a, avg(h) AS m, median(h) AS md, min(h) AS lo, max(h) AS hi, avg((h <= 0.3)::INT) AS k FROM t GROUP BY a)
+SELECT w.a AS aln_id, CASE WHEN depth < 2 THEN 0 ELSE depth END::DOUBLE AS depth, CASE WHEN depth < 2 THEN 0 ELSE round(ln(1 + depth), 7) END AS log1p_depth, CASE WHEN depth < 2 THEN 0 ELSE round((length(first) - length(replace(first, '-', ''))) / greatest(1, length(first))::DOUBLE, 7) END AS gap_first,
+ CASE WHEN depth < 2 THEN 0 ELSE round(gaps, 7) END AS gap_all, CASE WHEN depth < 2 THEN 0 ELSE round(m, 7) END AS h_mean, CASE WHEN depth < 2 THEN 0 ELSE round(md, 7) END AS h_median, CASE WHEN depth < 2 THEN 0 ELSE round(lo, 7) END AS h_min, CASE WHEN depth < 2 THEN 0 ELSE round(hi, 7) END AS h_max, CASE WHEN depth < 2 THEN 0 ELSE round(k, 7) END AS conserved
+FROM w JOIN g ON g.a = w.a""",
+)
 def a26_alignment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("aln_id"), F.col("p_partkey").alias("row"), F.translate(F.upper("p_name"), " ", "-").alias("aligned"))
-    return sequences.alignment_summary(p)
+    s = sequences.alignment_summary(p)
+    return s.select("aln_id", *[F.round(c, 7).alias(c) for c in s.columns[1:]])
 
 
-@register("a28_graph_mean")
+@register("a28_graph_mean", f"WITH {_HITS} SELECT 0 AS graph_id, v.vec_id AS node, round(coalesce((SELECT avg(n.embedding[1]::DOUBLE) FROM h JOIN embeddings n ON n.vec_id = h.neighbour WHERE h.query = v.vec_id), 0), 9) AS mean FROM embeddings v")
 def a28_graph_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, _ = _hits(spark, sf_dir)
     edges = hits.select(F.lit(0).alias("graph_id"), F.col("neighbour").alias("src"), F.col("query").alias("dst"))
     nodes = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("graph_id"), F.col("vec_id").alias("node"), F.get("embedding", F.lit(0)).cast("double").alias("x"))
-    return vectors.neighbour_mean(nodes, edges)
+    return vectors.neighbour_mean(nodes, edges).withColumn("mean", F.round("mean", 9))
 
 
 @register("f31_product_correction", "WITH s AS (SELECT lang AS i, source AS j, count(*)::DOUBLE AS score FROM documents GROUP BY 1, 2) SELECT i, j, round(score - avg(score) OVER (PARTITION BY i) * avg(score) OVER (PARTITION BY j) / greatest(avg(score) OVER (), 1e-12), 7) AS corrected FROM s")

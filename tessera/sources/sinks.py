@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clip
 
 
+def _csv(df: DataFrame, mode: str = "errorifexists") -> DataFrameWriter:
+    return df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    _csv(df, mode).csv(path)
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -28,7 +32,7 @@ def write_fasta(df: DataFrame, path: str, id_col: str = "seq_id", seq_col: str =
 
 
 def write_by_split(df: DataFrame, path: str, split: str = "split") -> None:
-    df.write.partitionBy(split).option("header", True).option("escape", '"').csv(path)
+    _csv(df).partitionBy(split).csv(path)
 
 
 def write_once(df: DataFrame, path: str, overwrite: bool = False) -> None:
