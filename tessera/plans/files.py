@@ -9,6 +9,7 @@ from tessera.functions import measure, text
 from tessera.operators import quality, sequences, similarity, tables, vectors
 from tessera.plans.catalog import register
 from tessera.plans.corpus import table
+from tessera.plans.literature import literature_run
 from tessera.sources import papers, records, sinks
 from tessera.sources.scratch import scratch_path
 
@@ -77,6 +78,10 @@ def t13_manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.articles(_article_texts(spark, sf_dir), "xml", "doc")
+
+
+def _article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An article for each brand: a table of sequences, one of values by id, and one with ids in columns."""
     p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", _spelled(F.col("p_partkey")).alias("seq"))
     tag = lambda t, c: F.concat(F.lit(f"<{t}>"), c, F.lit(f"</{t}>"))
@@ -89,7 +94,7 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<article><article-id pub-id-type="pmc">7</article-id><body><p>It is toxic if large. The end.</p></body><table-wrap id="t1"><caption>Peptides</caption><table><tr><th>Peptide name</th><th>Sequence</th></tr>'), "s",
         F.lit('</table></table-wrap><table-wrap id="t2"><caption>Activity</caption><table><tr><th>Peptide</th><th>MIC/MBC (µM)</th><th>n</th></tr>'), "v", F.lit("</table></table-wrap></article>"),
     )
-    return tables.articles(a.select("p_brand", xml.alias("xml")), "xml", "p_brand")
+    return a.select(F.col("p_brand").alias("doc"), xml.alias("xml"))
 
 
 @register("t2_joined_records", f"SELECT p_brand AS doc, 'pep' || p_partkey AS norm_id, e AS endpoint, CASE WHEN e = 'MBC' THEN '>' ELSE '' END AS cmp, (CASE WHEN e = 'MBC' THEN 2 * p_size ELSE p_size END)::DOUBLE AS value, 'µM' AS unit, {_SPELLED} AS sequence FROM part, (VALUES ('MIC'), ('MBC')) AS t(e)")
@@ -107,6 +112,18 @@ def s14_article_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.tables_of(_articles(spark, sf_dir)).select("doc", "table_id", F.size("rows").cast("long").alias("n_rows"))
 
 
+@register("t11_literature_run", "SELECT * FROM (SELECT 'sequences' AS name, count(*) AS n FROM part UNION ALL SELECT 'records', 2 * count(*) FROM part UNION ALL SELECT 'strict', count(*) FROM part UNION ALL SELECT 'thresholds', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'scores', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'without', 1) AS t")
+def t11_literature_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run over the articles and one without tables: rows of its results."""
+    xml = _article_texts(spark, sf_dir).unionByName(spark.createDataFrame([("none", "<article><body><p>No tables.</p></body></article>")], "doc string, xml string"))
+    run = literature_run(xml)
+    of = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    out = of("strict", run["records"].where("train_ready_strict"))
+    for name in ("sequences", "records", "thresholds", "scores", "without"):
+        out = out.unionByName(of(name, run[name]))
+    return out
+
+
 @register("t10_threshold_sentences", "SELECT DISTINCT p_brand AS doc, 'It is toxic if large.' AS sentence FROM part")
 def t10_threshold_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.threshold_sentences(_articles(spark, sf_dir)).select("doc", "sentence")

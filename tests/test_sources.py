@@ -221,6 +221,22 @@ def test_xlsx(tmp_path):
     assert papers.supplement_tables("b.xlsx", b"PK no") == []
 
 
+def test_literature_run_with_report(spark, tmp_path):
+    from tessera.plans.literature import literature_run
+
+    row = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
+    xml = f'<article><body><p>A dose of 5 is the cutoff.</p></body><table-wrap id="a"><table>{row("Peptide", "Sequence")}{row("P1", "ACDEFGHK")}{row("P2", "KKLLKWLL")}</table></table-wrap><table-wrap id="b"><table>{row("Peptide", "MIC (µM)")}{row("P1", "4")}{row("P2", "&gt;128")}</table></table-wrap></article>'
+    df = spark.createDataFrame([("d1", xml), ("d2", "<article/>"), ("d3", None)], "doc string, xml string")
+    (tmp_path / "m.jsonl").write_text(json.dumps({"input": "d1", "actions": [{"kind": "xml", "download": {"status": "ok"}, "meta": {"doi": "10.1/a|b"}}]}))
+    run = literature_run(df, papers.read_manifest(spark, str(tmp_path / "m.jsonl")), out=f"file://{tmp_path}/out")
+    assert sorted((r.sequence, r.cmp, r.value, r.train_ready_strict) for r in run["records"].collect()) == [("ACDEFGHK", "", 4.0, True), ("KKLLKWLL", ">", 128.0, False)]
+    assert sorted(r.doc for r in run["without"].collect()) == ["d2", "d3"] and run["thresholds"].count() == 1
+    report = "".join(p.read_text() for p in (tmp_path / "out" / "report").glob("part-*"))
+    assert "- Papers: 1" in report and "- Records: 2" in report and "- Ready, strict: 1" in report and "10.1/a\\|b" in report and "| MIC | 2 |" in report and "d3" in report
+    back = records.read_text_table(spark, f"file://{tmp_path}/out/records").collect()
+    assert len(back) == 2 and {r.endpoint for r in back} == {"MIC"}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", "AC", "train", "x" * 3000), ("b", "D|E", "test", "y")], "seq_id string, sequence string, split string, snippet string")
     sinks.write_fasta(df, str(tmp_path / "f"))
