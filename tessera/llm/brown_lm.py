@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc32_mod, discard, materialize, partitions, small_batches, tidied, whole_id
+from tessera.llm.common import crc32_mod, discard, materialize, small_batches, tidied, whole_id
 
 CLASSES = 64
 #: A round that gains less than this share of what all rounds gained is the last.
 LEAST_GAIN = 0.05
 #: Words of a block; a longer document is a block of its own. Packed words of all blocks for each word partition, at most about.
-BLOCK_WORDS, PART_BYTES = 1_400_000, 4_000_000
+BLOCK_WORDS, PART_BYTES = 1_400_000, 2_000_000
 #: Entries (word, neighbouring class) whose gains are computed at a time.
 ENTRIES = 1 << 15
 #: Weight of the class unigram in a transition; added count in an emission.
@@ -373,7 +373,7 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, least_gain: f
     source = docs.select(id_.alias("id"), F.col(f"`{text_col}`").alias("text"), (crc32_mod(id_, fold) != held).alias("train"))
     blocks = materialize(source.mapInArrow(tidied(lambda it: _encode(it, block_words)), "block long, body binary, words binary"), "lm-blocks")
     packed = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    parts = max(partitions(spark), -(-packed // part_bytes))
+    parts = max(1, -(-packed // part_bytes))  # by the data alone, so what a task holds does not grow with them
     to_words = lambda df: df.where("p >= 0").repartitionById(parts, F.col("p")).sortWithinPartitions("p", "block")
     answers = materialize(to_words(blocks.select("words", "block").mapInArrow(tidied(lambda it: _post_words(it, parts)), _MESSAGE)).mapInArrow(tidied(lambda it: _count_words(it, CLASSES)), _MESSAGE), "lm-words")
 
