@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_whitespace
 
-#: Endpoint keywords in order, units, comparison signs, and patterns of conditions.
+#: Endpoint keywords in order, units, comparison signs, patterns of conditions, of statistics and of groups of organisms, and headers of counts.
 ENDPOINTS = "LD50 LC50 IC50 EC50 CC50 HC50 HC10 MHC10 MHC MIC MBC GI50 KI KD".split()
 UNITS = ["μM", "µM", "uM", "nM", "mM", "pM", "fM", "mg/kg", "mg·kg-1", "mg kg-1", "μg/mL", "µg/mL", "ug/mL", "ng/mL", "mg/mL", "g/L", "mg/L", "μg/L", "µg/L", "ug/L", "%"]
 COMPARE = "[<>≤≥~]?"

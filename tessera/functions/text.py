@@ -92,7 +92,7 @@ def normalize_id(text: Column) -> Column:
 def context_value(context: Column, key: str) -> Column:
     """First k=v of a ;-joined list with that key; empty if none."""
     parts = F.filter(F.transform(F.split(F.coalesce(context, F.lit("")), ";"), lambda s: F.trim(s)), lambda p: p.startswith(f"{key}="))
-    return F.coalesce(F.trim(F.substring(F.get(parts, F.lit(0)), F.lit(len(key) + 2), F.lit(1_000_000))), F.lit(""))
+    return F.coalesce(F.trim(F.substring(F.get(parts, F.lit(0)), F.lit(len(key) + 2), F.length(F.get(parts, F.lit(0))))), F.lit(""))
 
 
 def is_missing(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import sorted_set, split_set
+from tessera.functions.text import split_set
 from tessera.operators.running import number_in_order
 
 
@@ -60,12 +60,11 @@ def corpus_stats(records: DataFrame, key: str, dataset: str) -> DataFrame:
 
 def cluster_rollup(members: DataFrame, order: str = "seq_id") -> DataFrame:
     """Per cluster: representative and label (first by order), size, records, union of the ;-joined source sets."""
-    union = lambda c: sorted_set(F.flatten(F.collect_list(split_set(F.col(c)))))
-    datasets = F.array_sort(F.array_distinct(F.flatten(F.collect_list(split_set(F.col("source_datasets"))))))
-    return members.groupBy("cluster_id").agg(
-        F.min(order).alias("rep_seq_id"), F.min_by("label", order).alias("label"), F.count("*").alias("cluster_size"), F.sum("n_records").alias("n_records_sum"),
-        F.size(datasets).alias("n_source_datasets_union"), union("source_datasets").alias("source_datasets_union"),
-    )
+    rolled = members.groupBy("cluster_id").agg(F.min(order).alias("rep_seq_id"), F.min_by("label", order).alias("label"), F.count("*").alias("cluster_size"), F.sum("n_records").alias("n_records_sum"))
+    # A cluster's sources, distinct before they are gathered.
+    sources = members.select("cluster_id", F.explode(split_set(F.col("source_datasets"))).alias("s")).groupBy("cluster_id").agg(F.array_sort(F.collect_set("s")).alias("s"))
+    out = rolled.join(sources, "cluster_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<string>")))
+    return out.select(*rolled.columns, F.size("s").alias("n_source_datasets_union"), F.concat_ws(";", "s").alias("source_datasets_union"))
 
 
 def cluster_size_stats(clusters: DataFrame, size: str = "cluster_size", by: list[str] | None = None) -> DataFrame:

@@ -100,9 +100,23 @@ def a7_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.cluster_size_stats(dedup.cluster_rollup(_members(spark, sf_dir)))
 
 
-@register("r4_near_duplicate_clusters")
+@register(
+    "r4_near_duplicate_clusters",
+    r"""WITH RECURSIVE t AS (SELECT item_id, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS s FROM benchmark),
+x AS (SELECT item_id AS id, s, item_id % 2 AS l FROM t UNION ALL SELECT item_id + 100000, s || ' x', item_id % 2 FROM t UNION ALL SELECT item_id + 200000, 'yy' || substr(s, 4), item_id % 2 FROM t UNION ALL SELECT item_id + 300000, s, 1 - item_id % 2 FROM t),
+o AS (SELECT *, length(s) AS n, row_number() OVER (ORDER BY length(s) DESC, id) AS k FROM x),
+p AS (SELECT b.id, list(a.id ORDER BY a.k) AS near FROM o a JOIN o b ON a.l = b.l AND a.k < b.k AND b.n >= a.n * 0.9::DOUBLE AND levenshtein(a.s, b.s) <= floor(0.09999999999999998::DOUBLE * a.n + 1e-9::DOUBLE) GROUP BY b.id),
+q AS (SELECT o.k, o.id, coalesce(p.near, []) AS near FROM o LEFT JOIN p ON p.id = o.id),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS reps UNION ALL SELECT q.k, CASE WHEN list_has_any(g.reps, q.near) THEN g.reps ELSE list_append(g.reps, q.id) END FROM g JOIN q ON q.k = g.k + 1),
+r AS (SELECT reps FROM g ORDER BY k DESC LIMIT 1)
+SELECT q.id AS seq_id, CASE WHEN list_contains(r.reps, q.id) THEN q.id ELSE list_filter(q.near, lambda a: list_contains(r.reps, a))[1] END AS cluster_id, list_contains(r.reps, q.id) AS is_representative FROM q, r""",
+)
 def r4_near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.col("text").alias("sequence"), F.lit(0).alias("label"))
+    """Items, two edited copies of each, and an equal one under the other label."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "").alias("s"))
+    own = F.col("item_id") % 2
+    kind = lambda add, s, label: t.select((F.col("item_id") + add).alias("seq_id"), s.alias("sequence"), label.alias("label"))
+    items = kind(0, F.col("s"), own).unionByName(kind(100000, F.concat("s", F.lit(" x")), own)).unionByName(kind(200000, F.concat(F.lit("yy"), F.substring(F.col("s"), F.lit(4), F.length("s"))), own)).unionByName(kind(300000, F.col("s"), 1 - own))
     return similarity.greedy_clusters(items)
 
 
@@ -595,15 +609,29 @@ def f33_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.substitutions(n, "sequence", forbid="C").select("n_nationkey", "pos", "new", "variant")
 
 
-@register("a23_strategy_summary")
+_FLAGS = {"flip_top1": "r <= 1 AND p < 0.5", "flip_topk": "r <= 10 AND p < 0.5", "reduce_top1": "r <= 1 AND bp - p >= 0.1", "reduce_topk": "r <= 10 AND bp - p >= 0.1"}
+_SCORE = "(('0x' || substr(md5({}), 1, 4))::INT / 65536.0::DOUBLE)"
+
+
+@register(
+    "a23_strategy_summary",
+    f"""WITH c AS (SELECT n_nationkey AS id, replace(n_name, ' ', '') AS s FROM nation), gd AS (SELECT a.id, arg_min(b.s, b.id) AS guide FROM c a JOIN c b ON a.id <> b.id AND b.id % 2 = 0 AND length(a.s) = length(b.s) GROUP BY a.id),
+al AS (SELECT unnest(string_split('{",".join(_LETTERS)}', ',')) AS new), ps AS (SELECT id, s, unnest(generate_series(1, length(s))) AS i FROM c), scan AS (SELECT id, s, i, new FROM ps, al WHERE substr(s, i, 1) <> new AND substr(s, i, 1) <> 'C' AND new <> 'C'),
+ev AS (SELECT ps.id, ps.s, ps.i, substr(guide, ps.i, 1) AS new FROM ps JOIN gd ON gd.id = ps.id WHERE substr(s, i, 1) <> substr(guide, i, 1) AND substr(s, i, 1) <> 'C' AND substr(guide, i, 1) <> 'C'),
+k AS (SELECT 'evidence' AS st, * FROM ev UNION ALL SELECT 'attribution', * FROM scan WHERE i IN (1, 3) UNION ALL SELECT 'full_scan', * FROM scan), v AS (SELECT st, id, s, substr(s, 1, i - 1) || new || substr(s, i + 1) AS v FROM k),
+sc AS (SELECT *, {_SCORE.format("v")} AS p, {_SCORE.format("reverse(v)")} AS u, {_SCORE.format("s")} AS bp, {_SCORE.format("reverse(s)")} AS bu FROM v), rk AS (SELECT *, row_number() OVER (PARTITION BY id, st ORDER BY p, u, v) AS r FROM sc),
+h AS (SELECT st, id, {", ".join(f"max(({c} AND u <= bu + 0.05)::INT) AS {n}" for n, c in _FLAGS.items())}, min(p) FILTER (r = 1) AS top1 FROM rk GROUP BY st, id), gr AS (SELECT st, c.id FROM c, (SELECT unnest(['evidence', 'attribution', 'full_scan']) AS st))
+SELECT gr.st AS strategy, round(avg((h.id IS NOT NULL)::INT), 9) AS coverage, {", ".join(f"round(avg(coalesce({n}, 0)), 9) AS {n}_rate, round(avg({n}), 9) AS {n}_rate_covered" for n in _FLAGS)}, round(avg(top1), 9) AS mean_top1_p FROM gr LEFT JOIN h ON h.id = gr.id AND h.st = gr.st GROUP BY gr.st""",
+)
 def a23_strategy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("case_id"), F.replace("n_name", F.lit(" "), F.lit("")).alias("sequence"), F.array(F.lit(0), F.lit(2)).alias("positions"))
     near = cases.select("case_id", "sequence").join(cases.select(F.col("case_id").alias("other"), F.col("sequence").alias("guide")), F.col("case_id") != F.col("other")).select("case_id", F.col("other").alias("rank"), F.col("guide").alias("sequence"), (F.col("other") % 2).alias("label"))
     c = sequences.expand(cases, near, positions="positions", forbid="C")
-    score = lambda s: (F.crc32(s.cast("binary")) % 1000) / F.lit(1000.0)
+    score = lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 4), 16, 10).cast("int") / F.lit(65536.0)
     scored = c.withColumn("p", score(F.col("variant"))).withColumn("uncertainty", score(F.reverse("variant"))).join(cases.select("case_id", score(F.col("sequence")).alias("bp"), score(F.reverse("sequence")).alias("bu")), "case_id")
     hits = sequences.hit_metrics(sequences.rank_candidates(scored, ["case_id", "strategy"]), ["case_id", "strategy"], "bp", "bu")
-    return sequences.strategy_summary(cases, hits, ["evidence", "attribution", "full_scan"])
+    s = sequences.strategy_summary(cases, hits, ["evidence", "attribution", "full_scan"])
+    return s.select("strategy", *[F.round(c, 9).alias(c) for c in s.columns[1:]])
 
 
 @register(

@@ -193,10 +193,10 @@ def p5_letter_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-@register("f32_digest_join", "SELECT a.doc_id, b.doc_id AS same FROM documents a JOIN documents b ON substr(sha1(a.text), 1, 16) = substr(sha1(b.text), 1, 16) AND a.doc_id < b.doc_id")
+@register("f32_digest_join", "SELECT doc_id, min(doc_id) OVER (PARTITION BY substr(sha1(text), 1, 16)) AS first, count(*) OVER (PARTITION BY substr(sha1(text), 1, 16)) AS n FROM documents WHERE text IS NOT NULL")
 def f32_digest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", text.short_digest(F.col("text")).alias("k"))
-    return d.join(d.withColumnRenamed("doc_id", "same"), "k").where("doc_id < same").select("doc_id", "same")
+    return d.join(d.groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "k").select("doc_id", "first", "n")
 
 
 @register("k7_split_export", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS total FROM labels GROUP BY 1")

@@ -54,7 +54,7 @@ def x_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-@register("x_json_properties", None)
+@register("x_json_properties", """SELECT event_id, key, json_extract_string(props, '$."' || key || '"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""")
 def x_json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select("event_id", F.explode(F.map_entries(F.from_json("props", "map<string,string>"))).alias("p")).select("event_id", "p.key", "p.value")
