@@ -547,7 +547,13 @@ def s27_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.size("links").cast("long").alias("n_links"))
 
 
-@register("s27_supplementary_links")
+@register(
+    "s27_supplementary_links",
+    r"""WITH l AS (SELECT page_id, url, replace(unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]+)"', 1, 'i')), '&amp;', '&') AS h FROM pages),
+b AS (SELECT *, regexp_extract(url, '^[A-Za-z]+:') AS scheme, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS origin, regexp_replace(url, '[?#].*$', '') AS plain FROM l),
+a AS (SELECT DISTINCT page_id, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN h LIKE '//%' THEN scheme || h WHEN h LIKE '/%' THEN origin || h WHEN h LIKE '#%' THEN regexp_replace(url, '#.*$', '') || h WHEN h LIKE '?%' THEN plain || h WHEN plain = origin THEN origin || '/' || h ELSE regexp_replace(plain, '[^/]*$', '') || h END AS u FROM b)
+SELECT page_id, u AS url FROM a WHERE regexp_matches(lower(u), 'supplement|supporting|additional|moesm|esm|suppl|source-data|source_data|\.(zip|pdf|csv|tsv|txt|xlsx|xls|doc|docx|rtf|fa|fasta|json|xml|tif|tiff|png|jpg|jpeg|svg)$')""",
+)
 def s27_supplementary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(papers.supplementary_links(F.col("url"), F.col("html"))).alias("url"))
 
