@@ -380,10 +380,9 @@ def extract_text(pages: DataFrame, model: Model | None = None, html_col: str = "
     Blocks are joined by two newlines; white space in a block is one space. A null or empty page, and one without
     article text, has the empty text. Repeated rows stay. An empty table gives an empty result. Very long pages are parsed
     whole, one at a time; what is held of a page is in proportion to it. Columns outside carry are not read, so their names may clash;
-    a carried column must not be named text or n_chars (an error).
+    a carried column named text or n_chars gives way to the result's.
     """
-    if clash := {c.lower() for c in carry} & {"text", "n_chars"}:
-        raise ValueError(f"columns of the result cannot be carried: {', '.join(sorted(clash))}")
+    carry = tuple(c for c in carry if c.lower() not in ("text", "n_chars"))
     small_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(model or default_model())
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{html_col}`").alias("html"))

@@ -996,8 +996,7 @@ def test_html_columns(spark):
 
     pages = spark.createDataFrame([(1, "<article><p>One block of text.</p></article>", "x")], "`page.id` long, html string, text string")
     assert [tuple(r) for r in extract_text(pages, carry=("page.id",)).collect()] == [(1, "One block of text.", 18)]
-    with pytest.raises(ValueError, match="text"):
-        extract_text(pages, carry=("text",))
+    assert extract_text(pages, carry=("text", "page.id")).columns == ["page.id", "text", "n_chars"]
 
 
 # --- pipeline ------------------------------------------------------------------------------------------------------
