@@ -25,7 +25,7 @@ from tessera.llm.common import small_batches, tidied
 WINDOW = 13
 #: Words of a shard, and most benchmark text (bytes) of a block; a task holds one block at a time.
 SHARD_WORDS = 500_000
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 #: Bytes that separate words, and A-Z to a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
