@@ -129,7 +129,7 @@ def t10_threshold_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.threshold_sentences(_articles(spark, sf_dir)).select("doc", "sentence")
 
 
-@register("a30_paper_scores", "SELECT p_brand AS doc, CASE WHEN count(*) >= 2 THEN 1 ELSE 0 END AS seq_tables, 0 AS endpoint_tables, 0 AS value_cells, 'MBC,MIC' AS hints, CASE WHEN count(*) >= 2 THEN 4 ELSE 1 END AS score FROM part GROUP BY p_brand")
+@register("a30_paper_scores", f"SELECT doc, (n >= 2)::INT AS seq_tables, 0 AS endpoint_tables, 0 AS value_cells, 'MBC,MIC' AS hints, 1 + 3 * (n >= 2)::INT AS score FROM (SELECT p_brand AS doc, count(*) FILTER (WHERE length({_SPELLED}) >= 8) AS n FROM part GROUP BY p_brand) AS t")
 def a30_paper_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.paper_scores(tables.tables_of(_articles(spark, sf_dir))).withColumn("hints", F.array_join("hints", ","))
 
