@@ -19,6 +19,8 @@ MODULES = {
     "op8_minhash_dedup": "near_dedup",
     "op9_exact_dedup": "exact_dedup",
     "op10_mixing": "mixing",
+    "op11_spelling_variants": "spelling_variants",
+    "op12_sharding": "kd_shards",
 }
 
 
