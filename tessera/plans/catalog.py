@@ -23,7 +23,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tessera.plans import corpus, files, made, relational  # noqa: F401  these register their queries
+    from tessera.plans import corpus, files, made, relational, runs  # noqa: F401  these register their queries
 
 
 def queries() -> dict[str, Query]:
