@@ -72,7 +72,8 @@ def t13_manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "manifest")
     e = table(spark, sf_dir, "events").withColumn("key", F.concat(F.lit("PMC"), F.col("user_id") % 50))
     action = F.struct(F.lit("xml").alias("kind"), F.struct(F.when(F.col("event_type") == "click", "ok").otherwise("failed").alias("status")).alias("download"), F.struct(F.concat(F.lit("10.1/"), "event_id").alias("doi")).alias("meta"), F.struct(F.when(F.col("event_id") % 3 == 0, 2).otherwise(0).alias("extracted_supp_files")).alias("extract"))
-    lines = e.orderBy("event_id").coalesce(1).select(F.to_json(F.struct(F.col("key").alias("input"), F.array(action).alias("actions"))).alias("value"))
+    # Several files, whose names are in the order of the events, as the manifest's later lines win.
+    lines = e.repartitionByRange("event_id").sortWithinPartitions("event_id").select(F.to_json(F.struct(F.col("key").alias("input"), F.array(action).alias("actions"))).alias("value"))
     lines.union(spark.createDataFrame([("{broken",), ("",)], "value string").coalesce(1)).write.text(path)
     return papers.manifest_summary(papers.read_manifest(spark, path)).select("key", "input", "doi", "pmid", "pdf_ok", "xml_ok", "supp_ok", "package_ok", "pdf_extracted", "supp_extracted", "stem")
 
@@ -134,7 +135,7 @@ def a30_paper_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.paper_scores(tables.tables_of(_articles(spark, sf_dir))).withColumn("hints", F.array_join("hints", ","))
 
 
-@register("f34_scored_cells", "SELECT p_partkey AS doc, 1 AS seq_tables, CASE WHEN p_size % 3 > 0 THEN 1 ELSE 0 END AS endpoint_tables, 2 + p_size % 7 AS value_cells_at_most, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'IC50' ELSE 'hemolysis,toxicity' END AS hints, 3 + 3 * (p_size % 3 > 0)::INT + (2 + p_size % 7 >= 5)::INT + (p_size % 3 = 1)::INT AS score FROM part WHERE p_partkey <= 200")
+@register("f34_scored_cells", "SELECT p_partkey AS doc, 1 AS seq_tables, CASE WHEN p_size % 3 > 0 THEN 1 ELSE 0 END AS endpoint_tables, 2 + p_size % 7 AS value_cells_at_most, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'IC50' ELSE 'hemolysis,toxicity' END AS hints, 3 + 3 * (p_size % 3 > 0)::INT + (2 + p_size % 7 >= 5)::INT + (p_size % 3 = 1)::INT AS score FROM part")
 def f34_scored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of sequences and of values with units counted, five values at most; soft words only where there is no endpoint."""
     z = F.col("p_size")
@@ -142,7 +143,7 @@ def f34_scored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.array_join(F.transform(F.sequence(F.lit(1), (2 + z % 7).cast("int")), lambda i: F.concat(F.lit("<tr><td>ACDKLLKWGG</td><td>"), i.cast("string"), F.lit(" mg/L</td></tr>"))), "")
     caption = F.when(z % 3 == 0, "Yields").when(z % 3 == 1, "IC50 and toxicity").otherwise("toxicity, hemolysis")
     xml = F.concat(F.lit('<article><table-wrap id="t"><caption>'), caption, F.lit("</caption><table>"), row("Sequence", "Value"), values, F.lit("</table></table-wrap></article>"))
-    scored = tables.paper_scores(tables.tables_of(tables.articles(table(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", xml.alias("xml")), "xml", "p_partkey")))
+    scored = tables.paper_scores(tables.tables_of(tables.articles(table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml")), "xml", "p_partkey")))
     known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), (2 + z % 7).alias("value_cells_at_most"))
     checked = scored.join(known, "doc").withColumn("value_cells_at_most", F.when(F.col("value_cells") == F.least(F.lit(5), "value_cells_at_most"), F.col("value_cells_at_most")))
     return checked.select("doc", "seq_tables", "endpoint_tables", "value_cells_at_most", F.array_join("hints", ",").alias("hints"), "score")

@@ -73,11 +73,11 @@ def k5_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.file_digests(spark, f"{path}/part-*").select("sha256")
 
 
-@register("k3_catalogue", "SELECT CAST(p_partkey AS VARCHAR) AS dataset_id, p_brand AS project, 'level, \"two\"' AS level, 'train' AS split, '/x/' || p_partkey AS file_path, 'csv' AS label_rule FROM part WHERE p_partkey <= 20")
+@register("k3_catalogue", "SELECT CAST(n_nationkey AS VARCHAR) AS dataset_id, n_name AS project, 'level, \"two\"' AS level, 'train' AS split, '/x/' || n_nationkey AS file_path, 'csv' AS label_rule FROM nation")
 def k3_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "catalogue")
-    rows = table(spark, sf_dir, "part").where("p_partkey <= 20").collect()  # a catalogue is a few descriptors
-    sinks.write_catalogue(spark, [{"dataset_id": str(r.p_partkey), "project": r.p_brand, "level": 'level, "two"', "split": "train", "file_path": f"/x/{r.p_partkey}", "label_rule": "csv"} for r in rows], path)
+    rows = table(spark, sf_dir, "nation").collect()  # a catalogue is a few descriptors, here one for each nation
+    sinks.write_catalogue(spark, [{"dataset_id": str(r.n_nationkey), "project": r.n_name, "level": 'level, "two"', "split": "train", "file_path": f"/x/{r.n_nationkey}", "label_rule": "csv"} for r in rows], path)
     return records.read_text_table(spark, path)
 
 
@@ -331,7 +331,7 @@ def f39_safe_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- tables of articles --------------------------------------------------------------------------------------------
 
-_TWO = "part WHERE p_partkey <= 200"
+_TWO = "part"
 
 
 def _row(*cells: object) -> object:
@@ -343,7 +343,7 @@ def _article(spark: SparkSession, sf_dir: str, *parts: object, caption: object =
     """Articles with a table of two sequences, and a further table of the rows given."""
     names = F.concat(F.lit('<article><table-wrap id="t1"><table>'), _row("Peptide name", "Sequence"), _row("Pep-A", "ACDKLLKWGG"), _row("Pep-B", "EFGKLLKWHH"), F.lit('</table></table-wrap><table-wrap id="t2"><caption>'))
     xml = F.concat(names, F.lit(caption) if isinstance(caption, str) else caption, F.lit("</caption><table>"), *parts, F.lit("</table></table-wrap></article>"))
-    return tables.tables_of(tables.articles(table(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", xml.alias("xml")), "xml", "p_partkey"))
+    return tables.tables_of(tables.articles(table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml")), "xml", "p_partkey"))
 
 
 @register(
@@ -358,7 +358,7 @@ def t3_transposed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.experimental_records(t).select("doc", "norm_id", "endpoint", "value", "unit", "condition", "layout", "sequence")
 
 
-@register("t7_id_column_by_agreement", "SELECT p_partkey AS doc, CASE i % 2 WHEN 0 THEN 'pepa' ELSE 'pepb' END AS norm_id, (p_size + i)::DOUBLE AS value FROM part, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE p_partkey <= 200")
+@register("t7_id_column_by_agreement", "SELECT p_partkey AS doc, CASE i % 2 WHEN 0 THEN 'pepa' ELSE 'pepb' END AS norm_id, (p_size + i)::DOUBLE AS value FROM part, (SELECT unnest([0, 1, 2, 3]) AS i)")
 def t7_id_column_by_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The column named like ids holds other names; that whose cells are known ids is taken."""
     z = F.col("p_size")
@@ -366,7 +366,7 @@ def t7_id_column_by_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.experimental_records(t).select("doc", "norm_id", "value")
 
 
-@register("p12_computational_tables", f"SELECT p_partkey AS doc, count(*) AS n FROM part, (SELECT unnest([1, 2]) AS i) WHERE p_partkey <= 200 AND p_size % 4 = 3 GROUP BY p_partkey")
+@register("p12_computational_tables", f"SELECT p_partkey AS doc, count(*) AS n FROM part, (SELECT unnest([1, 2]) AS i) WHERE p_size % 4 = 3 GROUP BY p_partkey")
 def p12_computational_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of tables with the same cells those with a computational caption give no records."""
     z = F.col("p_size")
@@ -375,7 +375,7 @@ def p12_computational_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.experimental_records(t).groupBy("doc").agg(F.count("*").alias("n"))
 
 
-@register("t9_same_row_records", f"SELECT p_partkey AS doc, s AS sequence, e AS endpoint, v::DOUBLE AS value, 'µM' AS unit FROM part, (SELECT unnest(['ACDKLLKWGGHHKL', 'EFGKLLKWHHEEKL']) AS s), (SELECT unnest(['MIC', 'MBC']) AS e) CROSS JOIN LATERAL (SELECT CASE e WHEN 'MIC' THEN p_size ELSE p_size + 3 END AS v) WHERE p_partkey <= 200")
+@register("t9_same_row_records", f"SELECT p_partkey AS doc, s AS sequence, e AS endpoint, v::DOUBLE AS value, 'µM' AS unit FROM part, (SELECT unnest(['ACDKLLKWGGHHKL', 'EFGKLLKWHHEEKL']) AS s), (SELECT unnest(['MIC', 'MBC']) AS e) CROSS JOIN LATERAL (SELECT CASE e WHEN 'MIC' THEN p_size ELSE p_size + 3 END AS v)")
 def t9_same_row_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.col("p_size")
     t = _article(spark, sf_dir, _row("x", "ACDKLLKWGGHHKL", "EFGKLLKWHHEEKL", F.concat(F.lit("MIC "), z, F.lit(" µM")), F.concat(F.lit("MBC "), z + 3, F.lit(" µM"))), _row("no sequence", F.concat(F.lit("MIC "), z, F.lit(" µM")), "", "", ""))
