@@ -43,7 +43,8 @@ _SPACE = " \t\n\f\r"
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul dialog".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
-_TAG = re.compile(r"""<(?:!--|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>)""")
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)|/)")
+_ENDS = re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _ANCESTORS = frozenset("nav header footer aside form dialog menu article main section ul ol table blockquote figure".split())
@@ -63,6 +64,33 @@ class Page:
     runs: list[tuple[int, str, int]]  # element, text, characters in links
 
 
+class _TagEnds:
+    """Where a tag ends: at the first > outside quotes, or -1 without one. What a search passes is kept, so all searches together are linear in the page."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.known: dict[int, int] = {}  # of a quote's place
+
+    def after(self, at: int) -> int:
+        passed: list[int] = []
+        while True:
+            m = _ENDS.search(self.source, at)
+            if m is None or m[0] == ">":
+                end = -1 if m is None else m.start()
+                break
+            place = m.start()
+            if place in self.known:
+                end = self.known[place]
+                break
+            passed.append(place)
+            at = self.source.find(m[0], place + 1) + 1
+            if at == 0:  # not closed
+                end = -1
+                break
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+
 def parse(html: str | None, mark: str | None = None) -> Page:
     """Builds the tree of block elements as browsers would, near enough; no input makes it fail.
 
@@ -126,28 +154,24 @@ def parse(html: str | None, mark: str | None = None) -> Page:
         if not places["body"]:
             add("body", [], None)
 
+    ends = _TagEnds(source)
     at, end = 0, len(source)
     while at < end:
-        m = _TAG.search(source, at)
-        if m is None:  # an unfinished tag at the end is dropped
-            rest = re.search(r"<[a-zA-Z/!?]", source[at:])
-            text(source[at : at + rest.start()] if rest else source[at:])
+        m = _OPEN.search(source, at)
+        if m is None:
+            text(source[at:])
             break
-        loose = re.compile(r"<[a-zA-Z/]").search(source, at, m.start())
-        if loose:  # a tag with an unclosed quote, or </ without a name, before: to the next >
-            text(source[at : loose.start()])
-            at = source.find(">", loose.start()) + 1 or end
-            continue
         text(source[at : m.start()])
-        if m[0] == "<!--":
+        if m[1]:
             at = source.find("-->", m.end()) + 3
             at = end if at == 2 else at
             continue
-        if m[1]:
+        close = ends.after(m.end()) if m[4] else -1
+        if close < 0:  # a declaration, </ without a name, a tag with an unclosed quote or none at all: to the next >, or all that is left
             at = source.find(">", m.end()) + 1 or end
             continue
-        at = m.end()
-        tag, closing = m[3].lower(), m[2]
+        tag, closing, attributes = m[4].lower(), m[3], source[m.end() : close]
+        at = close + 1
         if closing:
             if tag == "br":
                 pieces.append(" ")
@@ -169,8 +193,8 @@ def parse(html: str | None, mark: str | None = None) -> Page:
                 flush()
             continue
         if tag in RAW:
-            close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(source, at)
-            at = end if close is None else (source.find(">", close.end()) + 1 or end)
+            closed = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(source, at)
+            at = end if closed is None else (source.find(">", closed.end()) + 1 or end)
             continue
         if tag in ("html", "body") and places[tag]:
             continue
@@ -202,9 +226,9 @@ def parse(html: str | None, mark: str | None = None) -> Page:
                 push(*x)
         names: list[str] = []
         label = None
-        for value in _NAMES.findall(m[4]) if m[4] else ():
+        for value in _NAMES.findall(attributes) if attributes else ():
             names += _PARTS.findall("".join(value).lower())
-        if labelled and (found := labelled.search(m[4])):
+        if labelled and (found := labelled.search(attributes)):
             label = int(found[1])
         add(tag, names, label)
     flush()
