@@ -92,6 +92,23 @@ class _Maker:
                 out.append(self.r.choice((self.ad, self.share, self.related, self.notice, self.form, self.named_block, self.named_block, self.named_block))())
         return "".join(out)
 
+    def bare(self) -> str:
+        """Article text without blocks of its own: lines between breaks, and now and then a heading, a paragraph, preformatted text or something that is not article."""
+        out = [f"<h1>{self.words(2, 10)}</h1>"] if self.r.random() < 0.5 else []
+        for _ in range(max(1, int(self.r.lognormvariate(1.1, 0.7)))):
+            x = self.r.random()
+            out.append(self.inline(self.words(4, 60)) + self.r.choice(("<br>", "<br><br>", "<br/>\n<br/>", "<hr>")) if x < 0.75 else self.paragraph() if x < 0.85 else f"<pre>{self.words(3, 40)}</pre>" if x < 0.9 else self.r.choice((self.share, self.ad, self.related))())
+        return "".join(out)
+
+    def table(self, content: str) -> str:
+        """A layout table, mostly without names: cells of links beside the cell of the article."""
+        plain = lambda inner: f'<td data-y="0"{self.attrs("nav") if self.r.random() < 0.3 else ""}>{inner}</td>'
+        menu = lambda: plain(self.r.choice((self.links(self.r.randint(2, 9)), f"<p>{self.words(1, 3)}</p>" + self.links(self.r.randint(2, 6)), self.links(self.r.randint(2, 5)) + self.words(1, 6))))
+        cells = [menu() if self.r.random() < 0.8 else "", f'<td data-y="1">{content}</td>', menu() if self.r.random() < 0.3 else ""]
+        top = f"<tr>{plain(self.words(1, 6))}</tr>" if self.r.random() < 0.3 else ""
+        foot = f"<tr>{plain(self.r.choice(('&copy; ', '')) + self.words(2, 8))}</tr>" if self.r.random() < 0.3 else ""
+        return f'<table data-y="0"{self.r.choice(("", " width=100%", " border=0"))}>{top}<tr>{"".join(cells)}</tr>{foot}</table>'
+
     def ad(self) -> str:
         tag = self.r.choice(("div", "div", "aside", "section", "p", "p"))
         inner = self.inline(self.words(2, 25)) if tag == "p" or self.r.random() < 0.6 else self.paragraph()
@@ -141,21 +158,24 @@ class _Maker:
         nav = lambda: (lambda t: f"<{t}{self.attrs('nav', 0) if t == 'nav' else f' data-y={chr(34)}0{chr(34)} class={chr(34)}' + r.choice(NAMES['nav']) + chr(34)}>{self.links(r.randint(2, 9))}</{t}>")(r.choice(("nav", "nav", "div", "menu")))
         header = lambda: (lambda t: f"<{t} data-y=\"0\"{'' if t == 'header' else f' class={chr(34)}' + r.choice(NAMES['head']) + chr(34)}>{maybe(0.6, lambda: f'<h1>{self.words(1, 4)}</h1>')}<p>{self.words(1, 12)}</p>{maybe(0.5, nav)}</{t}>")(r.choice(("header", "header", "div")))
         footer = lambda: (lambda t: f"<{t} data-y=\"0\"{'' if t == 'footer' else f' class={chr(34)}' + r.choice(NAMES['foot']) + chr(34)}>{r.choice(('&copy; ', '', '<p>'))}{self.words(2, 25)}{maybe(0.4, lambda: self.links(4))}")(r.choice(("footer", "footer", "footer", "div")))
-        frame = r.choice(("article", "article", "article", "main", "div", "section", "main article", "div div", ""))
+        frame = r.choice(("article", "article", "article", "main", "div", "section", "main article", "div div", "", "body", "body", "table"))
         tags = frame.split()
         opened = "".join(f"<{t}{self.attrs('content', 1) if t in ('div', 'section') or r.random() < 0.2 else ' data-y=' + chr(34) + '1' + chr(34)}>" for t in tags)
-        body = self.article()
+        body = self.bare() if r.random() < (0.35 if frame in ("body", "div", "", "table") else 0.05) else self.article()
+        if frame == "body" and r.random() < 0.35:  # the article is all there is
+            return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body data-y=\"1\">{body}</body></html>"
         late = maybe(0.25, self.comments)
-        if not tags:
-            opened, body = "<div data-y=\"1\">", body
-            tags = ["div"]
+        if frame in ("body", "table"):
+            tags, opened, body = [], "", self.table(body) if frame == "table" else body
+        if not tags and not frame:
+            opened, tags = "<div data-y=\"1\">", ["div"]
         inside = r.random() < 0.3
         content = opened + body + (late if inside else "") + "".join(f"</{t}>" for t in reversed(tags))
         parts = [maybe(0.5, header), maybe(0.7, nav), maybe(0.5, self.ad), maybe(0.2, self.notice), maybe(0.2, self.sidebar), content, "" if inside else late, maybe(0.3, self.related), maybe(0.3, self.sidebar), maybe(0.2, self.form), maybe(0.2, self.ad), maybe(0.15, self.notice), maybe(0.25, self.named_block)]
-        if r.random() < 0.2:
+        if r.random() < 0.2 and frame != "body":
             parts = ["<div data-y=\"0\"" + r.choice((" id=\"wrapper\"", " class=\"container\"", "")) + ">", *parts, "</div>"]
-        return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body data-y=\"0\">{''.join(parts)}{maybe(0.8, footer)}</body></html>"
+        return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body data-y=\"{int(frame == 'body')}\">{''.join(parts)}{maybe(0.8, footer)}</body></html>"
 
 
-def labelled_pages(n: int = 1000, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 1400, seed: int = 11) -> list[str]:
     return [_Maker(seed * 1_000_003 + i).page() for i in range(n)]
