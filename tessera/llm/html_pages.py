@@ -97,7 +97,7 @@ class _Maker:
         out = [f"<h1>{self.words(2, 10)}</h1>"] if self.r.random() < 0.5 else []
         for _ in range(max(1, int(self.r.lognormvariate(1.1, 0.7)))):
             x = self.r.random()
-            out.append(self.inline(self.words(4, 60)) + self.r.choice(("<br>", "<br><br>", "<br/>\n<br/>", "<hr>")) if x < 0.75 else self.paragraph() if x < 0.85 else f"<pre>{self.words(3, 40)}</pre>" if x < 0.9 else self.r.choice((self.share, self.ad, self.related))())
+            out.append(self.inline(self.words(4, 60)) + self.r.choice(("<br>", "<br><br>", "<br/>\n<br/>", "<br>\n")) if x < 0.75 else self.paragraph() if x < 0.85 else f"<pre>{self.words(3, 40)}</pre>" if x < 0.9 else self.r.choice((self.share, self.ad, self.related))())
         return "".join(out)
 
     def table(self, content: str) -> str:
