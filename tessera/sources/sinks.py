@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,32 @@ def save_index(postings: DataFrame, idf: DataFrame, path: str) -> None:
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/idf")
+
+
+def save_bucketed(df: DataFrame, path: str, by: str, buckets: int) -> None:
+    """Parquet below a path, dealt to buckets by the hash of `by` and sorted in each, so that joins on `by` need not move it. What is there already is an error."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", f"{path}/rows").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files have a path of their own
+    # Written last: a folder without it is of a run that broke off.
+    spark.sql(f"SELECT '{by}' AS by, {int(buckets)} AS buckets").coalesce(1).write.json(f"{path}/about")
+
+
+def open_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """What save_bucketed() wrote, in any session, known to Spark as bucketed: a table of a new name over the same files."""
+    about = spark.read.schema("by string, buckets int").json(f"{path}/about").first()
+    name = f"bucketed_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/rows").schema.fields)
+    location = f"{path}/rows".replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{about['by']}`) SORTED BY (`{about['by']}`) INTO {about['buckets']} BUCKETS LOCATION '{location}'")
+    return spark.table(name)
+
+
+def save_search_index(postings: DataFrame, idf: DataFrame, path: str, buckets: int = 64) -> None:
+    """A retrieval index for lookups of new queries: postings and idf bucketed by gram."""
+    save_bucketed(postings, f"{path}/postings", "gram", buckets)
+    save_bucketed(idf, f"{path}/idf", "gram", buckets)
+
+
+def open_search_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return open_bucketed(spark, f"{path}/postings"), open_bucketed(spark, f"{path}/idf")

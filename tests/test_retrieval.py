@@ -72,3 +72,28 @@ def test_no_queries_and_no_texts(spark, corpus):
     none = postings.where("id < 0")
     assert retrieval.bounded_knn(none, retrieval.build_index(postings)).count() == 0
     assert retrieval.bounded_knn(postings, retrieval.build_index(none)).count() == 0
+
+
+def test_a_stored_index_is_not_moved(spark, corpus, tmp_path):
+    """Lookups of a new batch of queries exchange the queries alone; the index is read in its buckets."""
+    from tessera.sources import sinks
+
+    postings, keys = corpus
+    frame = spark.createDataFrame(texts(), "id long, text string")
+    _, idf = grams.tfidf_index(grams.gram_counts(frame, "id", "text"), frame.agg(F.count("*").alias("n")))
+    path = str(tmp_path / "an index")
+    sinks.save_search_index(postings, idf, path, 6)
+    held, held_idf = sinks.open_search_index(spark, path)
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, postings.collect())) and held_idf.count() == idf.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        queries = postings.where("id % 9 = 0").select("gram", F.col("id").alias("q"), F.col("weight").alias("qw"))
+        plan = queries.join(held, "gram")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "Bucketed: true" in line)
+    assert "SelectedBucketsCount: 6 out of 6" in scan
+    assert plan.count("Exchange hashpartitioning") == 1  # of the queries
+    assert rows_of(grams.knn(postings.where("id % 9 = 0"), held, 4, same=keys)) == rows_of(grams.knn(postings.where("id % 9 = 0"), postings, 4, same=keys))
+    with pytest.raises(Exception, match="exist"):
+        sinks.save_search_index(postings, idf, path, 6)
