@@ -171,7 +171,7 @@ def graph_encoder(features: np.ndarray, src: np.ndarray, dst: np.ndarray, layers
 def encode_graphs(nodes: DataFrame, edges: DataFrame, layers: list[Layer]) -> DataFrame:
     """(graph_id, vector): graph_encoder() of each graph, which a task holds whole. nodes: graph_id, node (long), x (array); edges: graph_id, src, dst.
 
-    Grouped by graph, so a graph has to fit a task; for larger ones take neighbour_mean() a layer at a time.
+    Grouped by graph, so a graph has to fit a task; for larger ones take graphs.encode_large_graphs().
     """
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +179,7 @@ def encode_graphs(nodes: DataFrame, edges: DataFrame, layers: list[Layer]) -> Da
         place = {n: i for i, n in enumerate(left["node"])}
         known = right[right["src"].isin(place) & right["dst"].isin(place)]
         vector = graph_encoder(np.stack(left["x"].to_numpy()), known["src"].map(place).to_numpy(np.int64), known["dst"].map(place).to_numpy(np.int64), layers) if len(left) else np.zeros(0)
-        return pd.DataFrame({"graph_id": [key[0]], "vector": [vector.tolist()]}) if len(left) else pd.DataFrame({"graph_id": [], "vector": []})
+        return pd.DataFrame({"graph_id": [key[0]], "vector": [vector.tolist()]}) if len(left) else pd.DataFrame({"graph_id": [], "vector": []}, dtype=object)
 
     kind = f"graph_id {nodes.schema['graph_id'].dataType.simpleString()}, vector array<double>"
     return nodes.groupBy("graph_id").cogroup(edges.groupBy("graph_id")).applyInPandas(run, kind)

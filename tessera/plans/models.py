@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import evidential
-from tessera.operators import splits, training
+from tessera.operators import graphs, splits, training
 from tessera.plans.catalog import register
+from tessera.plans.corpus import _HITS, _hits
 
 #: A linear model, which starts at zero.
 SETTINGS = training.Settings(epochs=8, rate=0.02, decay=0.01, warmup=4, class_weights=(1.0, 1.5))
@@ -83,3 +84,32 @@ def n8_fitted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted, rows, valid = _fitted(spark, sf_dir)
     both = rows.withColumn("split", F.lit("train")).unionByName(valid.withColumn("split", F.lit("val")))
     return evidential.score_batches(both, evidential.mlp(fitted.layers)).select("id", "split", F.round("prediction.p_toxic", 6).alias("p_toxic"), F.round("prediction.uncertainty", 6).alias("uncertainty"))
+
+
+# --- graphs --------------------------------------------------------------------------------------------------------
+
+
+def _graph_layers() -> list[evidential.Layer]:
+    r = np.random.default_rng(5)
+    return [(np.round(r.normal(size=(_FEATURES, 4)), 4), np.round(r.normal(size=4), 4)), (np.round(r.normal(size=(4, 3)), 4), np.round(r.normal(size=3), 4))]
+
+
+def _graph_sql() -> str:
+    """Each layer: features times weights, averaged over the incoming neighbours, the bias, and ReLU."""
+    (w1, b1), (w2, b2) = _graph_layers()
+    n = lambda v: f"{float(v)!r}::DOUBLE"
+    first = ", ".join(" + ".join(f"embedding[{i + 1}]::DOUBLE * {n(w1[i, j])}" for i in range(_FEATURES)) + f" AS p{j}" for j in range(4))
+    mean = lambda table, columns, biases: f"SELECT v.vec_id, {', '.join(f'greatest(0, coalesce(m{j}, 0) + {n(b)}) AS h{j}' for j, b in enumerate(biases))} FROM embeddings v LEFT JOIN (SELECT h.query, {', '.join(f'avg(p{j}) AS m{j}' for j in range(columns))} FROM h JOIN {table} p ON p.vec_id = h.neighbour GROUP BY h.query) g ON g.query = v.vec_id"
+    second = ", ".join(" + ".join(f"h{i} * {n(w2[i, j])}" for i in range(4)) + f" AS p{j}" for j in range(3))
+    return f"""WITH {_HITS}, p1 AS (SELECT vec_id, {first} FROM embeddings), h1 AS ({mean("p1", 4, b1)}), p2 AS (SELECT vec_id, {second} FROM h1), h2 AS ({mean("p2", 3, b2)})
+SELECT 0 AS graph_id, j, round(CASE j WHEN 0 THEN avg(h0) WHEN 1 THEN avg(h1) ELSE avg(h2) END, 7) AS x FROM h2, (SELECT unnest([0, 1, 2]) AS j) GROUP BY j"""
+
+
+@register("n6_graph_vectors", _graph_sql())
+def n6_graph_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of nearest neighbours of the embeddings, encoded by two layers."""
+    hits, _ = _hits(spark, sf_dir)
+    edges = hits.select(F.lit(0).alias("graph_id"), F.col("neighbour").alias("src"), F.col("query").alias("dst"))
+    nodes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.lit(0).alias("graph_id"), F.col("vec_id").alias("node"), F.col("embedding").alias("x"))
+    found = graphs.encode_large_graphs(nodes, edges, _graph_layers())
+    return found.select("graph_id", F.posexplode("vector").alias("j", "x")).withColumn("x", F.round("x", 7))
