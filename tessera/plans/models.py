@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import evidential
+from tessera.functions import attention, evidential
 from tessera.operators import graphs, splits, training
 from tessera.plans.catalog import register
 from tessera.plans.corpus import _HITS, _hits
@@ -113,3 +113,34 @@ def n6_graph_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.lit(0).alias("graph_id"), F.col("vec_id").alias("node"), F.col("embedding").alias("x"))
     found = graphs.encode_large_graphs(nodes, edges, _graph_layers())
     return found.select("graph_id", F.posexplode("vector").alias("j", "x")).withColumn("x", F.round("x", 7))
+
+
+# --- three-way attention -------------------------------------------------------------------------------------------
+
+_PLACES = 12  # of each of three parts of an embedding
+
+
+def _three_way() -> attention.ThreeWay:
+    r = np.random.default_rng(8)
+    net = lambda: [(np.round(r.normal(size=(1, 4)), 3), np.round(r.uniform(0, 1, 4), 3))]
+    return attention.ThreeWay((net(), net(), net()), np.round(r.normal(size=(2, 4)), 3), 2, np.array([1.5, 0.5]), np.array([0.1, -0.2]))
+
+
+def _three_way_sql() -> str:
+    """Every triple of places with its scores, softmax by head, and the weighed products."""
+    m = _three_way()
+    n = lambda v: f"{float(v)!r}::DOUBLE"
+    part = lambda p: f"SELECT vec_id, {', '.join(f'greatest(0, v * {n(w)} + {n(b)}) AS {chr(120 + p)}{k}' for k, (w, b) in enumerate(zip(m.nets[p][0][0][0], m.nets[p][0][1], strict=True)))} FROM (SELECT vec_id, unnest(embedding[{p * _PLACES + 1}:{(p + 1) * _PLACES}])::DOUBLE AS v FROM embeddings)"
+    scores = ", ".join(" + ".join(f"{n(w[k])} * t{k}" for k in range(4)) + f" AS s{h}" for h, w in enumerate(m.heads))
+    weighed = ", ".join("sum(t{0} * e0) / sum(e0) + sum(t{0} * e1) / sum(e1) AS o{0}".format(k) for k in range(4))
+    return f"""WITH x AS ({part(0)}), y AS ({part(1)}), z AS ({part(2)}), t AS (SELECT x.vec_id, {', '.join(f'x{k} * y{k} * z{k} AS t{k}' for k in range(4))} FROM x JOIN y USING (vec_id) JOIN z USING (vec_id)),
+s AS (SELECT *, {scores} FROM t), e AS (SELECT *, exp(s0 - max(s0) OVER (PARTITION BY vec_id)) AS e0, exp(s1 - max(s1) OVER (PARTITION BY vec_id)) AS e1 FROM s), o AS (SELECT vec_id, {weighed} FROM e GROUP BY vec_id)
+SELECT vec_id, round((o0 + o1) * {n(m.scale[0])} + {n(m.shift[0])}, 7) AS a, round((o2 + o3) * {n(m.scale[1])} + {n(m.shift[1])}, 7) AS b FROM o"""
+
+
+@register("n5_three_way_attention", _three_way_sql())
+def n5_three_way_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parts of each embedding, attended together by two heads."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *[F.slice("embedding", p * _PLACES + 1, _PLACES).alias(c) for p, c in enumerate("xyz")])
+    got = attention.attend_batches(e, ("x", "y", "z"), _three_way())
+    return got.select("vec_id", F.round(F.get("attended", F.lit(0)), 7).alias("a"), F.round(F.get("attended", F.lit(1)), 7).alias("b"))
