@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 3, held: int =
     """Fit on rows outside the held-out fold (crc32 of the id modulo `fold` is `held`; None: on all rows).
 
     P: rows labelled toxic. U: rows of the fold whatever their label, so that the prior holds for them; of both the
-    `positives` and `unlabelled` rows of smallest hash of id. prior: share of toxic rows; None: their share of the labelled
+    `positives` and `unlabelled` rows of smallest hash of id and, where ids repeat, of text. prior: share of toxic rows; None: their share of the labelled
     rows of the fold, which should be a fair sample. Very long texts are read whole; their features, a few a different word, are held one text at a time.
     Features come to the driver only as counts and, at most SELECTED a row, as selected.
     """
@@ -206,11 +206,13 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 3, held: int =
         prior = (k + 0.5) / (n + 5) if n else 0.1
     order = F.xxhash64("id"), F.col("id")
     chosen = marks.where("toxic = 1").orderBy(*order).limit(positives)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(outside)
-    # The samples are cut by id before any text moves; both are bounded.
-    ids = texts.select("id").where("id IS NOT NULL").orderBy(*order).limit(unlabelled)
-    sample = chosen.select("id", F.lit(1).alias("toxic")).unionByName(ids.distinct().select("id", F.lit(0).alias("toxic")))
-    rows = texts.join(F.broadcast(sample), "id").select("toxic", "text").mapInArrow(tidied(_features_arrow), "toxic int, digest binary, features array<int>")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(outside).withColumn("mark", F.xxhash64("text"))
+    # The samples are cut before any text moves, by id and hash of the text, as an id may stand for any number of rows; both are bounded.
+    held = texts.select("id", "mark").where("id IS NOT NULL")
+    ids = held.orderBy(*order, "mark").limit(unlabelled).distinct()
+    toxic = held.join(F.broadcast(chosen.select("id")), "id").distinct().orderBy(*order, "mark").limit(positives)
+    sample = toxic.select("id", "mark", F.lit(1).alias("toxic")).unionByName(ids.select("id", "mark", F.lit(0).alias("toxic")))
+    rows = texts.join(F.broadcast(sample), ["id", "mark"]).select("toxic", "text").mapInArrow(tidied(_features_arrow), "toxic int, digest binary, features array<int>")
     rows = materialize(rows.dropDuplicates(["toxic", "digest"]), "toxicity-sample")  # copies of a text count once
     n = dict.fromkeys((0, 1), 0) | {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n[0] or not n[1]:
@@ -247,7 +249,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     """One row per document: id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
     Only the text enters a score; labels, ids and other columns do not. Null and empty texts get the score of a
-    text without words. Repeated ids keep their rows. Without toxic labels all rows get the same low score.
+    text without words. Repeated ids keep their rows, and count in the bounds of the samples as the rows they are. Without toxic labels all rows
+    get the same low score. An empty table gives no rows. Very long texts are read whole, one at a time. Other columns are not read, whatever their names.
     Options: those of train().
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
