@@ -315,7 +315,7 @@ def _in_blocks(placed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
     return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("own"), "node", "comp")
 
 
-def drop_near_copies(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """One row of each component, with all its columns: the one of the smallest id, nulls last, whatever ids repeat or are null.
 
     Rows are told apart by a number given in a first pass, which writes them down; of rows with the same id one
@@ -324,7 +324,7 @@ def drop_near_copies(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     whole_id(docs, id_col)
     held = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
     source = held.select("key", F.col(f"row.`{id_col}`").cast("long").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
-    gone = materialize(_grouped(source, percent, shingle, bands, rows).where("key <> keeper").select("key"), "gone")
+    gone = materialize(_grouped(source, percent, shingle, bands, rows, margin).where("key <> keeper").select("key"), "gone")
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return held.join(F.broadcast(gone) if small else gone, "key", "left_anti").select("row.*")
 
