@@ -12,6 +12,7 @@ from tessera.plans.corpus import table
 from tessera.plans.literature import literature_run
 from tessera.sources import papers, records, sinks
 from tessera.sources.scratch import scratch_path
+from tessera.streaming import latest
 
 _LETTERS = "ACDEFGHIKL"  # for the digits of a key
 
@@ -247,3 +248,14 @@ def r5_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.splits import sample_rows
 
     return sample_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, 5)
+
+
+@register("s12_latest_stream", "SELECT user_id, event_id, ts, event_type FROM (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def s12_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, kept by a stream over the table's files, which is run twice."""
+    out, checkpoint = scratch_path(spark, "latest"), scratch_path(spark, "checkpoint")
+    at = f"{sf_dir}/{{events}}.parquet"  # a glob, as the table may be a file or a folder
+    for _ in range(2):
+        events = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at).select("user_id", "ts", "event_id", "event_type")
+        latest.keep_latest(events, "user_id", ["ts", "event_id"], out, checkpoint)
+    return latest.read_latest(spark.read.parquet(out), "user_id")
