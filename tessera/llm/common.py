@@ -135,3 +135,20 @@ def lookup_skewed(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     hot = rows.join(F.broadcast(heavy), key)
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")
     return hot.unionByName(rest)
+
+
+def heavy_keys(rows: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """Keys (key, pieces) of more than total / HEAVY_SHARE rows and more than `most`: HEAVY_SHARE at most, each to be cut into that many pieces."""
+    limit = max(most, rows.count() // HEAVY_SHARE)
+    counts = rows.groupBy(key).agg(F.count("*").alias("pieces")).where(F.col("pieces") > limit)
+    return materialize(counts.select(key, F.ceil(F.col("pieces") / limit).cast("int").alias("pieces")), "heavy")
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """Inner join of rows to a table of one row a key. Rows of heavy keys are dealt into pieces by their hash, and the key's row is copied to each."""
+    if heavy.isEmpty():
+        return rows.join(table, key)
+    pieces = F.coalesce("pieces", F.lit(1))
+    cut = rows.join(F.broadcast(heavy), key, "left").withColumn("piece", F.pmod(F.xxhash64(*rows.columns), pieces).cast("int")).drop("pieces")
+    copied = table.join(F.broadcast(heavy), key, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+    return cut.join(copied, [key, "piece"]).drop("piece")

@@ -9,7 +9,7 @@ Documents with the same set become one node at once. Nodes that share a band sha
 pairs: first each node is compared with the smallest centre of its buckets, then, where components still differ,
 with the centres of all its buckets. Both steps verify pairs on both full sets, after sizes and very unlike sketches
 have ruled pairs out. Last, in buckets that still hold several components, members are dealt into blocks, those of large buckets by
-set size first, and each two blocks whose sizes allow a link meet in one task, where intersections of all full sets come from
+set size and component first, and each two blocks whose sizes allow a link and that are not of one component meet in one task, where intersections of all full sets come from
 one matrix product over the shingles that occur twice there; only links that join components leave the task. Links are contracted
 to components after each step.
 """
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, lookup, lookup_skewed, materialize, partitions, small_batches, tidied, whole_id
+from tessera.llm.common import BROADCAST_ROWS, heavy_keys, join_heavy, lookup, lookup_skewed, materialize, partitions, small_batches, tidied, whole_id
 
 #: At similarity 0.85 a pair shares no band of 25 with probability 4e-7; at 0.8, 5e-5 (use more bands).
 BANDS, ROWS = 25, 5
@@ -201,13 +201,14 @@ def components(edges: DataFrame) -> DataFrame:
     round. Each round is written to the shared folder. Edges are distributed throughout.
     """
     edges = materialize(edges.where("a <> b").distinct(), "edges")
+    heavy = {side: heavy_keys(edges, side) for side in ("a", "b")}
     labels = materialize(edges.select(F.col("a").alias("node"), "b").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("b"))).groupBy("node").agg(F.least(F.min("node"), F.min("b")).alias("comp")), "labels")
     while True:
         of = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
-        between = edges.join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
+        between = join_heavy(join_heavy(edges, of("a"), "a", heavy["a"]), of("b"), "b", heavy["b"]).where("ca <> cb")
         hooks = between.groupBy(F.greatest("ca", "cb").alias("comp")).agg(F.min(F.least("ca", "cb")).alias("to"))
         hooks = materialize(hooks, "hooks")
-        jumped = labels.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+        jumped = _by_comp(labels, labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))).select("node", F.coalesce("root", "comp").alias("comp"))
         if hooks.limit(1).count() == 0:
             settled = jumped.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count() == 0
             if settled:
@@ -216,7 +217,13 @@ def components(edges: DataFrame) -> DataFrame:
             continue
         once = hooks.select(F.col("comp").alias("to"), F.col("to").alias("then"))
         hooks = hooks.join(once, "to", "left").select("comp", F.coalesce("then", "to").alias("to"))
-        labels = materialize(lookup(jumped, hooks, ["comp"]).select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+        labels = materialize(_by_comp(jumped, hooks).select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+
+
+def _by_comp(labels: DataFrame, table: DataFrame) -> DataFrame:
+    """Labels with the row that table (one a comp) has for their component; a component may hold much of all nodes."""
+    sizes = labels.groupBy("comp").agg(F.count("*").alias("nodes"))
+    return lookup_skewed(labels, sizes.join(table, "comp"), "comp", "nodes", labels.count()).drop("nodes")
 
 
 def near_groups(
@@ -263,10 +270,12 @@ def _grouped(source: DataFrame, percent: int, shingle: int, bands: int, rows: in
     least = max(0.0, percent / 100 - margin)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(shorts.withColumnsRenamed({"node": "a", "short": "short_a"}), "a").join(shorts.withColumnsRenamed({"node": "b", "short": "short_b"}), "b")
-        pairs = pairs.mapInArrow(tidied(lambda it: _alike(it, least)), "a binary, b binary")
         pairs = materialize(pairs, "pairs")
-        pairs = pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "set_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "elements": "set_b"}), "b")
+        heavy = heavy_keys(pairs, "b")  # a centre may stand in a large share of the pairs
+        pairs = join_heavy(pairs.join(shorts.withColumnsRenamed({"node": "a", "short": "short_a"}), "a"), shorts.withColumnsRenamed({"node": "b", "short": "short_b"}), "b", heavy)
+        pairs = pairs.mapInArrow(tidied(lambda it: _alike(it, least)), "a binary, b binary")
+        pairs = materialize(pairs, "like-pairs")
+        pairs = join_heavy(pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "set_a"}), "a"), sets.withColumnsRenamed({"node": "b", "elements": "set_b"}), "b", heavy)
         return pairs.mapInArrow(tidied(lambda it: _linked(it, percent)), "a binary, b binary")
 
     # 1: a pair for each node, with the smallest centre of its buckets.
@@ -288,8 +297,8 @@ def _grouped(source: DataFrame, percent: int, shingle: int, bands: int, rows: in
     labels = _contract(labels, blocks.mapInArrow(tidied(lambda it: _block_links(it, percent)), "a binary, b binary"))
 
     firsts = nodes.select("node", "first.*", "copies").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least_row = firsts.groupBy("comp").agg(F.min(F.struct("unnamed", "id", "node", "key")).alias("least"))
-    groups = firsts.join(least_row, "comp").select("node", "copies", F.col("least.id").alias("component_id"), F.col("least.key").alias("keeper"))
+    least_row = firsts.groupBy("comp").agg(F.min(F.struct("unnamed", "id", "node", "key")).alias("least"), F.count("*").alias("nodes"))
+    groups = lookup_skewed(firsts, least_row, "comp", "nodes", firsts.count()).select("node", "copies", F.col("least.id").alias("component_id"), F.col("least.key").alias("keeper"))
     docs_of = described.select("key", "id", "node", "n")
     full = lookup_skewed(docs_of.where("node IS NOT NULL"), groups, "node", "copies", docs_of.count()).select("key", "id", "n", "component_id", "keeper")
     return full.unionByName(docs_of.where("node IS NULL").select("key", "id", "n", F.col("id").alias("component_id"), F.col("key").alias("keeper")))
@@ -299,20 +308,30 @@ def _in_blocks(placed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
     """Members (bucket, size, node, n, comp) to rows (bucket, i, j, own, node, comp): a member's own block is i or j, and blocks i and j are to be compared.
 
     Of a bucket of more than `block` members the blocks are of one class of set sizes each. Classes are wide enough that sets in classes not next
-    to one another cannot be linked, whatever they hold.
+    to one another cannot be linked, whatever they hold. A component with `block` members or more in a class has blocks of its own, which
+    do not meet one another: members that are linked already are copied only for the blocks of others.
     """
     width = 1.001 * math.log(100 / percent) if percent < 100 else 1e-9
     rows = placed.withColumn("class", F.when(F.col("size") > block, F.floor(F.log("n") / width)).otherwise(F.lit(0)).cast("long"))
-    of_class = rows.groupBy("bucket", "class").agg(F.count("*").alias("held")).withColumn("here", F.ceil(F.col("held") / block).cast("int"))
-    next_to = lambda step, name: of_class.select("bucket", (F.col("class") - step).alias("class"), F.col("here").alias(name))
-    of_class = of_class.join(next_to(1, "above"), ["bucket", "class"], "left").join(next_to(-1, "below"), ["bucket", "class"], "left")
-    of_class = materialize(of_class.select(F.struct("bucket", "class").alias("of"), "held", "here", "above", "below"), "classes")
-    rows = lookup_skewed(rows.withColumn("of", F.struct("bucket", "class")), of_class, "of", "held", rows.count())
-    blocks = lambda step, count: F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda k: F.struct((F.col("class") + step).alias("class"), k.cast("long").alias("part"))))
-    others = F.concat(blocks(0, "here"), *(F.coalesce(blocks(step, count), F.array().cast("array<struct<class:bigint,part:bigint>>")) for step, count in ((-1, "below"), (1, "above"))))
-    own = F.struct("class", F.pmod(F.xxhash64("node", "bucket"), F.col("here")).alias("part"))
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
-    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("own"), "node", "comp")
+    shared = F.lit("").cast("binary")
+    held = rows.groupBy("bucket", "class", "comp").agg(F.count("*").alias("held")).withColumn("owner", F.when(F.col("held") >= block, F.col("comp")).otherwise(shared))
+    groups = held.groupBy("bucket", "class", "owner").agg(F.sum("held").alias("held")).withColumn("parts", F.ceil(F.col("held") / block).cast("int"))
+    groups = materialize(groups, "block-groups")
+
+    facing = groups.select("bucket", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("class_b"), F.col("owner").alias("owner_b"), F.col("parts").alias("parts_b"))
+    facing = groups.join(facing, ["bucket", "class"]).where((F.col("owner") == shared) | (F.col("owner") != F.col("owner_b")))
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    facing = facing.withColumn("part", each("parts")).withColumn("part_b", each("parts_b"))
+    facing = facing.select("bucket", F.struct("class", "owner", "part").alias("block"), F.struct(F.col("class_b").alias("class"), F.col("owner_b").alias("owner"), F.col("part_b").alias("part")).alias("other"))
+
+    total = rows.count()
+    owned = groups.where(F.col("owner") != shared).select(F.struct("bucket", "class", F.col("owner").alias("comp")).alias("of"), "owner", "parts", "held")
+    mixed = groups.where(F.col("owner") == shared).select(F.struct("bucket", "class").alias("of"), F.col("parts").alias("shared_parts"), F.col("held").alias("shared_held"))
+    rows = lookup_skewed(rows.withColumn("of", F.struct("bucket", "class", "comp")), owned, "of", "held", total).drop("held")
+    rows = lookup_skewed(rows.withColumn("of", F.struct("bucket", "class")), mixed, "of", "shared_held", total)
+    part = F.pmod(F.xxhash64("node", "bucket"), F.coalesce("parts", "shared_parts")).cast("int")
+    rows = rows.select("bucket", F.struct("class", F.coalesce("owner", shared).alias("owner"), part.alias("part")).alias("block"), "node", "comp").join(facing, ["bucket", "block"])
+    return rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("own"), "node", "comp")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
@@ -340,7 +359,7 @@ def _contract(labels: DataFrame, edges: DataFrame) -> DataFrame:
     of = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
     joined = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     more = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-    old = labels.join(more, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    old = _by_comp(labels, more).select("node", F.coalesce("root", "comp").alias("comp"))
     new = more.select(F.col("comp").alias("node"), F.col("root").alias("comp")).join(labels.select("node"), "node", "left_anti")
     return materialize(old.unionByName(new), "labels")
 

@@ -48,3 +48,16 @@ def test_batches_and_ids(spark):
     with pytest.raises(TypeError, match="whole numbers"):
         common.whole_id(spark.createDataFrame([("x",)], "doc_id string"), "doc_id")
     assert spark.range(3).select(common.whole_id(spark.range(3), "id")).count() == 3
+
+
+def test_heavy_keys_are_cut(spark):
+    """A key with most of the rows is dealt over pieces; the join gives the rows of a plain one."""
+    from tessera.llm.common import heavy_keys, join_heavy
+
+    rows = spark.range(1_000).selectExpr("id AS a", "CASE WHEN id % 10 < 7 THEN 0 ELSE id % 50 END AS b")
+    table = spark.range(40).selectExpr("id AS b", "id * 2 AS v")
+    heavy = heavy_keys(rows, "b", 100)
+    assert {(r.b, r.pieces) for r in heavy.collect()} == {(0, 7)}
+    assert sorted(map(tuple, join_heavy(rows, table, "b", heavy).collect())) == sorted(map(tuple, rows.join(table, "b").collect()))
+    none = heavy_keys(rows, "b")
+    assert none.isEmpty() and join_heavy(rows, table, "b", none).count() == rows.join(table, "b").count()

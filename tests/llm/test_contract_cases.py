@@ -235,6 +235,28 @@ def test_large_buckets_by_size_classes(spark):
     assert met[frozenset((b"n0", b"n1"))] in (0, 1) and sum(met.values()) < 300 * 299 / 2 and all(met[frozenset((f"m{a}".encode(), f"m{b}".encode()))] == 1 for a in range(3) for b in range(a))
 
 
+def test_a_stray_in_a_large_bucket_costs_the_bucket_once(spark):
+    """Members of one component meet no other of its blocks; strays meet every member whose size allows a link, and one another."""
+    from tessera.llm.near_dedup import _in_blocks
+
+    members = [(1, 2_003, f"n{k}".encode(), 100, b"one") for k in range(1_500)] + [(1, 2_003, f"m{k}".encode(), 100, b"two") for k in range(500)] + [(1, 2_003, f"s{k}".encode(), 100, f"s{k}".encode()) for k in range(3)]
+    rows = _in_blocks(spark.createDataFrame(members, "bucket long, size long, node binary, n long, comp binary"), 85, block=100).collect()
+    comp = {bytes(node): c for _, _, node, _, c in members}
+    groups = defaultdict(list)
+    for x in rows:
+        groups[(tuple(x.i), tuple(x.j))].append(x)
+    met = Counter()
+    for (i, j), g in groups.items():
+        for a in range(len(g)):
+            for b in range(a):
+                if (i == j or g[a].own != g[b].own) and comp[bytes(g[a].node)] != comp[bytes(g[b].node)]:
+                    met[frozenset((bytes(g[a].node), bytes(g[b].node)))] += 1
+    assert set(met.values()) == {1} and len(met) == 1_500 * 500 + 2_000 * 3 + 3
+    assert len(rows) == 1_500 * (5 + 1) + 500 * (15 + 1) + 3 * (15 + 5 + 1)
+    stray = [m for m in members if m[4] != b"two"][:1_501]
+    assert len(_in_blocks(spark.createDataFrame(stray, "bucket long, size long, node binary, n long, comp binary"), 85, block=100).collect()) == 1_500 + 15 + 1
+
+
 def test_sketch_fills_and_estimates():
     import numpy as np
 
