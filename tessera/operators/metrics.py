@@ -1,6 +1,7 @@
 """Binary classification metrics from (label, score) rows, for one model or many at once.
 
-Ranks and running sums run over distinct scores, pre-aggregated and partitioned by the group columns, not over rows.
+Ranks and running sums run over distinct scores, pre-aggregated and sorted in ranges by group and score, not over rows; the functions that
+need them write a scratch table when they are called.
 """
 
 from __future__ import annotations
@@ -17,12 +18,8 @@ def _by_score(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame
 
 
 def _from_above(s: DataFrame, by: list[str]) -> DataFrame:
-    """Adds tp and fp (p and n of this score and all above), and pos and neg of the group. Without groups the scores are summed in ranges, not in one task."""
-    if by:
-        down, whole = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
-        return s.select("*", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
-    summed = running_sums(s, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")})
-    return summed.crossJoin(F.broadcast(summed.agg(F.max("tp").alias("pos"), F.max("fp").alias("neg"))))
+    """Adds tp and fp (p and n of this score and all above), and pos and neg of the group. Scores are summed in ranges, those of one group too; writes them down when called."""
+    return running_sums(s, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")}, by, {"pos": "tp", "neg": "fp"})
 
 
 def ranking_metrics(df: DataFrame, by: list[str] | None = None, score: str = "score", label: str = "label") -> DataFrame:

@@ -9,22 +9,33 @@ from pyspark.sql import functions as F
 from tessera.sources.scratch import scratch_path
 
 
-def running_sums(df: DataFrame, order: list[str | Column], sums: dict[str, Column]) -> DataFrame:
+def running_sums(df: DataFrame, order: list[str | Column], sums: dict[str, Column], by: list[str] | None = None, whole: dict[str, str] | None = None) -> DataFrame:
     """df with columns of sums up to and with each row in the given order, which should be a total one.
 
-    Rows are sorted in ranges, written down (so that the ranges stay what they are), summed within each, and what earlier ranges hold, a row a range, is added.
+    by: sums start anew in each group of these columns (nulls are a group), which may be of any size. whole: names of further columns, each with
+    the total of one of the sums in its group. Rows are sorted in ranges, written down when this is called (so that the ranges stay what they are),
+    summed within each, and what earlier ranges hold, a row for each range and group, is added.
     """
+    by = by or []
     spark = df.sparkSession
     path = scratch_path(spark, "running")
     named = df.select("*", *[c.alias(f"_{n}") for n, c in sums.items()])
-    named.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")).write.parquet(path)
+    ranged = [*by, *order]
+    named.repartitionByRange(*ranged).sortWithinPartitions(*ranged).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")).write.parquet(path)
     rows = spark.read.parquet(path)
-    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    totals = rows.groupBy("_part").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
-    before = totals.select("_part", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums])
-    within = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(before), "_part")
-    return out.select(*df.columns, *[(F.sum(f"_{n}").over(within) + F.col(f"_before_{n}")).alias(n) for n in sums])
+    group = W.partitionBy(*by)
+    earlier = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy("_part", *by).agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
+    before = totals.select(
+        F.col("_part").alias("_of"), *[F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate(by)],
+        *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums], *[F.sum(f"_{n}").over(group).alias(f"_whole_{w}") for w, n in (whole or {}).items()],
+    )
+    same = F.col("_part") == F.col("_of")
+    for i, c in enumerate(by):
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"_by{i}"))
+    within = W.partitionBy("_part", *by).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(before if by else F.broadcast(before), same)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.sum(f"_{n}").over(within) + F.col(f"_before_{n}")).alias(n) for n in sums], *[F.col(f"_whole_{w}").alias(w) for w in whole or {}])
 
 
 def number_in_order(df: DataFrame, order: list[str | Column], name: str = "number") -> DataFrame:

@@ -156,22 +156,22 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def csv_reader(spark: SparkSession, sep: str = ",") -> DataFrameReader:
-    """Cells in double quotes may hold separators, line ends and, doubled, quotes. A file with such line ends is read by one task."""
-    return spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True)
+def csv_reader(spark: SparkSession, sep: str = ",", multi_line: bool = True) -> DataFrameReader:
+    """Cells in double quotes may hold separators and, doubled, quotes. multi_line: also line ends, and then each file is read by one task; without it large files are cut."""
+    return spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
 
 
-def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """sequence, label (0 or 1, else an error), _order; other columns as text."""
-    raw = require_columns(csv_reader(spark).csv(path), "sequence", "label")
+def read_labelled_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """sequence, label (0 or 1, else an error), _order; other columns as text. multi_line: as for csv_reader()."""
+    raw = require_columns(csv_reader(spark, multi_line=multi_line).csv(path), "sequence", "label")
     label = F.col("label").try_cast("int")
     checked = F.when(label.isin(0, 1), label).otherwise(F.raise_error(F.concat(F.lit("label is not 0 or 1: "), F.coalesce("label", F.lit("null")))).cast("int"))
     return raw.withColumn("label", checked).withColumn("_order", F.monotonically_increasing_id())
 
 
-def read_text_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A CSV or TSV of unknown columns: all text, nothing read as null."""
-    return csv_reader(spark, sep).option("inferSchema", False).option("nullValue", "\0").csv(path)
+def read_text_table(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """A CSV or TSV of unknown columns: all text, nothing read as null. multi_line: as for csv_reader()."""
+    return csv_reader(spark, sep, multi_line).option("inferSchema", False).option("nullValue", "\0").csv(path)
 
 
 def read_alignment(spark: SparkSession, path: str, most: int = 2048, same_width: bool = True) -> DataFrame:
