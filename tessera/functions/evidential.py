@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -121,12 +122,17 @@ def fuse_batches(df: DataFrame, columns: list[str], weights: dict, extra: str |
     return _scored(df, F.struct(*[F.col(c) for c in [*columns, *([extra] if extra else [])]]), predict)
 
 
-def conv_encoder(tokens: np.ndarray, lengths: np.ndarray, embedding: np.ndarray, kernels: list[Layer]) -> np.ndarray:
-    """Features of many sequences: letter numbers (rows, length; 0 pads) embedded, kernels (width, in, out) with ReLU, and the maximum over a row's own places; a part for each kernel."""
+def conv_encoder(tokens: np.ndarray, lengths: np.ndarray, embedding: np.ndarray, kernels: list[Layer], starts: np.ndarray | None = None) -> np.ndarray:
+    """Features of many sequences: letter numbers (rows, length; 0 pads) embedded, kernels (width, in, out) with ReLU, and the maximum over a row's own places; a part for each kernel.
+
+    A row's own places are `lengths` from `starts` (0) on; letters beyond them are seen by the kernels only.
+    """
     x = embedding[tokens]
     x[tokens == 0] = 0
     n, long, _ = x.shape
-    own = np.arange(long)[None, :] < lengths[:, None]
+    first = np.zeros(n, np.int64) if starts is None else starts
+    place = np.arange(long)[None, :]
+    own = (place >= first[:, None]) & (place < (first + lengths)[:, None])
     out = []
     for kernel, bias in kernels:
         before = kernel.shape[0] // 2
@@ -136,20 +142,46 @@ def conv_encoder(tokens: np.ndarray, lengths: np.ndarray, embedding: np.ndarray,
     return np.concatenate(out, axis=1)
 
 
-def encode_batches(df: DataFrame, seq: str, weights: dict, alphabet: str, rows: int = 64) -> DataFrame:
-    """Adds the Dirichlet outputs of the sequence model: letters embedded, convolved, pooled, and the head. weights: embedding, kernels, head. An empty sequence has zeros as features."""
-    number = {a: i + 1 for i, a in enumerate(alphabet)}
+#: Letters of a sequence that are convolved at a time.
+STRETCH = 4_096
+
+
+def encode_batches(df: DataFrame, seq: str, weights: dict, alphabet: str, rows: int = 64, stretch: int = STRETCH) -> DataFrame:
+    """Adds the Dirichlet outputs of the sequence model: letters embedded, convolved, pooled, and the head. weights: embedding, kernels, head. An empty sequence has zeros as features.
+
+    Long sequences are convolved in stretches, which see as many letters beyond their ends as kernels are wide, and the maxima of stretches are pooled: the
+    result is that of the whole, and memory is that of `rows` stretches, whatever the length.
+    """
+    number = {ord(a): i + 1 for i, a in enumerate(alphabet)}
+    codes = np.array(sorted(number), np.uint32)
+    places = np.array([number[c] for c in sorted(number)], np.int64)
+    beyond = max(k.shape[0] for k, _ in weights["kernels"])
+    width = sum(len(b) for _, b in weights["kernels"])
+
+    def letters(text: str | None) -> np.ndarray:
+        c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
+        return np.where(codes[at] == c, places[at], 0)
+
+    def pieces(frame: pd.DataFrame) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(row, own start, own length, letters) of each stretch."""
+        for i, text in enumerate(frame["seq"]):
+            numbers = letters(text)
+            for low in range(0, len(numbers), stretch):
+                high = min(low + stretch, len(numbers))
+                left = max(0, low - beyond)
+                yield i, low - left, high - low, numbers[left : high + beyond]
 
     def predict(frame: pd.DataFrame) -> np.ndarray:
-        out = []
-        for at in range(0, len(frame), rows):
-            texts = [t or "" for t in frame["seq"].iloc[at : at + rows]]
-            tokens = np.zeros((len(texts), max(1, max(map(len, texts)))), np.int64)
-            for i, t in enumerate(texts):
-                tokens[i, : len(t)] = [number.get(a, 0) for a in t]
-            features = conv_encoder(tokens, np.array([len(t) for t in texts]), weights["embedding"], weights["kernels"])
-            out.append(mlp(weights["head"])(np.where(np.isfinite(features), features, 0.0)))
-        return np.concatenate(out)
+        features = np.full((len(frame), width), -np.inf)
+        todo = pieces(frame)
+        while some := list(islice(todo, rows)):
+            row, start, long, numbers = zip(*some, strict=True)
+            tokens = np.zeros((len(some), max(map(len, numbers))), np.int64)
+            for i, n in enumerate(numbers):
+                tokens[i, : len(n)] = n
+            np.maximum.at(features, np.array(row), conv_encoder(tokens, np.array(long), weights["embedding"], weights["kernels"], np.array(start)))
+        return mlp(weights["head"])(np.where(np.isfinite(features), features, 0.0))
 
     return _scored(df, F.struct(F.col(seq).alias("seq")), predict)
 

@@ -23,7 +23,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tessera.plans import clusters, corpus, files, made, models, relational, runs, search, table_functions  # noqa: F401  these register their queries
+    from tessera.plans import clusters, corpus, files, made, models, relational, runs, saved, search, table_functions  # noqa: F401  these register their queries
 
 
 def queries() -> dict[str, Query]:

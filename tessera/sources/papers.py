@@ -10,6 +10,7 @@ import random
 import re
 import tarfile
 import time
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -321,6 +322,10 @@ def page_text(pages: DataFrame, most: int = 25) -> DataFrame:
     return pages.where(F.col("page") < most)
 
 
+#: What is kept of a search's result.
+SEARCH_FIELDS = ["id", "pmcid", "doi", "pmid", "title", "pubYear", "journalTitle", "isOpenAccess", "inPMC", "hasSuppl", "hasPDF"]
+
+
 def search_results(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
     """Rows of saved search answers (JSON with resultList.result), page by page in the order of the files, up to `most`."""
     schema = "resultList struct<result:array<struct<id:string,pmcid:string,doi:string,pmid:string,title:string,pubYear:string,journalTitle:string,isOpenAccess:string,inPMC:string,hasSuppl:string,hasPDF:string>>>"
@@ -329,12 +334,11 @@ def search_results(spark: SparkSession, path: str, most: int = 1000) -> DataFram
 
 
 def search_rows(spark: SparkSession, answer: Callable[[str, int], dict], most: int = 200, page_size: int = 100) -> DataFrame:
-    """Results of a search that is answered page by page: answer(cursor, size) gives one, as the service's JSON.
+    """Results of one search that is answered page by page (many, or long ones: searched()): answer(cursor, size) gives one, as the service's JSON.
 
     Starts with the cursor *, asks for no more than is wanted, and stops at `most` results, an empty page, or one without a next cursor. A cursor is known only
     from the page before, so this runs on the driver; `most` bounds it.
     """
-    names = ["id", "pmcid", "doi", "pmid", "title", "pubYear", "journalTitle", "isOpenAccess", "inPMC", "hasSuppl", "hasPDF"]
     found, cursor = [], "*"
     while cursor and len(found) < most:
         page = answer(cursor, min(page_size, most - len(found)))
@@ -343,7 +347,63 @@ def search_rows(spark: SparkSession, answer: Callable[[str, int], dict], most: i
             break
         found += results[: most - len(found)]
         cursor = page.get("nextCursorMark") or ""
-    return spark.createDataFrame([tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in found], ", ".join(f"{n} string" for n in names))
+    return spark.createDataFrame([tuple(_search_fields(r).values()) for r in found], ", ".join(f"{n} string" for n in SEARCH_FIELDS))
+
+
+def _search_fields(result: dict) -> dict[str, str | None]:
+    return {n: None if result.get(n) is None else str(result[n]) for n in SEARCH_FIELDS}
+
+
+def _saved_page(where: fs.FileSystem, path: str, ask: Callable[[], dict]) -> dict:
+    """The page at path; where there is none, the answer, which is saved there first unless it is without results."""
+    if where.get_file_info(path).type == fs.FileType.NotFound:
+        page = ask()
+        if not (page.get("resultList") or {}).get("result"):
+            return page
+        where.create_dir(path.rpartition("/")[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with where.open_output_stream(part, compression=None) as out:
+            out.write(json.dumps(page).encode())
+        if where.get_file_info(path).type == fs.FileType.NotFound:
+            where.move(part, path)
+        else:  # another attempt of this task was first
+            where.delete_file(part)
+    with where.open_input_stream(path, compression=None) as f:
+        return json.loads(f.read())
+
+
+def searched(searches: DataFrame, answer: Callable[[str, str, int], dict], saved: str, most: int = 200, page_size: int = 100, tasks: int = 32) -> DataFrame:
+    """(search, page, nth, and the fields of a result) of many searches that are answered page by page. searches: search (a name), request; answer(request, cursor, size) gives one page.
+
+    Tasks take whole searches, as a cursor is known only from the page before; many searches run at once. Each starts with the cursor *, asks for whole pages, and stops
+    at `most` results, an empty page, or one without a next cursor. A page is saved below `saved` (a folder that the executors share) before the next one is
+    asked for, and a saved page is never asked for again: a run that broke off, a task that is tried again, and a later run with a larger `most` go on from the last page
+    with the same rows, in the same places. The ends of searches are asked for again, so a later run finds what came after an empty page. Of searches of the same name one is made; null names
+    and null requests are left out.
+    """
+    kind = pa.schema([("search", pa.string()), ("page", pa.int32()), ("nth", pa.int32()), *((n, pa.string()) for n in SEARCH_FIELDS)])
+
+    def walk(search: str, request: str) -> Iterator[list[dict]]:
+        where, base = fs.FileSystem.from_uri(saved)
+        folder = f"{base}/search-{quote(search, safe='')}"
+        cursor, page, held = "*", 0, 0
+        while cursor and held < most:
+            got = _saved_page(where, f"{folder}/{page:06d}.json", lambda c=cursor: answer(request, c, page_size))
+            results = ((got.get("resultList") or {}).get("result") or [])[: most - held]
+            if not results:
+                return
+            yield [{"search": search, "page": page, "nth": held + i} | _search_fields(r) for i, r in enumerate(results)]
+            held, page, cursor = held + len(results), page + 1, got.get("nextCursorMark") or ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                for rows in walk(batch.column("search")[at].as_py(), batch.column("request")[at].as_py()):
+                    yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    each = searches.where("search IS NOT NULL AND request IS NOT NULL").groupBy("search").agg(F.min("request").alias("request"))
+    columns = ", ".join(["search string", "page int", "nth int", *(f"{n} string" for n in SEARCH_FIELDS)])
+    return each.repartition(tasks, "search").mapInArrow(run, columns)
 
 
 def saved_answers(folder: str) -> Callable[[str, int], dict]:
