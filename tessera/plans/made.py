@@ -180,6 +180,35 @@ def s16_supplement_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", "t.kind", "t.rows")
 
 
+@register(
+    "s16_damaged_supplements",
+    """WITH f AS (SELECT CAST(s_suppkey AS VARCHAR) AS doc, s_suppkey % 5 AS form FROM supplier)
+SELECT doc, 't.csv' AS table_id, NULL AS problem, 2 AS n_rows FROM f WHERE form = 0 UNION ALL SELECT doc, 't.docx', 'BadZipFile', 0 FROM f WHERE form = 1 UNION ALL SELECT doc, 't.docx#table0', NULL, 2 FROM f WHERE form = 2
+UNION ALL SELECT doc, 'z.zip/t.csv', NULL, 2 FROM f WHERE form = 3 UNION ALL SELECT doc, 'z.zip/t.docx', 'BadZipFile', 0 FROM f WHERE form = 3 UNION ALL SELECT doc, 'z.zip', 'BadZipFile', 0 FROM f WHERE form = 4""",
+)
+def s16_damaged_supplements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each supplier: whole or cut off, by itself or in an archive. What can't be read is told, not left out."""
+    path = scratch_path(spark, "supplements")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        for batch in batches:
+            for key, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                plain, document, packed = f"name,key\n{name},{key}\n".encode(), _docx(name, str(key)), io.BytesIO()
+                with zipfile.ZipFile(packed, "w") as z:
+                    z.writestr("t.csv", plain)
+                    z.writestr("t.docx", document[:60])
+                file, data = [("t.csv", plain), ("t.docx", document[:60]), ("t.docx", document), ("z.zip", packed.getvalue()), ("z.zip", packed.getvalue()[:60])][key % 5]
+                where.create_dir(f"{root}/{key}", recursive=True)
+                with where.open_output_stream(f"{root}/{key}/{file}", compression=None) as out:
+                    out.write(data)
+        yield from ()
+
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
+    found = papers.read_supplements(spark, path, damaged=True)
+    return found.select("doc", "table_id", F.regexp_extract("problem", r"^\w+", 0).alias("problem"), F.size("rows").alias("n_rows"))
+
+
 @register("s26_archive_members", "SELECT 'a' || n_nationkey || '.tar.gz' AS archive, m AS member, CASE m WHEN 'a.pdf' THEN n_nationkey + 1 WHEN 'b.pdf' THEN 12 WHEN 'c.csv' THEN 3 ELSE 4 END AS size, CASE WHEN m = 'd.bin' THEN 'other' WHEN m = 'c.csv' OR (m = 'a.pdf') <> (n_nationkey >= 11) THEN 'supplement' ELSE 'main' END AS role FROM nation, (SELECT unnest(['a.pdf', 'b.pdf', 'c.csv', 'd.bin']) AS m)")
 def s26_archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "packages")

@@ -13,6 +13,7 @@ import time
 import uuid
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from itertools import chain
@@ -260,8 +261,15 @@ def _xlsx_tables(data: bytes) -> list[tuple[str, list[list[str]]]]:
     return out
 
 
-def supplement_tables(name: str, data: bytes, inside: bool = False) -> list[tuple[str, list[list[str]]]]:
-    """(place, matrix) of a file by its ending: csv, tsv, docx, xlsx, txt and fasta (a row a record), and zip, one level deep. A damaged file has none."""
+class Damaged(NamedTuple):
+    """A file, or a member of an archive, that could not be read, and why."""
+
+    place: str
+    problem: str
+
+
+def supplement_contents(name: str, data: bytes, inside: bool = False) -> list[tuple[str, list[list[str]]] | Damaged]:
+    """(place, matrix) of a file by its ending: csv, tsv, docx, xlsx, txt and fasta (a row a record), and zip, one level deep. What can't be read is Damaged, by member; other kinds have no entry."""
     low = name.lower()
     try:
         if low.endswith((".csv", ".tsv")):
@@ -278,26 +286,49 @@ def supplement_tables(name: str, data: bytes, inside: bool = False) -> list[tupl
             return [(f"{name}#{sheet}", t) for sheet, t in _xlsx_tables(data)]
         if low.endswith(".zip") and not inside:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
-                return [t for m in z.infolist() if not m.is_dir() and m.file_size <= MEMBER_BYTES for t in supplement_tables(f"{name}/{m.filename}", z.read(m), True)]
-    except (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, StopIteration, csv.Error):
-        pass
+                return [t for m in z.infolist() if not m.is_dir() for t in _member_contents(z, m, f"{name}/{m.filename}")]
+    except _UNREADABLE as e:
+        return [Damaged(name, f"{type(e).__name__}: {e}"[:200])]
     return []
 
 
-def read_supplements(spark: SparkSession, path: str) -> DataFrame:
-    """Tables of supplementary files: doc (the folder's name), table_id, label, caption, foot, rows."""
+#: What reading a damaged file may raise; encrypted members are RuntimeErrors.
+_UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, ET.ParseError, LookupError, StopIteration, ValueError, NotImplementedError, RuntimeError, csv.Error)
+
+
+def _member_contents(archive: zipfile.ZipFile, member: zipfile.ZipInfo, place: str) -> list[tuple[str, list[list[str]]] | Damaged]:
+    if member.file_size > MEMBER_BYTES:
+        return [Damaged(place, f"over {MEMBER_BYTES} bytes")]
+    try:
+        data = archive.read(member)
+    except _UNREADABLE as e:
+        return [Damaged(place, f"{type(e).__name__}: {e}"[:200])]
+    return supplement_contents(place, data, True)
+
+
+def supplement_tables(name: str, data: bytes) -> list[tuple[str, list[list[str]]]]:
+    """The tables of supplement_contents(); a damaged file has none."""
+    return [t for t in supplement_contents(name, data) if not isinstance(t, Damaged)]
+
+
+def read_supplements(spark: SparkSession, path: str, damaged: bool = False) -> DataFrame:
+    """Tables of supplementary files: doc (the folder's name), table_id, label, caption, foot, rows. damaged: also a row, without rows, for each file or member that can't be read, with the reason as problem (else null). Spark passes over files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    kind = pa.schema([*((c, pa.string()) for c in ("doc", "table_id", "label", "caption", "foot")), ("rows", pa.list_(pa.list_(pa.string()))), ("problem", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("doc", pa.string()), ("table_id", pa.string()), ("label", pa.string()), ("caption", pa.string()), ("foot", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))])
         for batch in batches:
             for at in range(batch.num_rows):
                 one = batch.slice(at, 1).to_pylist()[0]
                 folder, _, name = one["path"].rpartition("/")
-                found = [{"doc": folder.rpartition("/")[2], "table_id": place, "label": "", "caption": "", "foot": "", "rows": rows} for place, rows in supplement_tables(name, one["content"])]
+                found = []
+                for t in supplement_contents(name, one["content"]):
+                    bad = isinstance(t, Damaged)
+                    found.append({"doc": folder.rpartition("/")[2], "table_id": t[0], "label": "", "caption": "", "foot": "", "rows": [] if bad else t[1], "problem": t.problem if bad else None})
                 yield pa.RecordBatch.from_pylist(found, schema=kind)
 
-    return files.mapInArrow(run, "doc string, table_id string, label string, caption string, foot string, rows array<array<string>>")
+    found = files.mapInArrow(run, "doc string, table_id string, label string, caption string, foot string, rows array<array<string>>, problem string")
+    return found if damaged else found.where("problem IS NULL").drop("problem")
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:

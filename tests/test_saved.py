@@ -98,3 +98,23 @@ def test_saved_pages_are_json(spark, tmp_path):
     searches = spark.createDataFrame([("../x y", "a")], "search string, request string")
     papers.searched(searches, _service({"a": [[1]]}, str(tmp_path / "log")), f"file://{tmp_path}/saved").collect()
     assert json.loads((tmp_path / "saved" / "search-..%2Fx%20y" / "000000.json").read_text())["nextCursorMark"] == "1"
+
+
+def test_damaged_supplements_are_told(spark, tmp_path):
+    import io
+    import zipfile
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.csv", "x,y\n1,2\n")
+        z.writestr("b.xlsx", "no workbook")
+        z.writestr("c.bin", "other")
+        z.writestr("d.csv", "0123456789" * 20)
+    broken = packed.getvalue().replace(b"0123456789" * 20, b"0123456789" * 19 + b"0123456780")  # its checksum is wrong
+    for name, data in {"p.zip": broken, "q.docx": b"PK", "r.csv": b"k\n", "s.bin": b"?", "t.zip": b"PK cut"}.items():
+        (tmp_path / "doc1").mkdir(exist_ok=True)
+        (tmp_path / "doc1" / name).write_bytes(data)
+    told = {r.table_id: (r.problem or "").partition(":")[0] for r in papers.read_supplements(spark, str(tmp_path), damaged=True).collect()}
+    assert told == {"p.zip/a.csv": "", "p.zip/b.xlsx": "BadZipFile", "p.zip/d.csv": "BadZipFile", "q.docx": "BadZipFile", "r.csv": "", "t.zip": "BadZipFile"}
+    plain = papers.read_supplements(spark, str(tmp_path))
+    assert "problem" not in plain.columns and {r.table_id for r in plain.collect()} == {"p.zip/a.csv", "r.csv"}
