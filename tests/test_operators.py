@@ -206,3 +206,37 @@ def test_screen(spark):
     assert [r.value for r in quality.value_counts(spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "x string"), "x", 2).collect()] == ["b", None]
     assert tables.PAPER_POINTS == (3, 3, 1, 1)
     assert spark.range(1).select(tables.title_score(F.lit("Antimicrobial toxin: IC50"), F.lit("Y"), F.lit("n")).alias("s")).first().s == 6
+
+
+def test_cosine_neighbours_in_small_tiles(spark, monkeypatch):
+    """Ties over tiles and blocks go by id; nearest of more blocks than one are merged in the task."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vectors, "CELLS", 64)
+    r = np.random.default_rng(3)
+    x = r.integers(-2, 3, size=(150, 3)).astype(float) + 0.5  # many equal directions
+    df = spark.createDataFrame([(int((i * 37) % 150), x[i].tolist(), i % 3) for i in range(150)], "id long, vector array<double>, label int").coalesce(1)
+    u = {row.id: np.array(row.vector) / np.linalg.norm(row.vector) for row in df.collect()}
+    label = {row.id: row.label for row in df.collect()}
+    for same in (None, "label"):
+        want = {}
+        for a in range(0, 150, 5):
+            others = [b for b in u if b != a and (same is None or label[a] != label[b])]
+            want[a] = sorted((-round(float(u[a] @ u[b]), 9), b) for b in others)[:7]
+        got = {}
+        for h in vectors.cosine_knn(df.where("id % 5 = 0"), df, 7, same_col=same).orderBy("query", "rank").collect():
+            got.setdefault(h.query, []).append((-h.similarity, h.neighbour))
+        assert got == want
+
+
+def test_the_best_so_far_stay_few():
+    """However many blocks come, k a query are held and sent on."""
+    import numpy as np
+
+    best = vectors._Best(50, 4)
+    r = np.random.default_rng(1)
+    for b in range(20):
+        best.add([best.tile(0, np.round(r.normal(size=(50, 200)), 9), np.arange(200) + 200 * b)])
+        assert len(best.query) == 200
+    assert np.array_equal(best.query, np.repeat(np.arange(50), 4))
