@@ -37,6 +37,7 @@ _MEASUREMENT = re.compile(
     rf"(?P<endpoint>{_NAMES})?\s*(?P<cmp>{COMPARE})\s*(?:(?P<mean>{NUMBER})\s*±\s*(?P<error>{NUMBER})|(?P<low>{NUMBER})\s*(?:-|–|—|to)\s*(?P<high>{NUMBER})|(?P<value>{NUMBER}))\s*(?P<unit>{_UNIT})?",
     re.I,
 )
+_DIGIT = re.compile(r"\d")
 MEASUREMENT = "array<struct<raw:string,endpoint:string,cmp:string,value:double,error:double,range_low:double,range_high:double,unit:string>>"
 
 
@@ -47,6 +48,8 @@ def parse_measurements(text: str | None, endpoint: str = "", unit: str = "", zer
     """
     found = []
     source = text or ""
+    if not _DIGIT.search(source):
+        return found
     for m in _MEASUREMENT.finditer(source):
         beside = source[m.start() - 1 : m.start()] + source[m.end() : m.end() + 1]
         if (m.start() > 0 and source[m.start() - 1].isalnum()) or (m.end() < len(source) and source[m.end()].isalnum()) or not beside and not m[0].strip():

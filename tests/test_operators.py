@@ -240,3 +240,27 @@ def test_the_best_so_far_stay_few():
         best.add([best.tile(0, np.round(r.normal(size=(50, 200)), 9), np.arange(200) + 200 * b)])
         assert len(best.query) == 200
     assert np.array_equal(best.query, np.repeat(np.arange(50), 4))
+
+
+def test_tables_are_dealt_and_parsed_once(spark):
+    """One small file's articles are many tasks' work; records of a document need one parse."""
+    cell = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
+    xml = f"<article><table-wrap id='t1'><table>{cell('Peptide', 'Sequence')}{cell('A', 'ACDKLLKWGG')}</table></table-wrap><table-wrap id='t2'><table>{cell('Peptide', 'MIC (µM)')}{cell('A', '5')}</table></table-wrap></article>"
+    df = spark.createDataFrame([(i, xml) for i in range(40)], "id long, xml string").coalesce(1)
+    parsed = tables.articles(df, "xml", "id")
+    assert parsed.select(F.spark_partition_id()).distinct().count() > 4
+    found = tables.experimental_records(tables.tables_of(parsed))
+    assert sorted((r.doc, r.value, r.sequence) for r in found.collect()) == [(i, 5.0, "ACDKLLKWGG") for i in range(40)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") > 0
+
+
+def test_a_large_tables_records_go_on_in_pieces():
+    """Found records are not held whole: the first come before the last rows are looked at."""
+    import pyarrow as pa
+
+    rows = [["Peptide", "MIC (µM)"], *[[f"p{i}", "5"] for i in range(500)]]
+    t = {"table_id": "t", "label": "", "caption": "", "foot": "", "rows": rows}
+    found = tables._row_records(t, {f"p{i}" for i in range(500)})
+    assert next(found)["norm_id"] == "p0" and len(list(found)) == 499
+    big = pa.RecordBatch.from_pydict({"xml": ["x" * 2_000_000, "x" * 2_000_000, "x"]})
+    assert [p.num_rows for p in tables._pieces(big)] == [1, 1, 1]
