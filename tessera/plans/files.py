@@ -159,7 +159,7 @@ def t8_cell_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t1_span_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<table><tr><td rowspan='2'>a"), "p_size", F.lit("</td><td colspan=2>b</td></tr><tr><td>c</td><td> d </td></tr><tr><td> </td></tr></table>"))
     parse = F.pandas_udf(lambda s: s.map(lambda h: ";".join(",".join(r) for r in tables.html_tables(h)[0])), "string")
-    return table(spark, sf_dir, "part").select("p_partkey", parse(html).alias("matrix"))
+    return tables.dealt(table(spark, sf_dir, "part")).select("p_partkey", parse(html).alias("matrix"))
 
 
 @register("a31_title_scores", "SELECT p_partkey, 2 + 2 * (p_size % 2) + (p_size % 3 = 0)::INT + (p_size % 5 = 0)::INT AS score FROM part")

@@ -251,7 +251,7 @@ def s27_absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<a href="), k, F.lit(".pdf>a</a><a data-href='no' href='../"), k, F.lit(".zip?a=1&amp;b=2'>b</a><A HREF=\"//x.org/"), k, F.lit('">c</A><a href="#f">d</a><a href='), k, F.lit(".pdf>e</a><a href='/"), k, F.lit("/./x/../suppl'>f</a><a>g</a>"))
     base = F.concat(F.lit("http://h.org/d/e/p.html?q="), k)
     strip = lambda u: F.regexp_replace(F.replace(u, k.cast("string"), F.lit("")), "^", "")
-    linked = table(spark, sf_dir, "part").select("p_partkey", F.explode(papers.absolute_links(base, html)).alias("u"))
+    linked = tables.dealt(table(spark, sf_dir, "part")).select("p_partkey", F.explode(papers.absolute_links(base, html)).alias("u"))
     return linked.groupBy("p_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(strip(F.col("u")).alias("s"), "u"))), lambda x: x["u"]), " ").alias("links"))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import table_functions
+from tessera.operators.tables import dealt
 from tessera.plans.catalog import register
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     table_functions.register(spark)
-    return spark.sql(text, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return spark.sql(text, part=dealt(spark.read.parquet(f"{sf_dir}/part.parquet")))  # a small file, but much work a row
 
 
 @register(

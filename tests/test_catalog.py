@@ -37,3 +37,9 @@ def test_query(spark, name):
     assert sorted(names) == columns
     at = [names.index(x) for x in columns]
     assert got == sorted((tuple(plain(row[i]) for i in at) for row in r.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["t1_span_matrices", "t1_table_function", "t3_table_function", "s27_absolute_links"])
+def test_work_on_a_small_file_is_dealt(spark, name):
+    """Rows of one small file that cost much Python each are not one task's."""
+    assert "RoundRobinPartitioning" in catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
