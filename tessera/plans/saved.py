@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 
 import numpy as np
@@ -51,15 +52,18 @@ s AS (SELECT *, CASE WHEN form = 5 THEN 'http_error' WHEN body = '' THEN 'empty_
 
 
 def _service():  # noqa: ANN202
-    """fetch() for urls <form>,<payload in base64>: form 5 is missing, form 6 is busy at first."""
-    busy: set[str] = set()
+    """fetch() for urls <form>,<payload in base64>: form 5 is missing, form 6 is busy at first. Of those that are busy it keeps a digest, until they are answered."""
+    busy: set[bytes] = set()
 
     def fetch(url: str) -> papers.Answer:
         form, _, payload = url.partition(",")
         kind = {"2": "text/html", "4": "application/zip"}.get(form, "application/octet-stream")
-        if form == "6" and url not in busy:
-            busy.add(url)
-            return papers.Answer(429, {}, [])
+        if form == "6":
+            digest = hashlib.sha256(url.encode()).digest()
+            if digest not in busy:
+                busy.add(digest)
+                return papers.Answer(429, {}, [])
+            busy.discard(digest)
         body = base64.b64decode(payload)
         return papers.Answer(404 if form == "5" else 200, {"content-type": kind}, [body[i : i + 8192] for i in range(0, len(body), 8192)])
 

@@ -538,7 +538,8 @@ def download(requests: DataFrame, fetch: Callable[[str], Answer], overwrite: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):  # a row at a time, as a url may hold its payload
+                row = batch.slice(at, 1).to_pylist()[0]
                 yield pa.RecordBatch.from_pylist([{"key": row["key"], "path": row["path"]} | one(row)], schema=kinds)
 
     return requests.select("key", "url", "path", "kind").mapInArrow(run, "key string, path string, status string, http_status int, bytes long, attempts int")

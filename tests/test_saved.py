@@ -1,5 +1,6 @@
 """Searches that are resumed, sequences in stretches, and the queries of plans/saved.py on small tables."""
 
+import base64
 import json
 
 import numpy as np
@@ -94,6 +95,17 @@ def test_queries_on_small_tables(spark, tmp_path):
     assert entry.queries()["n1_sequence_model"](spark, f"{tmp_path}/empty").count() == 0
 
 
+def test_the_made_service_keeps_no_urls():
+    from tessera.plans.saved import _service
+
+    fetch = _service()
+    urls = [f"6,{base64.b64encode(bytes([i]) * 3000).decode()}" for i in range(50)]
+    assert [fetch(u).status for u in urls] == [429] * 50
+    kept = fetch.__closure__[0].cell_contents
+    assert sum(map(len, kept)) <= 50 * 32
+    assert [fetch(u).status for u in urls] == [200] * 50 and not kept
+
+
 def test_saved_pages_are_json(spark, tmp_path):
     searches = spark.createDataFrame([("../x y", "a")], "search string, request string")
     papers.searched(searches, _service({"a": [[1]]}, str(tmp_path / "log")), f"file://{tmp_path}/saved").collect()
