@@ -24,6 +24,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from pyspark import StorageLevel  # noqa: E402
 from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -45,7 +46,7 @@ def _digest(text: Column) -> Column:
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, min_words: int) -> DataFrame:
-    """Each document with its label (null without one), the digest of its normalised text, its cluster, and whether it is long enough.
+    """Each document with its label (null without one), the digests of its normalised text and of the text as it is, its cluster, and whether it is long enough.
 
     Rows of `labels` without an id say nothing; of several for one id the least counts, so that no document is multiplied.
     """
@@ -57,6 +58,7 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, min_word
         "source",
         _digest(F.col("plain")).alias("key"),
         _digest(F.regexp_replace("plain", "[^a-z]", "")).alias("cluster_id"),
+        _digest(F.coalesce("text", F.lit(""))).alias("text_key"),
         (F.when(F.col("plain") == "", 0).otherwise(F.size(F.split("plain", " "))) >= min_words).alias("long_enough"),
         (F.col("plain") != F.coalesce("text", F.lit(""))).alias("changed"),
     )
@@ -73,7 +75,8 @@ def release_corpus(spark: SparkSession, documents: str, labels: str, output: str
     config = {**load_config(), **(config or {})}
     docs = spark.read.parquet(documents)
     log.info("reading %s and %s", documents, labels)
-    rows = labelled_texts(docs, spark.read.parquet(labels), config["label"], config["min_words"])
+    # Normalised once: what follows reads the digests, not the texts, several times.
+    rows = labelled_texts(docs, spark.read.parquet(labels), config["label"], config["min_words"]).persist(StorageLevel.DISK_ONLY)
 
     counters = dedup.ingest_counters(rows, "source", F.col("long_enough"), F.col("changed"))
     counters.coalesce(1).write.mode("overwrite").json(f"{output}/counters")
@@ -90,12 +93,14 @@ def release_corpus(spark: SparkSession, documents: str, labels: str, output: str
     placed = splits.propagate_split(resolved, clusters.select("cluster_id", "split"))
     placed = placed.select("key", "doc_id", "cluster_id", "split", "label", "n_records", "n_source_datasets", "source_datasets")
     # The text of the first document; rows repeated under one id with one text are one.
-    texts = docs.select("doc_id", "text", _digest(F.lower(normalize_whitespace(F.col("text")))).alias("key"))
-    texts = texts.join(placed.select("key", "doc_id"), ["key", "doc_id"], "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    picked = rows.join(placed.select("key", "doc_id"), ["key", "doc_id"], "left_semi").select("key", "doc_id", "text_key").distinct()
+    texts = docs.select("doc_id", "text", _digest(F.coalesce("text", F.lit(""))).alias("text_key")).join(picked, ["doc_id", "text_key"]).groupBy("key").agg(F.min("text").alias("text"))
     corpus = placed.join(texts, "key")
     # Rebalanced, not repartitioned: a large split is written by many tasks, in files of the session's advisory size.
     corpus.hint("rebalance", F.col("split"), F.col("label")).write.mode("overwrite").partitionBy("split", "label").parquet(f"{output}/corpus")
 
+    rows.unpersist()
+
     written = read_corpus(spark, output)
     report = written.groupBy("split", "label").agg(F.count("*").alias("texts"), F.count_distinct("cluster_id").alias("clusters"), F.sum("n_records").alias("records"))
     report.coalesce(1).write.mode("overwrite").json(f"{output}/report")

@@ -7,6 +7,7 @@ import sys
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import ingest_documents as ingest
 from jobs import release_corpus as release
@@ -173,3 +174,21 @@ def test_command_line(spark, tmp_path):
     assert run.returncode == 0, run.stderr[-2000:]
     assert f"read {len(DOCUMENTS)} documents" in run.stderr
     assert {r.split for r in release.read_corpus(spark, str(tmp_path / "out")).select("split").distinct().collect()} <= {"a", "b", "c"}
+
+
+def test_release_normalises_each_text_once(spark, tmp_path, monkeypatch):
+    put(spark, tmp_path / "docs", DOCUMENTS)
+    put_labels(spark, tmp_path / "labels", LABELS)
+    seen, plain = spark.sparkContext.accumulator(0), release.normalize_whitespace
+
+    def counted(text):
+        def told(t):
+            seen.add(1)
+            return t
+
+        return plain(F.udf(told, "string")(text))
+
+    monkeypatch.setattr(release, "normalize_whitespace", counted)
+    counts = release.release_corpus(spark, *[str(tmp_path / x) for x in ("docs", "labels", "out")])
+    assert counts["read"] == len(DOCUMENTS) and seen.value <= len(DOCUMENTS)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
