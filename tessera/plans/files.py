@@ -138,16 +138,14 @@ def a30_paper_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f34_scored_cells", "SELECT p_partkey AS doc, 1 AS seq_tables, CASE WHEN p_size % 3 > 0 THEN 1 ELSE 0 END AS endpoint_tables, 2 + p_size % 7 AS value_cells_at_most, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'IC50' ELSE 'hemolysis,toxicity' END AS hints, 3 + 3 * (p_size % 3 > 0)::INT + (2 + p_size % 7 >= 5)::INT + (p_size % 3 = 1)::INT AS score FROM part")
 def f34_scored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of sequences and of values with units counted, five values at most; soft words only where there is no endpoint."""
+    """Cells of sequences and of values with units counted, all of them; soft words only where there is no endpoint."""
     z = F.col("p_size")
     row = lambda a, b: F.concat(F.lit("<tr><td>"), F.lit(a), F.lit("</td><td>"), F.lit(b), F.lit("</td></tr>"))
     values = F.array_join(F.transform(F.sequence(F.lit(1), (2 + z % 7).cast("int")), lambda i: F.concat(F.lit("<tr><td>ACDKLLKWGG</td><td>"), i.cast("string"), F.lit(" mg/L</td></tr>"))), "")
     caption = F.when(z % 3 == 0, "Yields").when(z % 3 == 1, "IC50 and toxicity").otherwise("toxicity, hemolysis")
     xml = F.concat(F.lit('<article><table-wrap id="t"><caption>'), caption, F.lit("</caption><table>"), row("Sequence", "Value"), values, F.lit("</table></table-wrap></article>"))
     scored = tables.paper_scores(tables.tables_of(tables.articles(table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml")), "xml", "p_partkey")))
-    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), (2 + z % 7).alias("value_cells_at_most"))
-    checked = scored.join(known, "doc").withColumn("value_cells_at_most", F.when(F.col("value_cells") == F.least(F.lit(5), "value_cells_at_most"), F.col("value_cells_at_most")))
-    return checked.select("doc", "seq_tables", "endpoint_tables", "value_cells_at_most", F.array_join("hints", ",").alias("hints"), "score")
+    return scored.select("doc", "seq_tables", "endpoint_tables", F.col("value_cells").alias("value_cells_at_most"), F.array_join("hints", ",").alias("hints"), "score")
 
 
 @register("t8_cell_entities", f"SELECT p_brand AS doc, 't1' AS table_id, {_SPELLED} AS entity FROM part")

@@ -198,6 +198,15 @@ def test_article_tables_to_records(spark):
     assert [(r.sequence, r.value) for r in same] == [("KWKLFKKIGAVLKVL", 5.0)]
 
 
+def test_paper_scores_read_whole_tables(spark):
+    """Hits below row 120 count, and every value of a table does."""
+    blank = [["", ""]] * 200
+    rows = [["Sequence", "Value"], *blank, ["ACDKLLKWGG", "1 mg/L"], *[["EFGKLLKWHH", f"{i} mg/L"] for i in range(6)]]
+    df = spark.createDataFrame([("d", "t", "", "IC50", "", rows)], "doc string, table_id string, label string, caption string, foot string, rows array<array<string>>")
+    s = tables.paper_scores(df).first()
+    assert (s.seq_tables, s.endpoint_tables, s.value_cells, s.score) == (1, 1, 7, 8)
+
+
 def test_screen(spark):
     rows = [("GIGKFL", "4", "µM", "", "E. coli", "val_col_header=MIC"), ("GIGKFL", "4", "µM", ">", "E. coli", None), ("GIGXFL", "4", "µM", None, None, None), ("GIGKFL", "nan", "µM", "", "", ""), ("GIGKFL", "4", "µM", "", "overall", "")]
     s = quality.screen(spark.createDataFrame(rows, "sequence string, value string, unit string, cmp string, condition string, context string")).collect()
