@@ -207,6 +207,17 @@ def test_paper_scores_read_whole_tables(spark):
     assert (s.seq_tables, s.endpoint_tables, s.value_cells, s.score) == (1, 1, 7, 8)
 
 
+def test_records_are_joined_without_broadcasts(spark):
+    """A compressed file says little of what Python makes of it: neither ids nor records may be sent to the driver whole."""
+    df = tables.tables_of(tables.articles(spark.createDataFrame([("d", XML)], "doc string, xml string"), "xml", "doc"))
+    records = tables.experimental_records(df)
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+    records.collect()  # the tables, which three branches read, are parsed and dealt once
+    final = records._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ReusedExchange") == 2 and final.count("MapInArrow parse") == 1
+
+
 def test_screen(spark):
     rows = [("GIGKFL", "4", "µM", "", "E. coli", "val_col_header=MIC"), ("GIGKFL", "4", "µM", ">", "E. coli", None), ("GIGXFL", "4", "µM", None, None, None), ("GIGKFL", "nan", "µM", "", "", ""), ("GIGKFL", "4", "µM", "", "overall", "")]
     s = quality.screen(spark.createDataFrame(rows, "sequence string, value string, unit string, cmp string, condition string, context string")).collect()
